@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockloom.plans.ranking import running_totals
-from stockloom.session import scratch_dir
+from stockloom.session import scratch_dir, written
 
 # Shipping methods and the largest quantity of one item.
 SHIPPING_METHODS = ("standard", "expedited", "overnight", "store_pickup")
@@ -183,7 +183,7 @@ def allocate(lines: DataFrame, span: int = SEQ_SPAN) -> DataFrame:
     base = scratch_dir(spark, "allocate")
     slim = lines.select("order_id", "seq", "store_id", "sku_id", "quantity", "available_qty")
     state = slim.withColumn("accepted", F.lit(False))
-    decided_paths, turn = [], 0
+    turn = 0
     while True:
         undecided_qty = F.when(~F.col("accepted"), F.col("quantity")).otherwise(0)
         accepted_qty = F.when(F.col("accepted"), F.col("quantity")).otherwise(0)
@@ -199,10 +199,7 @@ def allocate(lines: DataFrame, span: int = SEQ_SPAN) -> DataFrame:
         decided = verdicts.withColumn(
             "verdict", F.when(F.col("over") == 1, "reject").when(F.col("fits") == 1, "accept").otherwise("open")
         ).select("order_id", "verdict")
-        path = f"{base}/verdicts-{turn}"
-        decided.write.parquet(path)
-        decided = spark.read.parquet(path)
-        decided_paths.append(path)
+        decided = written(decided, f"{base}/verdicts/round={turn}")
         if decided.where(F.col("verdict") == "open").isEmpty():
             break
         merged = (
@@ -212,11 +209,9 @@ def allocate(lines: DataFrame, span: int = SEQ_SPAN) -> DataFrame:
             .drop("verdict")
         )
         contested = merged.where(~F.col("accepted")).select("store_id", "sku_id").distinct()
-        state_path = f"{base}/state-{turn}"
-        merged.join(contested, ["store_id", "sku_id"], "left_semi").write.parquet(state_path)
-        state = spark.read.parquet(state_path)
+        state = written(merged.join(contested, ["store_id", "sku_id"], "left_semi"), f"{base}/state-{turn}")
         turn += 1
-    verdicts = spark.read.parquet(*decided_paths).where(F.col("verdict") != "open")
+    verdicts = spark.read.schema(decided.schema).parquet(f"{base}/verdicts").where(F.col("verdict") != "open")
     return verdicts.select("order_id", (F.col("verdict") == "accept").alias("accepted"))
 
 
@@ -225,7 +220,6 @@ def place_orders(
     as_of: Column, span: int = SEQ_SPAN,
 ) -> Placement:
     """Routes, checks, prices and reserves a batch of orders; each order is all or nothing."""
-    spark = headers.sparkSession
     broken = request_rejects(headers, items, stores)
     valid = headers.join(broken, "order_id", "left_anti")
     routed = route(valid, items, inventory)
@@ -235,10 +229,9 @@ def place_orders(
         items.join(able.select("order_id", "seq", "store_id"), "order_id")
         .join(inventory.select("store_id", "sku_id", "available_qty"), ["store_id", "sku_id"])
     )
-    base = scratch_dir(spark, "placement")
-    lines.write.parquet(f"{base}/lines")
-    broken.unionByName(short).write.parquet(f"{base}/rejects")
-    lines = spark.read.parquet(f"{base}/lines")
+    base = scratch_dir(headers.sparkSession, "placement")
+    lines = written(lines, f"{base}/lines")
+    early = written(broken.unionByName(short), f"{base}/rejects")
     verdicts = allocate(lines, span)
     won = verdicts.where("accepted").select("order_id")
     lost = verdicts.where(~F.col("accepted")).select("order_id", F.lit("insufficient").alias("reason"))
@@ -249,8 +242,7 @@ def place_orders(
         "estimated_delivery_days", "estimated_delivery_date",
     )
     sold = price_items(accepted, products).select("order_id", "sku_id", "quantity", "unit_price")
-    rejects = spark.read.parquet(f"{base}/rejects").unionByName(lost)
-    return Placement(orders, sold, apply_reservations(inventory, accepted, as_of), rejects)
+    return Placement(orders, sold, apply_reservations(inventory, accepted, as_of), early.unionByName(lost))
 
 
 def split_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:

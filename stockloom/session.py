@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job wants. Broadcast decisions are left to Catalyst and AQE, which
 # check the size of a side before they broadcast it.
@@ -54,3 +54,9 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder, for tables written between stages of one job."""
     return f"{checkpoint_root(spark).rstrip('/')}/stockloom/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """Writes a table and reads it back: the lineage ends at the files."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

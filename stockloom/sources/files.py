@@ -35,13 +35,15 @@ def _encode(field: T.StructField) -> Column:
     return F.col(field.name)
 
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str) -> DataFrame:
     """A CSV file, folder or glob with a header as a typed table.
 
     Array columns arrive as ``{a,b}`` text and other nested columns as JSON text. Quotes
     inside a field are doubled, so the escape character is the quote itself. A glob such as
     ``transactions_part_*.csv`` reads a chunked table; Spark splits the files over tasks.
     """
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
     flat = T.StructType(
         [T.StructField(f.name, T.StringType() if _is_nested(f.dataType) else f.dataType) for f in schema]
     )
@@ -89,7 +91,7 @@ def overwrite(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def inline_rows(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+def inline_rows(spark: SparkSession, rows: list[tuple], schema: T.StructType | str) -> DataFrame:
     """A small literal table with a declared schema."""
     return spark.createDataFrame(rows, schema)
 

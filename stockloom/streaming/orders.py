@@ -9,12 +9,6 @@ from pyspark.sql.streaming import StreamingQuery
 from stockloom.operators.placement import place_orders, split_requests
 
 
-def _written(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    marker = hadoop.Path(f"{path}/_SUCCESS")
-    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
-
-
 def inventory_version(spark: SparkSession, state: str, version: int) -> DataFrame:
     return spark.read.parquet(f"{state}/inventory/version={version}")
 
@@ -31,21 +25,18 @@ def place_orders_stream(
 
     Batch ``n`` reads inventory version ``n`` and writes version ``n + 1`` last, after its
     orders, lines and rejects. A replayed batch finds the version it read unchanged and
-    overwrites the same folders, so each batch takes effect once.
+    writes the same rows over the same folders, so each batch takes effect once.
     """
 
     def place(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        target = f"{state}/inventory/version={batch_id + 1}"
-        if _written(spark, target):
-            return
         stock = inventory_version(spark, state, batch_id)
         headers, items = split_requests(batch.drop("placed_at"))
         stamp = batch.agg(F.max("placed_at")).first()[0]
         placed = place_orders(headers, items, stock, products, stores, F.lit(stamp))
         for name, df in (("orders", placed.orders), ("lines", placed.lines), ("rejects", placed.rejects)):
             df.write.mode("overwrite").parquet(f"{state}/{name}/batch={batch_id}")
-        placed.inventory.write.mode("overwrite").parquet(target)
+        placed.inventory.write.mode("overwrite").parquet(f"{state}/inventory/version={batch_id + 1}")
 
     writer = requests.writeStream.foreachBatch(place).option("checkpointLocation", f"{state}/checkpoint")
     return writer.trigger(**(trigger or {"availableNow": True})).start()
