@@ -85,10 +85,14 @@ def _parse_array_literal(r: Roles) -> DataFrame:
 
 @query("parse_json_purchases", f"""
     SELECT transaction_id, string_agg(product_id || '|' || quantity, ';' ORDER BY product_id, quantity) AS purchases
-    FROM r_items GROUP BY transaction_id""")
+    FROM (SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY product_id, quantity, transaction_item_id) AS rn FROM r_items)
+    WHERE rn <= 5 GROUP BY transaction_id""")
 def _parse_json_purchases(r: Roles) -> DataFrame:
+    """A purchase list holds up to five entries."""
+    order = [F.col("product_id"), F.col("quantity"), F.col("transaction_item_id")]
+    bought = catalog.top_k(r.transaction_items(), ["transaction_id"], order, 5)
     entry = F.struct(F.col("product_id").alias("sku"), F.col("quantity").alias("qty"))
-    listed = r.transaction_items().groupBy("transaction_id").agg(F.sort_array(F.collect_list(entry)).alias("p"))
+    listed = bought.groupBy("transaction_id").agg(F.sort_array(F.collect_list(entry)).alias("p"))
     return listed.select("transaction_id", text.json_purchases(F.to_json("p")).alias("purchases"))
 
 
@@ -107,10 +111,9 @@ _TABLES = ("supplier", "part", "customer", "orders", "lineitem", "events", "nati
 
 
 @query("row_count_manifest", " UNION ALL ".join(
-    f"SELECT '{t}' AS table_name, count(*) AS row_count, 1 AS file_count FROM {t}" for t in _TABLES))
+    f"SELECT '{t}' AS table_name, count(*) AS row_count, 1::BIGINT AS file_count FROM {t}" for t in _TABLES))
 def _manifest(r: Roles) -> DataFrame:
-    listed = files.manifest({t: r.table(t) for t in _TABLES})
-    return listed.select("table_name", "row_count", F.size("files").alias("file_count"))
+    return files.manifest({t: r.table(t) for t in _TABLES})
 
 
 @query("reload_tables", "SELECT store_id, store_name, city, state, region, store_type FROM r_stores")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stockloom.functions.text import json_purchases, pg_array, to_pg_array
+from stockloom.functions.text import pg_array, to_pg_array
 
 _STRING_ARRAY = T.ArrayType(T.StringType())
 
@@ -96,28 +98,32 @@ def inline_rows(spark: SparkSession, rows: list[tuple], schema: T.StructType | s
     return spark.createDataFrame(rows, schema)
 
 
+def file_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows per file: ``table_name, file, row_count``; each table is read once."""
+    parts = [
+        df.groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("row_count")).select(
+            F.lit(name).alias("table_name"), "file", "row_count"
+        )
+        for name, df in tables.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def manifest(tables: dict[str, DataFrame]) -> DataFrame:
-    """Row count per table and the files behind it, one row per table.
+    """Number of rows and of files per table, also for tables without rows.
 
-    Counted per file first, so a table passes through the job once and only one row per
-    file is shuffled. Tables without files get an empty list.
+    The file names are rows of :func:`file_counts`: a large table has too many for one list.
     """
-    parts = []
-    for name, df in tables.items():
-        per_file = df.groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("n"))
-        listed = F.array_sort(F.collect_set(F.when(F.col("file") != "", F.col("file"))))
-        parts.append(
-            per_file.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), listed.alias("files")).select(
-                F.lit(name).alias("table_name"), "row_count", "files"
-            )
-        )
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    names = F.array(*[F.lit(n) for n in tables])
+    listed = tables[next(iter(tables))].sparkSession.range(1).select(F.explode(names).alias("table_name"))
+    totals = file_counts(tables).groupBy("table_name").agg(
+        F.sum("row_count").alias("row_count"), F.count_if(F.col("file") != "").alias("file_count")
+    )
+    return listed.join(totals, "table_name", "left").fillna(0, ["row_count", "file_count"])
 
 
-__all__ = [
-    "read_csv", "write_csv", "write_chunked", "write_bucketed", "write_by_date", "overwrite",
-    "inline_rows", "manifest", "json_purchases",
-]
+def write_manifest(tables: dict[str, DataFrame], path: str, **scale: int) -> None:
+    """Manifest as JSON under ``path``: table totals with the scale settings, and the files."""
+    settings = [F.lit(v).alias(k) for k, v in scale.items()]
+    manifest(tables).select("*", *settings).write.mode("overwrite").json(f"{path}/tables")
+    file_counts(tables).write.mode("overwrite").json(f"{path}/files")
