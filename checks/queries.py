@@ -611,7 +611,9 @@ def _stock_rejects(r: Roles) -> DataFrame:
     return placement.stock_rejects(routed, items, inventory, r.products())
 
 
-@query("place_orders")
+@query("place_orders", """
+    SELECT p.order_id, outcome, CASE WHEN outcome = 'accepted' THEN h.store_id END AS fulfillment_store_id
+    FROM x_placed p JOIN x_routed h ON h.order_id = p.order_id""")
 def _place_orders(r: Roles) -> DataFrame:
     placed = placement.place_orders(
         r.request_headers(), r.request_items(), r.inventory(), r.products(), r.stores(), F.expr(_AS_OF)
@@ -623,7 +625,22 @@ def _place_orders(r: Roles) -> DataFrame:
     return won.unionByName(lost)
 
 
-@query("place_orders_inventory")
+@query("place_orders_lines", """
+    SELECT i.order_id, i.sku_id, i.quantity, msrp_c / 100.0::DOUBLE AS unit_price
+    FROM x_placed p JOIN r_req_items i USING (order_id) JOIN r_products USING (sku_id) WHERE outcome = 'accepted'""")
+def _place_orders_lines(r: Roles) -> DataFrame:
+    return placement.place_orders(
+        r.request_headers(), r.request_items(), r.inventory(), r.products(), r.stores(), F.expr(_AS_OF)
+    ).lines
+
+
+@query("place_orders_inventory", f"""
+    SELECT v.store_id, v.sku_id, on_hand_qty, CAST(reserved_qty + coalesce(t.q, 0) AS INTEGER) AS reserved_qty,
+           CAST(available_qty - coalesce(t.q, 0) AS INTEGER) AS available_qty, in_transit_qty,
+           CASE WHEN t.q IS NULL THEN {_ts('last_updated')} ELSE '2026-01-31 22:15:00.000000' END AS last_updated
+    FROM r_inventory v LEFT JOIN (
+        SELECT h.store_id, i.sku_id, sum(i.quantity) AS q FROM x_placed p JOIN x_routed h USING (order_id)
+        JOIN r_req_items i USING (order_id) WHERE outcome = 'accepted' GROUP BY 1, 2) t ON t.store_id = v.store_id AND t.sku_id = v.sku_id""")
 def _place_orders_inventory(r: Roles) -> DataFrame:
     placed = placement.place_orders(
         r.request_headers(), r.request_items(), r.inventory(), r.products(), r.stores(), F.expr(_AS_OF)
@@ -631,8 +648,12 @@ def _place_orders_inventory(r: Roles) -> DataFrame:
     return placed.inventory
 
 
-@query("place_orders_stream")
+@query("place_orders_stream", """
+    SELECT p.order_id, e.store_id AS fulfillment_store_id, e.days AS estimated_delivery_days,
+           CAST(DATE '2026-01-31' + e.days AS VARCHAR) AS estimated_delivery_date
+    FROM x_placed p JOIN x_eta e USING (order_id) WHERE outcome = 'accepted'""")
 def _place_orders_stream(r: Roles) -> DataFrame:
+    """All requests arrive in one micro-batch, as several files."""
     state, inbox = scratch_dir(r.spark, "intake"), scratch_dir(r.spark, "inbox")
     listed = r.request_items().groupBy("order_id").agg(
         F.sort_array(F.collect_list(F.struct("line_no", "sku_id", "quantity"))).alias("l")
@@ -641,12 +662,10 @@ def _place_orders_stream(r: Roles) -> DataFrame:
     requests = r.request_headers().join(listed.select("order_id", items.alias("items")), "order_id").withColumn(
         "placed_at", F.expr(_AS_OF)
     )
-    requests.repartitionByRange(2, "seq").write.parquet(inbox)
+    requests.write.parquet(inbox)
     order_stream.start_inventory(r.inventory(), state)
-    source = r.spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
-    # The stream runs outside the scratch of the caller's session: dimension tables are read per batch.
-    running = order_stream.place_orders_stream(source, r.products(), r.stores(), state)
-    running.awaitTermination()
+    source = r.spark.readStream.schema(requests.schema).parquet(inbox)
+    order_stream.place_orders_stream(source, r.products(), r.stores(), state).awaitTermination()
     return r.spark.read.parquet(f"{state}/orders").select(
         "order_id", "fulfillment_store_id", "estimated_delivery_days", "estimated_delivery_date"
     )

@@ -184,22 +184,56 @@ ROLES = {
           ON a.order_id = h.order_id""",
 }
 
+# Placing orders one after the other. Orders that fail on their own are left out; the rest
+# are numbered by arrival, and each line knows the earlier lines that want the same stock.
+ROLES["x_reasons"] = """
+    SELECT h.order_id, CASE WHEN h.destination_store_id IS NULL AND h.ship_to_city IS NULL THEN 'no_destination'
+               WHEN h.destination_store_id IS NOT NULL AND s.store_id IS NULL THEN 'unknown_store'
+               WHEN h.order_id IN (SELECT order_id FROM r_req_items GROUP BY order_id, sku_id HAVING count(*) > 1) THEN 'duplicate_sku'
+               WHEN h.store_id IS NULL THEN 'cannot_fulfil' WHEN NOT c.enough THEN 'insufficient' END AS reason
+    FROM x_routed h LEFT JOIN r_stores s ON s.store_id = h.destination_store_id
+    JOIN (SELECT i.order_id, bool_and(coalesce(v.available_qty >= i.quantity, false)) AS enough
+          FROM r_req_items i JOIN x_routed t USING (order_id)
+          LEFT JOIN r_inventory v ON v.store_id = t.store_id AND v.sku_id = i.sku_id GROUP BY 1) c ON c.order_id = h.order_id"""
+ROLES["x_turns"] = """
+    SELECT order_id, row_number() OVER (ORDER BY seq) AS n FROM x_routed
+    WHERE order_id IN (SELECT order_id FROM x_reasons WHERE reason IS NULL)"""
+ROLES["x_wanted"] = """
+    SELECT t.n, i.sku_id, i.quantity, h.store_id, v.available_qty FROM x_turns t JOIN x_routed h USING (order_id)
+    JOIN r_req_items i USING (order_id) JOIN r_inventory v ON v.store_id = h.store_id AND v.sku_id = i.sku_id"""
+ROLES["x_queue"] = """
+    SELECT a.n, list({'q': a.quantity, 'a': a.available_qty, 'p': a.earlier}) AS lines FROM (
+        SELECT w.n, w.quantity, w.available_qty, list({'n': e.n, 'q': e.quantity}) FILTER (WHERE e.n IS NOT NULL) AS earlier
+        FROM x_wanted w LEFT JOIN x_wanted e ON e.store_id = w.store_id AND e.sku_id = w.sku_id AND e.n < w.n
+        GROUP BY w.n, w.sku_id, w.quantity, w.available_qty) a GROUP BY a.n"""
+ROLES["x_steps"] = """
+    SELECT 0::BIGINT AS n, CAST([] AS BIGINT[]) AS taken
+    UNION ALL
+    SELECT k.n, CASE WHEN len(list_filter(k.lines, lambda l: l.q > l.a - coalesce(list_sum(list_transform(
+               list_filter(l.p, lambda e: list_contains(s.taken, e.n)), lambda e: e.q)), 0))) = 0
+           THEN list_append(s.taken, k.n) ELSE s.taken END
+    FROM x_steps s JOIN x_queue k ON k.n = s.n + 1"""
+ROLES["x_placed"] = """
+    SELECT r.order_id, coalesce(r.reason, CASE WHEN w.n IS NULL THEN 'insufficient' ELSE 'accepted' END) AS outcome
+    FROM x_reasons r LEFT JOIN x_turns t ON t.order_id = r.order_id
+    LEFT JOIN (SELECT unnest(taken) AS n FROM x_steps WHERE n = (SELECT max(n) FROM x_steps)) w ON w.n = t.n"""
+
 
 def oracle(body: str) -> str:
     """The query with the retail tables it mentions, directly or through others, put before it."""
     needed: list[str] = []
+    seen: set[str] = set()
 
     def visit(text: str) -> None:
         for name in re.findall(r"\b[rx]_[a-z_]+\b", text):
-            if name in ROLES and name not in needed:
+            if name in ROLES and name not in seen:
+                seen.add(name)
                 visit(ROLES[name])
-                if name not in needed:
-                    needed.append(name)
+                needed.append(name)
 
     visit(body)
     if not needed:
         return body
     ctes = ",\n".join(f"{n} AS ({ROLES[n]})" for n in needed)
-    glue = ",\n" if body.lstrip().upper().startswith("WITH ") else "\n"
-    rest = body.lstrip()[5:] if glue == ",\n" else body
-    return f"WITH {ctes}{glue}{rest}"
+    recursive = "RECURSIVE " if "x_steps" in seen else ""
+    return f"WITH {recursive}{ctes}\n{body}"

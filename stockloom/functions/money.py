@@ -6,18 +6,29 @@ ratios are taken over integers and rounded half-up once.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def cents(amount: Column) -> Column:
-    """Whole cents of an amount that has at most two decimals."""
-    return (amount.cast("decimal(18,2)") * 100).cast("bigint")
+    """Whole cents of a decimal amount with two decimals.
+
+    The product stays within 18 digits for up to 14-digit amounts, which Spark keeps in a
+    machine word.
+    """
+    return (amount * 100).cast("bigint")
+
+
+def cents_of_double(amount: Column) -> Column:
+    """Whole cents of a double that stands for an amount with two decimals."""
+    return F.rint(amount * 100).cast("bigint")
 
 
 def from_cents(value: Column, precision: int = 12) -> Column:
     """Decimal amount with two decimals from whole cents."""
-    return (value.cast("decimal(20,0)") / F.lit(100)).cast(f"decimal({precision},2)")
+    return (value.cast(f"decimal({precision},0)") * F.lit(Decimal("0.01"))).cast(f"decimal({precision},2)")
 
 
 def half_up(numerator: Column, denominator: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stockloom.functions.text import product_tokens, query_tokens
 from stockloom.plans.topk import bounded, first_rows, top_k
+from stockloom.session import scratch_dir, written
 
 PRODUCT_COLUMNS = (
     "product_id", "style_id", "sku_id", "product_name", "category", "subcategory", "brand", "color", "size",
@@ -93,80 +94,100 @@ def query_rejects(queries: DataFrame, limit: int = 20) -> DataFrame:
     return queries.withColumn("reason", reason).where(F.col("reason").isNotNull())
 
 
-def _anchored(queries: DataFrame) -> DataFrame:
-    """Queries with the text they need for matching: pattern and anchor.
+def _same(left: str, right: str, columns: list[str]) -> Column:
+    """Equality of columns under two aliases, with NULL equal to NULL."""
+    return reduce(lambda a, b: a & b, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns])
 
-    The anchor is the start of the longest run of plain characters in the query, up to three
-    characters. Every match must contain it, so matching starts from an equality join on
-    grams. A query of wildcards only has the empty anchor, which every product answers to.
-    """
-    runs = F.split(F.regexp_replace(F.lower("q"), r"\\.?", "%"), "[%_]")
-    longest = F.element_at(F.array_sort(runs, lambda a, b: F.length(b) - F.length(a)), 1)
-    pattern = F.regexp_replace("q", r"\\([^%_\\])", "$1")
-    return queries.withColumns(
-        {"anchor": F.substring(longest, 1, 3), "pattern": F.concat(F.lit("%"), pattern, F.lit("%"))}
-    )
 
+def _pieces(text: Column, size: int) -> Column:
+    """Every run of ``size`` characters of a text."""
+    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1))
+    none = F.array().cast("array<string>")
+    return F.coalesce(F.transform(starts, lambda i: F.substring(text, i, F.lit(size))), none)
 
-def _grams(text: Column) -> Column:
-    """Distinct character runs of length 0 to 3."""
 
-    def of_size(n: int) -> Column:
-        starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1))
-        return F.coalesce(
-            F.transform(starts, lambda i: F.substring(text, i, F.lit(n))), F.array().cast("array<string>")
-        )
+def _query_grams(q: Column) -> Column:
+    """Runs of three characters that any match of ``q`` contains.
 
-    return F.concat(F.array(F.lit("")), of_size(1), of_size(2), of_size(3))
+    Taken from the longest stretch of ``q`` without wildcards; a stretch shorter than three
+    characters stands for itself.
+    """
+    plain = F.regexp_replace(F.lower(q), r"\\.?", "%")
+    longest = F.try_element_at(F.array_sort(F.split(plain, "[%_]"), lambda a, b: F.length(b) - F.length(a)), F.lit(1))
+    return F.array_distinct(F.when(F.length(longest) >= 3, _pieces(longest, 3)).otherwise(F.array(longest)))
 
 
-def _substring_matches(products: DataFrame, queries: DataFrame) -> DataFrame:
-    asked = _anchored(queries.where(F.col("q").isNotNull()))
-    anchors = asked.select("anchor").distinct()
-    shelf = active_only(products).select("category", "occasion", *[c for c in _SHELF_ORDER if c != "category"],
-                                         "style_id", "product_id")
-    all_grams = F.array_distinct(F.flatten(F.array(*[_grams(F.lower(c)) for c in _SEARCHED])))
-    # Products keep only the grams some query is anchored on before they meet the queries.
-    indexed = shelf.withColumn("anchor", F.explode(all_grams)).join(anchors, "anchor", "left_semi")
-    wanted = asked.select(
-        "query_id", "pattern", "anchor", F.col("category").alias("w_category"), F.col("occasion").alias("w_occasion")
-    )
-    like_any = reduce(
-        lambda a, b: a | b, [F.call_function("ilike", F.col(c), F.col("pattern")) for c in _SEARCHED]
-    )
-    return indexed.join(wanted, "anchor").where(
-        (F.col("w_category").isNull() | (F.col("w_category") == F.col("category")))
-        & (F.col("w_occasion").isNull() | (F.col("w_occasion") == F.col("occasion")))
-        & like_any
-    )
+def _text_grams(text: Column) -> Column:
+    return F.array_distinct(F.concat(F.array(F.lit("")), *[_pieces(text, n) for n in (1, 2, 3)]))
+
 
+def _matches_everything(q: Column) -> Column:
+    return q.isNull() | F.regexp_like(q, F.lit("^%+$"))
 
-def _facet_matches(products: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """Queries without text: the first products of each category / occasion combination.
 
-    Products are ranked within each of the four facets they belong to, then at most
-    ``limit`` rows per facet meet the queries by equality.
+def _matching_texts(texts: DataFrame, queries: DataFrame) -> DataFrame:
+    """Pairs of query and text that contains it: ``q, text``.
+
+    Works like an inverted index: texts and queries meet by equality on the query's rarest
+    gram, and only those pairs are compared in full. A query with a gram no text has is
+    dropped at once.
     """
-    asked = queries.where(F.col("q").isNull()).select("query_id", "category", "occasion")
-    shelf = active_only(products).select(*_SHELF_ORDER, "occasion", "product_id")
-    none = F.lit(None).cast("string")
-    facets = F.array(
-        F.struct(F.col("category").alias("f_category"), F.col("occasion").alias("f_occasion")),
-        F.struct(F.col("category").alias("f_category"), none.alias("f_occasion")),
-        F.struct(none.alias("f_category"), F.col("occasion").alias("f_occasion")),
-        F.struct(none.alias("f_category"), none.alias("f_occasion")),
+    asked = queries.select("q").distinct().where(~_matches_everything(F.col("q")))
+    grams = asked.select("q", F.explode(_query_grams(F.col("q"))).alias("gram"))
+    indexed = texts.select("text", F.explode(_text_grams(F.col("text"))).alias("gram")).join(
+        grams.select("gram").distinct(), "gram", "left_semi"
     )
-    keyed = shelf.withColumn("facet", F.explode(facets)).select("*", "facet.*").drop("facet")
-    heads = top_k(keyed, ["f_category", "f_occasion"], shelf_order(), limit)
-    match = F.col("f_category").eqNullSafe(F.col("q.category")) & F.col("f_occasion").eqNullSafe(F.col("q.occasion"))
-    return heads.alias("h").join(asked.alias("q"), match).select("query_id", "product_id", "rank")
+    counted = grams.join(indexed.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram", "left")
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rarest")
+    anchored = counted.groupBy("q").agg(rarest).where(F.col("rarest.n") > 0).select("q", F.col("rarest.gram").alias("gram"))
+    # A backslash before an ordinary character stands for that character.
+    pattern = F.concat(F.lit("%"), F.regexp_replace("q", r"\\([^%_\\])", "$1"), F.lit("%"))
+    like = F.call_function("ilike", F.col("text"), F.col("pattern"))
+    hit = F.when(F.col("wild"), like).otherwise(F.contains("text", F.lower("q")))
+    anchored = anchored.withColumns({"pattern": pattern, "wild": F.regexp_like("q", F.lit(r"[%_\\]"))})
+    return anchored.join(indexed, "gram").where(hit).select("q", "text")
 
 
 def substring_hits(products: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
-    """First phase of search for a table of queries: ``query_id, product_id, rank``."""
+    """First phase of search for a table of queries: ``query_id, product_id, rank``.
+
+    Equal queries are answered once. Products are ranked per searched text and per filter
+    combination first; a query then merges the leading ``limit`` products of each text it
+    matches, however many products share the text. Queries without text use the empty text
+    that every product carries.
+    """
     bounded("limit", limit, MAX_SEARCH_LIMIT)
-    matched = top_k(_substring_matches(products, queries), ["query_id"], shelf_order(), limit)
-    return matched.select("query_id", "product_id", "rank").unionByName(_facet_matches(products, queries, limit))
+    filters = ["category", "occasion"]
+    shelf = active_only(products).select("product_id", "occasion", *_SHELF_ORDER, "style_id")
+    lowered = F.array_distinct(F.array(*[F.lower(c) for c in _SEARCHED]))
+    texts = shelf.select(F.explode(lowered).alias("text")).distinct()
+    asks = queries.select("q", *filters).distinct()
+    everything = asks.where(_matches_everything(F.col("q"))).withColumn("text", F.lit(""))
+    by_text = asks.join(_matching_texts(texts, queries), "q")
+    wanted = everything.unionByName(by_text)
+
+    none = F.lit(None).cast("string")
+    combinations = F.array(*[
+        F.struct(c.alias("f_category"), o.alias("f_occasion"))
+        for c in (F.col("category"), none) for o in (F.col("occasion"), none)
+    ])
+    facet = ["text", *filters]
+    listed = (
+        shelf.withColumn("text", F.explode(F.array_append(lowered, F.lit(""))))
+        .withColumn("facet", F.explode(combinations))
+        .select("product_id", "text", *[c for c in _SHELF_ORDER if c != "category"],
+                F.col("category").alias("shelf"), F.col("facet.f_category").alias("category"),
+                F.col("facet.f_occasion").alias("occasion"))
+    )
+    needed = listed.alias("l").join(wanted.select(*facet).distinct().alias("w"), _same("l", "w", facet), "left_semi")
+    order = [F.col("shelf" if c == "category" else c).asc_nulls_last() for c in _SHELF_ORDER]
+    heads = top_k(needed, facet, order, limit, rank="place")
+    joined = heads.alias("h").join(wanted.alias("w"), _same("h", "w", facet)).select(
+        "w.q", "w.category", "w.occasion", "h.product_id", "h.shelf", *[f"h.{c}" for c in _SHELF_ORDER if c != "category"]
+    )
+    ask = ["q", *filters]
+    answers = top_k(joined.distinct(), ask, order, limit)
+    return queries.alias("k").join(answers.alias("a"), _same("k", "a", ask)).select("k.query_id", "a.product_id", "a.rank")
 
 
 def token_hits(
@@ -177,30 +198,31 @@ def token_hits(
     Ten points per shared token, twenty more if the product name contains the query and ten
     more if the query contains the product name. A query of three or more tokens needs two
     of them, a shorter one needs one. With ``strict_filters`` a product must also have the
-    category and occasion the query asks for.
+    category and occasion the query asks for. Equal queries are scored once.
     """
     bounded("limit", limit, MAX_SEARCH_LIMIT)
-    wanted = [F.col("category").alias("w_category"), F.col("occasion").alias("w_occasion")]
-    tokenized = queries.where(F.col("q").isNotNull()).select(
-        "query_id", F.lower("q").alias("text"), query_tokens(F.col("q")).alias("tokens"),
-        *(wanted if strict_filters else []),
+    filters = ["category", "occasion"] if strict_filters else []
+    named = queries.where(F.col("q").isNotNull()).select("query_id", F.lower("q").alias("text"), *filters)
+    ask = ["text", *filters]
+    tokenized = named.select(*ask).distinct().withColumn("tokens", query_tokens(F.col("text")))
+    asked = tokenized.select(
+        "text", *[F.col(c).alias(f"w_{c}") for c in filters], F.size("tokens").alias("n"), F.explode("tokens").alias("token")
     )
-    asked = tokenized.withColumn("n", F.size("tokens")).withColumn("token", F.explode("tokens")).drop("tokens")
     texts = [F.col(c) for c in _TOKEN_TEXTS]
-    shelf = active_only(products).select(
-        "product_id", "product_name", "color", "size", "sku_id", *(["category", "occasion"] if strict_filters else []),
-        F.explode(product_tokens(F.col("size"), *texts)).alias("token"),
+    attributes = ["product_id", "product_name", "color", "size", "sku_id"]
+    # Products are placed by id, so that the tokens of one product are counted where they
+    # are matched and the pairs themselves are never shuffled. The catalogue is small next
+    # to the pairs it produces, so its few bytes must not decide the number of tasks.
+    tasks = int(products.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shelf = active_only(products).repartition(tasks, "product_id").select(
+        *attributes, *filters, F.explode(product_tokens(F.col("size"), *texts)).alias("token")
     )
     joined = shelf.join(asked, "token")
-    if strict_filters:
-        joined = joined.where(
-            (F.col("w_category").isNull() | (F.col("w_category") == F.col("category")))
-            & (F.col("w_occasion").isNull() | (F.col("w_occasion") == F.col("occasion")))
-        )
-    pair = ["query_id", "text", "n", "product_id", "product_name", "color", "size", "sku_id"]
-    # Both sides hold a token once, so counting rows counts shared tokens; the count is
-    # combined inside the task that read the product before anything is shuffled.
-    shared = joined.groupBy(*pair).agg(F.count(F.lit(1)).alias("matched"))
+    for c in filters:
+        joined = joined.where(F.col(f"w_{c}").isNull() | (F.col(f"w_{c}") == F.col(c)))
+    # Both sides hold a token once, so counting rows counts shared tokens.
+    wanted = [f"w_{c}" for c in filters]
+    shared = joined.groupBy("text", *wanted, "n", *attributes).agg(F.count(F.lit(1)).alias("matched"))
     kept = shared.where((F.col("matched") >= 2) | (F.col("n") <= 2))
     name = F.lower("product_name")
     score = (
@@ -209,8 +231,14 @@ def token_hits(
         + F.when(F.contains(F.col("text"), name), 10).otherwise(0)
     )
     order = [F.col("score").desc(), F.col("product_name"), F.col("color"), F.col("size"), F.col("sku_id")]
-    ranked = top_k(kept.withColumn("score", score), ["query_id"], order, limit)
-    return ranked.select("query_id", "product_id", "matched", "score", "rank")
+    # The hash leads the sort: most comparisons end at one machine word.
+    scored = kept.withColumns({"score": score, "text_hash": F.xxhash64("text")})
+    ranked = top_k(scored, ["text_hash", "text", *wanted], order, limit).withColumnsRenamed(
+        {f"w_{c}": c for c in filters}
+    )
+    return named.alias("k").join(ranked.alias("r"), _same("k", "r", ask)).select(
+        "k.query_id", "r.product_id", "r.matched", "r.score", "r.rank"
+    )
 
 
 def search(
@@ -219,11 +247,16 @@ def search(
     """Both phases for a table of queries ``query_id, q, category, occasion``.
 
     Token search answers the queries with text that no substring matched. It ignores the
-    category and occasion of the query unless ``strict_filters`` is set.
+    category and occasion of the query unless ``strict_filters`` is set. The first phase is
+    written out: it is used twice, and with the size of what is left known, Catalyst can
+    choose the join for the second phase.
     """
-    direct = substring_hits(products, queries, limit)
+    base = scratch_dir(products.sparkSession, "search")
+    direct = written(substring_hits(products, queries, limit), f"{base}/direct")
     answered = direct.select("query_id").distinct()
-    unanswered = queries.where(F.col("q").isNotNull()).join(answered, "query_id", "left_anti")
+    unanswered = written(
+        queries.where(F.col("q").isNotNull()).join(answered, "query_id", "left_anti"), f"{base}/unanswered"
+    )
     second = token_hits(products, unanswered, limit, strict_filters)
     hits = direct.withColumn("phase", F.lit(1)).unionByName(
         second.select("query_id", "product_id", "rank").withColumn("phase", F.lit(2))

@@ -50,32 +50,42 @@ def best_stores(inventory: DataFrame) -> DataFrame:
     )
 
 
-def first_items(items: DataFrame) -> DataFrame:
-    """First item of each order."""
-    first = F.min(F.struct("line_no", "sku_id", "quantity")).alias("first")
-    return items.groupBy("order_id").agg(first).select(
-        "order_id", F.col("first.sku_id").alias("sku_id"), F.col("first.quantity").alias("quantity")
+def order_content(items: DataFrame) -> DataFrame:
+    """Per order its first item, the copies of its most repeated SKU and whether a quantity is off."""
+    per_sku = items.groupBy("order_id", "sku_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max(F.when(F.col("quantity").between(1, MAX_QUANTITY), 0).otherwise(1)).alias("bad"),
+        F.min(F.struct("line_no", "sku_id", "quantity")).alias("head"),
+    )
+    first = per_sku.groupBy("order_id").agg(
+        F.max("n").alias("copies"), F.max("bad").alias("bad_quantity"), F.min("head").alias("head")
+    )
+    return first.select(
+        "order_id", "copies", "bad_quantity", F.col("head.sku_id").alias("first_sku"),
+        F.col("head.quantity").alias("first_quantity"),
     )
 
 
-def route(headers: DataFrame, items: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Headers with ``store_id``: the store asked for, else the best one for the first item.
-
-    ``store_id`` is NULL where no store has enough of the first item.
-    """
-    found = first_items(items).join(best_stores(inventory), "sku_id", "left")
-    able = F.when(F.col("best_qty") >= F.col("quantity"), F.col("best_store_id"))
-    picked = found.select("order_id", able.alias("auto_store_id"))
+def with_store(requests: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Adds ``store_id``: the store asked for, else the best one for the first item."""
+    best = best_stores(inventory).withColumnRenamed("sku_id", "first_sku")
+    able = F.when(F.col("best_qty") >= F.col("first_quantity"), F.col("best_store_id"))
     return (
-        headers.join(picked, "order_id", "left")
-        .withColumn("store_id", F.coalesce("fulfillment_store_id", "auto_store_id"))
-        .drop("auto_store_id")
+        requests.join(best, "first_sku", "left")
+        .withColumn("store_id", F.coalesce("fulfillment_store_id", able))
+        .drop("best_store_id", "best_qty")
     )
 
 
+def route(headers: DataFrame, items: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Headers with ``store_id``, NULL where no store has enough of the first item."""
+    routed = with_store(headers.join(order_content(items), "order_id", "left"), inventory)
+    return routed.select(*headers.columns, "store_id")
+
+
 def check_lines(routed: DataFrame, items: DataFrame, inventory: DataFrame) -> DataFrame:
     """Each item of a routed order with the store's units and whether they suffice."""
-    lines = items.join(routed.select("order_id", "store_id"), "order_id")
+    lines = items.join(routed.select("order_id", "seq", "store_id"), "order_id")
     stock = inventory.select("store_id", "sku_id", "available_qty")
     return lines.join(stock, ["store_id", "sku_id"], "left").withColumn(
         "enough", F.coalesce(F.col("available_qty") >= F.col("quantity"), F.lit(False))
@@ -125,43 +135,53 @@ def apply_reservations(inventory: DataFrame, accepted: DataFrame, as_of: Column)
     )
 
 
-def request_rejects(headers: DataFrame, items: DataFrame, stores: DataFrame) -> DataFrame:
-    """Orders that break a rule before stock is looked at, with the first reason that holds."""
-    per_sku = items.groupBy("order_id", "sku_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.max(F.when(F.col("quantity").between(1, MAX_QUANTITY), 0).otherwise(1)).alias("bad"),
-    )
-    content = per_sku.groupBy("order_id").agg(F.max("n").alias("copies"), F.max("bad").alias("bad_quantity"))
+def with_request_reason(headers: DataFrame, items: DataFrame, stores: DataFrame) -> DataFrame:
+    """Headers with their content and the first rule they break in ``reason``, if any."""
     known = stores.select(F.col("store_id").alias("destination_store_id"), F.lit(1).alias("known"))
-    checked = headers.join(content, "order_id", "left").join(known, "destination_store_id", "left")
+    checked = headers.join(order_content(items), "order_id", "left").join(known, "destination_store_id", "left")
+    method = F.coalesce(F.col("shipping_method").isin(*SHIPPING_METHODS), F.lit(False))
     reason = (
-        F.when(F.coalesce(F.col("shipping_method").isin(*SHIPPING_METHODS), F.lit(False)) == F.lit(False), "bad_shipping_method")
+        F.when(~method, "bad_shipping_method")
         .when(F.col("copies").isNull(), "no_items")
         .when(F.col("bad_quantity") == 1, "bad_quantity")
         .when(F.col("destination_store_id").isNull() & F.col("ship_to_city").isNull(), "no_destination")
         .when(F.col("destination_store_id").isNotNull() & F.col("known").isNull(), "unknown_store")
         .when(F.col("copies") > 1, "duplicate_sku")
     )
-    return checked.select("order_id", reason.alias("reason")).where(F.col("reason").isNotNull())
+    return checked.withColumn("reason", reason).drop("known", "copies", "bad_quantity")
 
 
-def stock_rejects(routed: DataFrame, items: DataFrame, inventory: DataFrame, products: DataFrame) -> DataFrame:
-    """Orders the opening stock cannot fill, whatever the other orders take."""
-    priced = check_lines(routed, items, inventory).join(
-        products.select("sku_id", F.lit(1).alias("sold")), "sku_id", "left"
-    )
-    content = priced.groupBy("order_id").agg(
-        F.min(F.col("enough").cast("int")).alias("enough"), F.min(F.coalesce("sold", F.lit(0))).alias("sold")
+def request_rejects(headers: DataFrame, items: DataFrame, stores: DataFrame) -> DataFrame:
+    """Orders that break a rule before stock is looked at."""
+    checked = with_request_reason(headers, items, stores)
+    return checked.select("order_id", "reason").where(F.col("reason").isNotNull())
+
+
+def sold_lines(routed: DataFrame, items: DataFrame, inventory: DataFrame, products: DataFrame) -> DataFrame:
+    """Checked lines that also tell whether the catalogue knows the SKU."""
+    known = products.select("sku_id", F.lit(True).alias("sold"))
+    checked = check_lines(routed, items, inventory).join(known, "sku_id", "left")
+    return checked.withColumn("sold", F.coalesce("sold", F.lit(False)))
+
+
+def stock_reasons(routed: DataFrame, lines: DataFrame) -> DataFrame:
+    content = lines.groupBy("order_id").agg(
+        F.bool_and("enough").alias("enough"), F.bool_and("sold").alias("sold")
     )
-    joined = routed.select("order_id", "store_id").join(content, "order_id", "left")
     reason = (
         F.when(F.col("store_id").isNull(), "cannot_fulfil")
-        .when(F.col("enough") == 0, "insufficient")
-        .when(F.col("sold") == 0, "unknown_sku")
+        .when(~F.col("enough"), "insufficient")
+        .when(~F.col("sold"), "unknown_sku")
     )
+    joined = routed.select("order_id", "store_id").join(content, "order_id", "left")
     return joined.select("order_id", reason.alias("reason")).where(F.col("reason").isNotNull())
 
 
+def stock_rejects(routed: DataFrame, items: DataFrame, inventory: DataFrame, products: DataFrame) -> DataFrame:
+    """Orders the opening stock cannot fill, whatever the other orders take."""
+    return stock_reasons(routed, sold_lines(routed, items, inventory, products))
+
+
 def allocate(lines: DataFrame, span: int = SEQ_SPAN) -> DataFrame:
     """Accepts or rejects orders in sequence: ``order_id, accepted``.
 
@@ -220,19 +240,13 @@ def place_orders(
     as_of: Column, span: int = SEQ_SPAN,
 ) -> Placement:
     """Routes, checks, prices and reserves a batch of orders; each order is all or nothing."""
-    broken = request_rejects(headers, items, stores)
-    valid = headers.join(broken, "order_id", "left_anti")
-    routed = route(valid, items, inventory)
-    short = stock_rejects(routed, items, inventory, products)
-    able = routed.join(short, "order_id", "left_anti")
-    lines = (
-        items.join(able.select("order_id", "seq", "store_id"), "order_id")
-        .join(inventory.select("store_id", "sku_id", "available_qty"), ["store_id", "sku_id"])
-    )
     base = scratch_dir(headers.sparkSession, "placement")
-    lines = written(lines, f"{base}/lines")
-    early = written(broken.unionByName(short), f"{base}/rejects")
-    verdicts = allocate(lines, span)
+    # Both tables are used several times below; written out, each input is read once.
+    routed = written(with_store(with_request_reason(headers, items, stores), inventory), f"{base}/routed")
+    able = routed.where(F.col("reason").isNull()).drop("reason")
+    lines = written(sold_lines(able, items, inventory, products), f"{base}/lines")
+    short = written(stock_reasons(able, lines), f"{base}/short")
+    verdicts = allocate(lines.join(short, "order_id", "left_anti"), span)
     won = verdicts.where("accepted").select("order_id")
     lost = verdicts.where(~F.col("accepted")).select("order_id", F.lit("insufficient").alias("reason"))
     accepted = lines.join(won, "order_id", "left_semi")
@@ -242,7 +256,9 @@ def place_orders(
         "estimated_delivery_days", "estimated_delivery_date",
     )
     sold = price_items(accepted, products).select("order_id", "sku_id", "quantity", "unit_price")
-    return Placement(orders, sold, apply_reservations(inventory, accepted, as_of), early.unionByName(lost))
+    broken = routed.where(F.col("reason").isNotNull()).select("order_id", "reason")
+    rejects = broken.unionByName(short).unionByName(lost)
+    return Placement(orders, sold, apply_reservations(inventory, accepted, as_of), rejects)
 
 
 def split_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockloom.functions.money import cents, from_cents, half_up
+from stockloom.functions.money import cents_of_double, from_cents, half_up
 from stockloom.functions.text import padded
 
 
@@ -49,7 +49,7 @@ class Roles:
 
     def products(self) -> DataFrame:
         key, noun = padded(F.col("p_partkey"), 7), F.split("p_name", " ")
-        msrp = cents(F.col("p_retailprice"))
+        msrp = cents_of_double(F.col("p_retailprice"))
         return self.table("part").select(
             F.concat(F.lit("PRD-"), key).alias("product_id"),
             F.concat("p_brand", F.lit("-"), "p_type").alias("style_id"),
@@ -146,24 +146,28 @@ class Roles:
         )
 
     def weekly_performance(self) -> DataFrame:
-        """Sales per week, store and style; lines are summed per product before they meet it."""
-        gross = cents(F.col("l_extendedprice"))
-        discount = half_up(gross * cents(F.col("l_discount")), F.lit(100))
-        line = self.table("lineitem").select(
-            F.date_trunc("week", "l_shipdate").cast("date").alias("week_start_date"),
-            F.col("l_suppkey").cast("int").alias("store_id"), "l_partkey",
-            F.col("l_quantity").cast("bigint").alias("qty"), gross.alias("gross"), discount.alias("disc"),
-            F.when(F.col("l_linestatus") == "O", F.col("l_quantity").cast("bigint")).otherwise(0).alias("av"),
-        )
-        sums = [F.sum(c).alias(c) for c in ("qty", "gross", "disc", "av")]
-        by_part = line.groupBy("week_start_date", "store_id", "l_partkey").agg(*sums)
+        """Sales per week, store and style.
+
+        Lines meet their product first: every sum then needs one shuffle only, after the
+        map-side combine.
+        """
+        gross = cents_of_double(F.col("l_extendedprice"))
+        discount = half_up(gross * cents_of_double(F.col("l_discount")), F.lit(100))
         part = self.table("part").select(
             F.col("p_partkey").alias("l_partkey"), F.concat("p_brand", F.lit("-"), "p_type").alias("style_id"),
-            half_up(cents(F.col("p_retailprice")) * 40, F.lit(100)).alias("cost"),
+            half_up(cents_of_double(F.col("p_retailprice")) * 40, F.lit(100)).alias("cost"),
+        )
+        qty = F.col("l_quantity").cast("bigint")
+        line = self.table("lineitem").join(part, "l_partkey").select(
+            F.date_trunc("week", "l_shipdate").cast("date").alias("week_start_date"),
+            F.col("l_suppkey").cast("int").alias("store_id"), "style_id", qty.alias("qty"), gross.alias("gross"),
+            discount.alias("disc"), (qty * F.col("cost")).alias("spent"),
+            F.when(F.col("l_linestatus") == "O", qty).otherwise(0).alias("av"),
+        )
+        weekly = line.groupBy("week_start_date", "store_id", "style_id").agg(
+            *[F.sum(c).alias(c) for c in ("qty", "gross", "disc", "spent")]
         )
-        sold = by_part.join(part, "l_partkey").withColumn("spent", F.col("qty") * F.col("cost"))
-        weekly = sold.groupBy("week_start_date", "store_id", "style_id").agg(*sums, F.sum("spent").alias("spent"))
-        stock = weekly.groupBy("store_id", "style_id").agg(F.sum("av").alias("stock"))
+        stock = line.groupBy("store_id", "style_id").agg(F.sum("av").alias("stock"))
         full = weekly.join(stock, ["store_id", "style_id"])
         units, net = F.col("qty"), F.col("gross") - F.col("disc")
         return full.select(
@@ -189,8 +193,8 @@ class Roles:
         )
 
     def transaction_items(self) -> DataFrame:
-        gross, qty = cents(F.col("l_extendedprice")), F.col("l_quantity").cast("bigint")
-        discount = half_up(gross * cents(F.col("l_discount")), F.lit(100))
+        gross, qty = cents_of_double(F.col("l_extendedprice")), F.col("l_quantity").cast("bigint")
+        discount = half_up(gross * cents_of_double(F.col("l_discount")), F.lit(100))
         return self.table("lineitem").select(
             F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("transaction_item_id"),
             F.col("l_orderkey").alias("transaction_id"),
@@ -203,8 +207,8 @@ class Roles:
         reasons = [
             "size_issue", "quality_issue", "damaged_in_shipping", "late_delivery", "changed_mind", "wrong_item",
         ]
-        gross = cents(F.col("l_extendedprice"))
-        refund = gross - half_up(gross * cents(F.col("l_discount")), F.lit(100))
+        gross = cents_of_double(F.col("l_extendedprice"))
+        refund = gross - half_up(gross * cents_of_double(F.col("l_discount")), F.lit(100))
         item = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
         joined = self.table("lineitem").where(F.col("l_returnflag") == "R").join(
             self.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey"
@@ -251,14 +255,14 @@ class Roles:
         return _pick(F.col("o_orderkey"), ["standard", "expedited", "overnight", "store_pickup"]).alias("shipping_method")
 
     def order_lines(self) -> DataFrame:
-        gross, qty = cents(F.col("l_extendedprice")), F.col("l_quantity").cast("bigint")
+        gross, qty = cents_of_double(F.col("l_extendedprice")), F.col("l_quantity").cast("bigint")
         lines = self.table("lineitem").groupBy("l_orderkey", "l_partkey").agg(
             F.sum(qty).cast("int").alias("quantity"), F.max(half_up(gross, qty)).alias("price")
         )
         return lines.select(
             self._order_id(F.col("l_orderkey")),
             F.concat(F.lit("SKU-"), padded(F.col("l_partkey"), 7)).alias("sku_id"), "quantity",
-            from_cents(F.col("price"), 10).alias("unit_price"),
+            from_cents_of_double(F.col("price"), 10).alias("unit_price"),
         )
 
     def request_items(self) -> DataFrame:
