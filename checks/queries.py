@@ -262,7 +262,7 @@ _STOCK_SQL = f"""
 
 @query("product_inventory", _STOCK_SQL)
 def _product_inventory(r: Roles) -> DataFrame:
-    return stock.inventory_for_products(r.inventory(), r.stores(), r.products())
+    return stock.inventory_for_products(r.inventory(), r.stores(), r.products(), ordered=False)
 
 
 @query("product_inventory_at_store", _STOCK_SQL + " WHERE i.store_id = 7")
@@ -345,7 +345,7 @@ _WEEKLY = """
 
 @query("weekly_performance", _WEEKLY)
 def _weekly(r: Roles) -> DataFrame:
-    return planning.weekly_performance(r.weekly_performance(), r.stores(), r.products())
+    return planning.weekly_performance(r.weekly_performance(), r.stores(), r.products(), ordered=False)
 
 
 @query("weekly_performance_filtered", _WEEKLY + """
@@ -544,7 +544,7 @@ def _order_summary(r: Roles) -> DataFrame:
     SELECT order_id, sku_id, quantity, price_c / 100.0::DOUBLE AS unit_price, (quantity * price_c) / 100.0::DOUBLE AS line_total
     FROM r_order_lines""")
 def _order_lines(r: Roles) -> DataFrame:
-    return orders.order_lines(r.order_lines())
+    return orders.order_lines(r.order_lines(), ordered=False)
 
 
 @query("route_order", "SELECT order_id, store_id FROM x_routed")

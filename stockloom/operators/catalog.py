@@ -204,26 +204,45 @@ def token_hits(
     filters = ["category", "occasion"] if strict_filters else []
     named = queries.where(F.col("q").isNotNull()).select("query_id", F.lower("q").alias("text"), *filters)
     ask = ["text", *filters]
-    tokenized = named.select(*ask).distinct().withColumn("tokens", query_tokens(F.col("text")))
-    asked = tokenized.select(
-        "text", *[F.col(c).alias(f"w_{c}") for c in filters], F.size("tokens").alias("n"), F.explode("tokens").alias("token")
-    )
-    texts = [F.col(c) for c in _TOKEN_TEXTS]
+    tokenized = named.select(*ask).distinct().withColumn("token", F.explode(query_tokens(F.col("text"))))
     attributes = ["product_id", "product_name", "color", "size", "sku_id"]
-    # Products are placed by id, so that the tokens of one product are counted where they
-    # are matched and the pairs themselves are never shuffled. The catalogue is small next
-    # to the pairs it produces, so its few bytes must not decide the number of tasks.
+    # The catalogue is small next to the pairs it produces, so its few bytes must not decide
+    # the number of tasks.
     tasks = int(products.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shelf = active_only(products).repartition(tasks, "product_id").select(
-        *attributes, *filters, F.explode(product_tokens(F.col("size"), *texts)).alias("token")
+    held = product_tokens(F.col("size"), *[F.col(c) for c in _TOKEN_TEXTS])
+    shelf = active_only(products).repartition(tasks, "product_id").select(*attributes, *filters, held.alias("held"))
+    listed = shelf.withColumn("token", F.explode("held"))
+
+    frequency = (
+        listed.select("token").join(tokenized.select("token").distinct(), "token", "left_semi")
+        .groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    )
+    rare_first = F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")))
+    asked = tokenized.join(frequency, "token", "left").groupBy(*ask).agg(rare_first.alias("t")).select(
+        "text", *[F.col(c).alias(f"w_{c}") for c in filters], F.col("t.token").alias("tokens"), F.size("t").alias("n")
     )
-    joined = shelf.join(asked, "token")
+    # A query that needs two shared tokens shares one besides its most frequent, so that one
+    # is not looked up but tested on the pairs the others found.
+    spare = F.when(F.col("n") >= 3, F.element_at("tokens", -1))
+    looked_up = F.filter("tokens", lambda t: ~t.eqNullSafe(F.col("spare")))
+    # Written out, so that Catalyst knows the size of the query side when it picks the join.
+    probes = written(
+        asked.withColumn("spare", spare).withColumn("token", F.explode(looked_up)).drop("tokens"),
+        scratch_dir(products.sparkSession, "probes"),
+    )
+    joined = listed.join(probes, "token")
     for c in filters:
         joined = joined.where(F.col(f"w_{c}").isNull() | (F.col(f"w_{c}") == F.col(c)))
-    # Both sides hold a token once, so counting rows counts shared tokens.
     wanted = [f"w_{c}" for c in filters]
-    shared = joined.groupBy("text", *wanted, "n", *attributes).agg(F.count(F.lit(1)).alias("matched"))
-    kept = shared.where((F.col("matched") >= 2) | (F.col("n") <= 2))
+    # Both sides hold a token once, so counting rows counts shared tokens. Products are placed
+    # by id: the pairs of a product are counted in the task that found them.
+    has_spare = F.coalesce(F.array_contains("held", F.col("spare")), F.lit(False)).cast("int")
+    counted = joined.select("text", *wanted, "n", *attributes, has_spare.alias("extra")).groupBy(
+        "text", *wanted, "n", *attributes, "extra"
+    ).agg(F.count(F.lit(1)).alias("found"))
+    kept = counted.withColumn("matched", F.col("found") + F.col("extra")).where(
+        (F.col("matched") >= 2) | (F.col("n") <= 2)
+    )
     name = F.lower("product_name")
     score = (
         F.col("matched") * 10

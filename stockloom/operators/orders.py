@@ -37,9 +37,13 @@ def order_summary(orders: DataFrame, stores: DataFrame, lines: DataFrame) -> Dat
     )
 
 
-def order_lines(lines: DataFrame) -> DataFrame:
-    """Order lines with their total, in SKU order within each order."""
-    return lines.select(
+def order_lines(lines: DataFrame, ordered: bool = True) -> DataFrame:
+    """Order lines with their total, in SKU order within each order.
+
+    ``ordered=False`` spares the global sort of a result that goes to a table.
+    """
+    priced = lines.select(
         "order_id", "sku_id", "quantity", F.col("unit_price").cast("double").alias("unit_price"),
         (F.col("quantity") * F.col("unit_price")).cast("double").alias("line_total"),
-    ).orderBy("order_id", "sku_id")
+    )
+    return priced.orderBy("order_id", "sku_id") if ordered else priced

@@ -28,9 +28,12 @@ def style_categories(products: DataFrame) -> DataFrame:
 
 def weekly_performance(
     performance: DataFrame, stores: DataFrame, products: DataFrame, category: str | None = None,
-    style_id: str | None = None, store_id: int | None = None, week_from=None, week_to=None,
+    style_id: str | None = None, store_id: int | None = None, week_from=None, week_to=None, ordered: bool = True,
 ) -> DataFrame:
-    """Weekly rows with store name and category, newest week first."""
+    """Weekly rows with store name and category, newest week first.
+
+    ``ordered=False`` spares the global sort of a result that goes to a table.
+    """
     kept = apply_filters(
         performance, style_id=style_id, store_id=store_id,
         at_least={"week_start_date": week_from}, at_most={"week_start_date": week_to},
@@ -38,10 +41,12 @@ def weekly_performance(
     categories = apply_filters(style_categories(products), category=category)
     money = ("net_sales", "gross_margin", "markdown_rate", "sell_through_pct", "weeks_of_supply")
     rows = kept.join(stores.select("store_id", "store_name"), "store_id").join(categories, "style_id")
-    return rows.select(
+    report = rows.select(
         "week_start_date", "store_id", "store_name", "category", "style_id", "units_sold",
         *[F.col(c).cast("double").alias(c) for c in money],
-    ).orderBy(F.col("week_start_date").desc_nulls_last(), "store_id", "style_id", "category")
+    )
+    order = [F.col("week_start_date").desc_nulls_last(), F.col("store_id"), F.col("style_id"), F.col("category")]
+    return report.orderBy(*order) if ordered else report
 
 
 def avg_performance(

@@ -38,12 +38,13 @@ def inventory_order() -> list[Column]:
 
 def inventory_for_products(
     inventory: DataFrame, stores: DataFrame, products: DataFrame, ids: DataFrame | None = None,
-    store_id: int | None = None,
+    store_id: int | None = None, ordered: bool = True,
 ) -> DataFrame:
     """Stock of the asked products in every store, or in one store.
 
     ``ids`` holds ``product_id``; without it every product is reported. Products are cut to
-    the asked ones first, so the inventory meets a short list.
+    the asked ones first, so the inventory meets a short list. ``ordered=False`` spares the
+    global sort of a result that goes to a table.
     """
     asked = products.select("product_id", "sku_id")
     if ids is not None:
@@ -51,7 +52,8 @@ def inventory_for_products(
     kept = apply_filters(inventory, store_id=store_id)
     rows = stock_by_store(kept.join(asked, "sku_id"), stores)
     columns = ["product_id", "store_id", *_STORE_COLUMNS, "sku_id", *_STOCK_COLUMNS]
-    return rows.select(*columns).orderBy(*inventory_order())
+    report = rows.select(*columns)
+    return report.orderBy(*inventory_order()) if ordered else report
 
 
 def type_rank(relation_type: Column) -> Column:
@@ -82,7 +84,11 @@ def related(
     at_origin = F.lit(None).cast("int") if origin_store is None else F.when(
         F.col("store_id") == origin_store, F.col("available_qty")
     )
-    stock = inventory.groupBy(F.col("sku_id").alias("related_sku_id")).agg(
+    held = inventory
+    if ids is not None:
+        asked_skus = edges.select("related_product_id").join(target, "related_product_id")
+        held = held.join(asked_skus.select(F.col("related_sku_id").alias("sku_id")).distinct(), "sku_id", "left_semi")
+    stock = held.groupBy(F.col("sku_id").alias("related_sku_id")).agg(
         F.sum(at_origin).cast("int").alias("related_available_qty_in_origin_store"),
         F.sum("available_qty").cast("int").alias("total_qty"),
     )
