@@ -655,13 +655,7 @@ def _place_orders_inventory(r: Roles) -> DataFrame:
 def _place_orders_stream(r: Roles) -> DataFrame:
     """All requests arrive in one micro-batch, as several files."""
     state, inbox = scratch_dir(r.spark, "intake"), scratch_dir(r.spark, "inbox")
-    listed = r.request_items().groupBy("order_id").agg(
-        F.sort_array(F.collect_list(F.struct("line_no", "sku_id", "quantity"))).alias("l")
-    )
-    items = F.transform("l", lambda x: F.struct(x["sku_id"].alias("sku_id"), x["quantity"].alias("quantity")))
-    requests = r.request_headers().join(listed.select("order_id", items.alias("items")), "order_id").withColumn(
-        "placed_at", F.expr(_AS_OF)
-    )
+    requests = r.request_headers().join(r.request_items(), "order_id").withColumn("placed_at", F.expr(_AS_OF))
     requests.write.parquet(inbox)
     order_stream.start_inventory(r.inventory(), state)
     source = r.spark.readStream.schema(requests.schema).parquet(inbox)
@@ -1121,6 +1115,3 @@ def _scalars(r: Roles) -> DataFrame:
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """The planning report."""
     return QUERIES["planning_recommendations"](spark, folder)
-
-
-

@@ -39,9 +39,14 @@ def products_by_id(products: DataFrame, ids: DataFrame) -> DataFrame:
     return product_records(products.join(ids.select("product_id").distinct(), "product_id", "left_semi"))
 
 
+def missing_keys(table: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """Asked keys a table does not hold."""
+    return asked.select(key).distinct().join(table.select(key), key, "left_anti")
+
+
 def missing_products(products: DataFrame, ids: DataFrame) -> DataFrame:
     """Asked ``product_id`` values the catalogue does not hold."""
-    return ids.select("product_id").distinct().join(products.select("product_id"), "product_id", "left_anti")
+    return missing_keys(products, ids, "product_id")
 
 
 def active_only(products: DataFrame) -> DataFrame:
@@ -281,3 +286,19 @@ def search(
         second.select("query_id", "product_id", "rank").withColumn("phase", F.lit(2))
     )
     return hits.join(product_records(products), "product_id")
+
+
+def search_one(
+    products: DataFrame, q: str | None = None, category: str | None = None, occasion: str | None = None,
+    limit: int = 20,
+) -> DataFrame:
+    """Both phases for one query: product records in their order.
+
+    The first phase runs at once, because only an empty result calls for the second.
+    """
+    direct = substring_search(products, q, category, occasion, limit)
+    if q is None or not direct.isEmpty():
+        return direct
+    asked = products.sparkSession.createDataFrame([("q", q)], "query_id string, q string")
+    hits = token_hits(products, asked, limit).select("product_id", "rank")
+    return product_records(products).join(hits, "product_id").orderBy("rank").select(*PRODUCT_COLUMNS)

@@ -262,8 +262,15 @@ def place_orders(
 
 
 def split_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Headers and items of requests that carry ``items array<struct<sku_id, quantity>>``."""
-    items = requests.select("order_id", F.posexplode("items").alias("line_no", "item")).select(
-        "order_id", "line_no", "item.sku_id", "item.quantity"
-    )
-    return requests.drop("items"), items
+    """Headers and items of a table of requests.
+
+    A request is either one row with ``items array<struct<sku_id, quantity>>`` or one row per
+    item with ``line_no, sku_id, quantity``, which suits orders of any length.
+    """
+    if "items" in requests.columns:
+        items = requests.select("order_id", F.posexplode("items").alias("line_no", "item")).select(
+            "order_id", "line_no", "item.sku_id", "item.quantity"
+        )
+        return requests.drop("items"), items
+    item = ["line_no", "sku_id", "quantity"]
+    return requests.drop(*item).distinct(), requests.select("order_id", *item)

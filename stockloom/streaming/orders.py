@@ -21,7 +21,10 @@ def start_inventory(inventory: DataFrame, state: str) -> None:
 def place_orders_stream(
     requests: DataFrame, products: DataFrame, stores: DataFrame, state: str, **trigger
 ) -> StreamingQuery:
-    """Runs a stream of order requests (with an ``items`` array and ``placed_at``) into ``state``.
+    """Runs a stream of order requests, each stamped ``placed_at``, into ``state``.
+
+    Requests have either form of :func:`split_requests`; the rows of one order must arrive in
+    the same file.
 
     Batch ``n`` reads inventory version ``n`` and writes version ``n + 1`` last, after its
     orders, lines and rejects. A replayed batch finds the version it read unchanged and
