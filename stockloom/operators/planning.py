@@ -15,6 +15,11 @@ TRANSFER_SELL_THROUGH, TRANSFER_WEEKS, TRANSFER_MIN_UNITS, TRANSFER_UNITS = 65,
 MARKDOWN_SELL_THROUGH, MARKDOWN_WEEKS = 35, 5
 REORDER_SELL_THROUGH, REORDER_WEEKS, REORDER_UNITS = 70, 1.5, 4
 
+# Wording of the rationale; {} stands for a store name.
+TRANSFER_NOTE = "Demand is high in {} with low supply; move inventory from {}."
+MARKDOWN_NOTE = "Low sell-through and high weeks of supply suggest deeper markdown testing in {}."
+REORDER_NOTE = "Strong demand and low weeks of supply support a reorder for {}."
+
 _REPORT_COLUMNS = (
     "action_type", "priority", "style_id", "category", "source_store_id", "source_store_name",
     "target_store_id", "target_store_name", "recommended_units", "rationale",
@@ -49,6 +54,24 @@ def weekly_performance(
     return report.orderBy(*order) if ordered else report
 
 
+def _means(performance: DataFrame) -> DataFrame:
+    """Mean sell-through and weeks of supply per store and style."""
+    sums = performance.groupBy("store_id", "style_id").agg(
+        F.sum(cents(F.col("sell_through_pct"))).alias("st"), F.count("sell_through_pct").alias("st_n"),
+        F.sum(cents(F.col("weeks_of_supply"))).alias("wos"), F.count("weeks_of_supply").alias("wos_n"),
+    )
+    return sums.select(
+        "store_id", "style_id", hundredths_mean(F.col("st"), F.col("st_n")).alias("avg_sell_through"),
+        hundredths_mean(F.col("wos"), F.col("wos_n")).alias("avg_wos"),
+    )
+
+
+def _labelled(rows: DataFrame, stores: DataFrame, products: DataFrame, category: str | None) -> DataFrame:
+    """Rows with store name and category; rows of unknown stores or styles drop out."""
+    categories = apply_filters(style_categories(products), category=category)
+    return rows.join(stores.select("store_id", "store_name"), "store_id").join(categories, "style_id")
+
+
 def avg_performance(
     performance: DataFrame, stores: DataFrame, products: DataFrame, category: str | None = None
 ) -> DataFrame:
@@ -57,19 +80,8 @@ def avg_performance(
     Weeks are summed before the joins: store and category only label a (store, style) pair,
     so they need not be carried through the large aggregation.
     """
-    sums = performance.groupBy("store_id", "style_id").agg(
-        F.sum(cents(F.col("sell_through_pct"))).alias("st"), F.count("sell_through_pct").alias("st_n"),
-        F.sum(cents(F.col("weeks_of_supply"))).alias("wos"), F.count("weeks_of_supply").alias("wos_n"),
-    )
-    categories = apply_filters(style_categories(products), category=category)
-    return (
-        sums.join(stores.select("store_id", "store_name"), "store_id")
-        .join(categories, "style_id")
-        .select(
-            "store_id", "store_name", "style_id", "category",
-            hundredths_mean(F.col("st"), F.col("st_n")).alias("avg_sell_through"),
-            hundredths_mean(F.col("wos"), F.col("wos_n")).alias("avg_wos"),
-        )
+    return _labelled(_means(performance), stores, products, category).select(
+        "store_id", "store_name", "style_id", "category", "avg_sell_through", "avg_wos"
     )
 
 
@@ -91,37 +103,45 @@ def _action(action: str, priority: str, rank: int, source, target, units, ration
     )
 
 
+def _note(wording: str, *names: Column) -> Column:
+    texts = wording.split("{}")
+    parts = [F.lit(texts[0])]
+    for name, after in zip(names, texts[1:]):
+        parts += [name, F.lit(after)]
+    return F.concat(*parts)
+
+
 def _markdown(row: Column) -> Column:
-    note = F.concat(
-        F.lit("Low sell-through and high weeks of supply suggest deeper markdown testing in "),
-        row["store_name"], F.lit("."),
-    )
-    return _action("markdown_adjustment", "medium", 1, row, None, None, note)
+    return _action("markdown_adjustment", "medium", 1, row, None, None, _note(MARKDOWN_NOTE, row["store_name"]))
 
 
 def _reorder(row: Column) -> Column:
-    note = F.concat(
-        F.lit("Strong demand and low weeks of supply support a reorder for "), row["store_name"], F.lit(".")
-    )
+    note = _note(REORDER_NOTE, row["store_name"])
     return _action("reorder", "high", 0, None, row, F.lit(REORDER_UNITS), note)
 
 
 def _transfer(source: Column, target: Column) -> Column:
-    note = F.concat(
-        F.lit("Demand is high in "), target["store_name"], F.lit(" with low supply; move inventory from "),
-        source["store_name"], F.lit("."),
-    )
     units = F.least(source["stock"], F.lit(TRANSFER_UNITS))
+    note = _note(TRANSFER_NOTE, target["store_name"], source["store_name"])
     return _action("transfer", "high", 0, source, target, units, note)
 
 
-def _stocked_performance(performance, stores, products, inventory, category) -> DataFrame:
-    """Mean performance with the units of the style the store has available."""
-    perf = avg_performance(performance, stores, products, category)
+def _role_rows(performance, stores, products, inventory, category, roles: dict[str, Column]) -> DataFrame:
+    """One row per store, style, category and role played, with the units the store has.
+
+    Performance and stock are both grouped by (store, style), so they join without another
+    shuffle. Pairs that play no role are dropped before names and categories are attached.
+    """
     stock = style_inventory(inventory, products)
-    return perf.join(stock, ["store_id", "style_id"], "left").withColumn(
+    rows = _means(performance).join(stock, ["store_id", "style_id"], "left").withColumn(
         "stock", F.coalesce("style_available_qty", F.lit(0))
-    ).drop("style_available_qty")
+    )
+    listed = F.filter(
+        F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(role)) for role, cond in roles.items()]),
+        lambda r: r.isNotNull(),
+    )
+    playing = rows.select("store_id", "style_id", "stock", listed.alias("roles")).where(F.size("roles") > 0)
+    return _labelled(playing, stores, products, category).withColumn("role", F.explode("roles")).drop("roles")
 
 
 def _is_reorder() -> Column:
@@ -150,17 +170,12 @@ def _report_order() -> list[Column]:
     ]
 
 
-def _candidates(rows: DataFrame, roles: dict[str, Column], limit: int) -> DataFrame:
+def _candidates(played: DataFrame, roles: dict[str, Column], limit: int) -> DataFrame:
     """Per style, the first ``limit`` stores of each role as sorted arrays of structs.
 
-    A row may play several roles. Roles are cut to ``limit`` stores per style before they are
-    gathered, so the arrays stay small however many stores carry a style.
+    Roles are cut to ``limit`` stores per style before they are gathered, so the arrays stay
+    small however many stores carry a style.
     """
-    listed = F.filter(
-        F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(role)) for role, cond in roles.items()]),
-        lambda r: r.isNotNull(),
-    )
-    played = rows.withColumn("role", F.explode(listed))
     kept = top_k(played, ["style_id", "role"], [F.col("store_id"), F.col("category")], limit)
     store = F.struct("store_id", "category", "store_name", "stock")
     return kept.groupBy("style_id").agg(
@@ -197,8 +212,9 @@ def _report(grouped: DataFrame, actions: Column, limit: int) -> DataFrame:
 def transfers(performance, stores, products, inventory, category: str | None = None, limit: int = 25) -> DataFrame:
     """Moves from stores with stock of a style to stores that sell it well and have none."""
     bounded("limit", limit, 100)
-    rows = _stocked_performance(performance, stores, products, inventory, category)
-    grouped = _candidates(rows, {"needy": _is_needy(), "supplier": _is_supplier()}, limit)
+    roles = {"needy": _is_needy(), "supplier": _is_supplier()}
+    rows = _role_rows(performance, stores, products, inventory, category, roles)
+    grouped = _candidates(rows, roles, limit)
     return _report(grouped, _transfers(limit), limit)
 
 
@@ -228,10 +244,10 @@ def recommendations(
     role, which is enough for the first ``limit`` actions of the report.
     """
     bounded("limit", limit, 100)
-    rows = _stocked_performance(performance, stores, products, inventory, category)
     roles = {
         "reorder": _is_reorder(), "markdown": _is_markdown(), "needy": _is_needy(), "supplier": _is_supplier(),
     }
+    rows = _role_rows(performance, stores, products, inventory, category, roles)
     grouped = _candidates(rows, roles, limit)
     actions = F.concat(
         F.transform("reorder", _reorder), F.transform("markdown", _markdown), _transfers(limit)

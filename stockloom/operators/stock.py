@@ -126,13 +126,11 @@ def imbalance(
        stocked stores can be part of the first ``limit`` pairs.
     """
     bounded("limit", limit, 100)
-    known = inventory.select("store_id", "sku_id", "available_qty").join(
-        stores.select("store_id"), "store_id", "left_semi"
-    )
+    slim, open_stores = inventory.select("store_id", "sku_id", "available_qty"), stores.select("store_id")
     catalogue = apply_filters(products.select("sku_id", "style_id", "product_name", "category"), category=category)
     qty = F.col("available_qty")
     per_sku = (
-        known.groupBy("sku_id")
+        slim.join(open_stores, "store_id", "left_semi").groupBy("sku_id")
         .agg(F.max(qty).alias("largest"), F.max(F.when(qty == 0, 1).otherwise(0)).alias("short"))
         .where((F.col("short") == 1) & (F.col("largest") > 0))
     )
@@ -143,7 +141,7 @@ def imbalance(
         .drop("largest", "short")
     )
     # At most `limit` rows, hence safe to broadcast.
-    rows = known.where(qty >= 0).join(F.broadcast(heads), "sku_id")
+    rows = slim.where(qty >= 0).join(F.broadcast(heads), "sku_id").join(open_stores, "store_id", "left_semi")
     # Quantities sort descending; empty stores all tie at zero, so each side orders by store.
     sides = top_k(
         rows.withColumn("side", F.when(qty == 0, "short").otherwise("surplus")),
