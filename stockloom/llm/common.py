@@ -27,24 +27,27 @@ def cell_of(key: Column) -> Column:
     return F.substring(key, 1, CELL_DIGITS)
 
 
-def positions(df: DataFrame, groups: list[str], key: str, ties: list[str], name: str) -> DataFrame:
-    """0-based position of every row in its group, ordered by the hex column ``key`` and then ``ties``.
-
-    A group is cut into cells of its key. Cells are counted with partial sums, their offsets come
-    from a window over at most 4096 rows per group, and only rows of one cell are sorted
-    together, so a group of any size spreads over many tasks.
+def running_before(
+    df: DataFrame, groups: list[str], key: str, ties: list[str], name: str, value: Column | None = None
+) -> DataFrame:
+    """Sum of ``value`` over the rows before each row of its group, ordered by the hex column ``key``, then ``ties``.
+
+    Without ``value`` it is the 0-based position. A group is cut into cells of its key. Cells are
+    totalled with partial sums, their offsets come from a window over at most 4096 rows per
+    group, and only rows of one cell are sorted together, so a group of any size spreads over
+    many tasks. Null groups are groups.
     """
-    split = df.withColumn("__cell", cell_of(F.col(key)))
-    counts = split.groupBy(*groups, "__cell").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*groups).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*groups, "__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy(*groups, "__cell").orderBy(key, *ties)
-    ranked = split.withColumn("__rank", F.row_number().over(inside))
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in [*groups, "__cell"]]
-    condition = same[0]
-    for one in same[1:]:
-        condition = condition & one
-    kept = [F.col(f"r.{c}") for c in df.columns]
-    return ranked.alias("r").join(offsets.alias("o"), condition).select(
-        *kept, (F.col("o.__before") + F.col("r.__rank") - 1).cast("bigint").alias(name)
+    by = [*groups, "__cell"]
+    amount = F.lit(1) if value is None else value
+    split = df.withColumns({"__cell": cell_of(F.col(key)), "__v": amount.cast("bigint")})
+    totals = split.groupBy(*by).agg(F.sum("__v").alias("__n"))
+    earlier = Window.partitionBy(*groups).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy(*by).orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    summed = split.withColumn("__inside", F.coalesce(F.sum("__v").over(inside), F.lit(0)))
+    condition = F.lit(True)
+    for c in by:
+        condition = condition & F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}"))
+    return summed.alias("r").join(offsets.alias("o"), condition).select(
+        *[F.col(f"r.{c}") for c in df.columns], (F.col("o.__before") + F.col("r.__inside")).cast("bigint").alias(name)
     )

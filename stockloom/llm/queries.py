@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stockloom.llm import prefix_targets
+from stockloom.llm import length_buckets, mixing_flow, prefix_targets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -58,3 +59,44 @@ def op3_prefix_targets(spark: SparkSession, folder: str) -> DataFrame:
     )
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
     return prefix_targets.digest(prefix_targets.expand(rows))
+
+
+_WORDS = "coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)"
+
+
+@query("op6_length_buckets")
+def op6_length_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document in its optimal length bucket and token-budget batch."""
+    return length_buckets.pack(table(spark, folder, "documents"))
+
+
+@query("op7_mixing_flow", f"""
+    WITH sized AS (SELECT doc_id, source, {_WORDS} AS size, md5('{mixing_flow.SEED}:' || doc_id) AS key FROM documents),
+    sources AS (
+      SELECT source, sum(size) AS s, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM sized GROUP BY source),
+    weighed AS (SELECT *, [5, 2, 1][i % 3 + 1] AS w, 2 * s / [5, 2, 1][i % 3 + 1] AS full_at FROM sources),
+    ranked AS (
+      SELECT *, 1.5 * sum(s) OVER () - coalesce(sum(2 * s) OVER before, 0) AS room,
+             sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS weight
+      FROM weighed
+      WINDOW before AS (ORDER BY full_at, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    stop AS (SELECT room, weight, full_at, i FROM ranked WHERE 2 * s * weight > room * w ORDER BY full_at, i LIMIT 1),
+    targets AS (
+      SELECT r.source, r.s, CASE WHEN t.i IS NULL OR (r.full_at, r.i) < (t.full_at, t.i) THEN (2 * r.s)::DOUBLE
+             ELSE t.room::DOUBLE * r.w / t.weight::DOUBLE END AS target
+      FROM ranked r LEFT JOIN stop t ON TRUE),
+    parts AS (SELECT *, round_even(target, 0)::BIGINT AS goal FROM targets),
+    running AS (
+      SELECT d.doc_id, d.size, p.s, p.target, p.goal,
+             sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS before
+      FROM sized d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source)
+    SELECT doc_id, size::BIGINT AS size, s::BIGINT AS source_size, target,
+           (size * CASE WHEN s = 0 THEN 0 ELSE goal // s + CASE WHEN goal % s > 0 AND 2 * before + size <= 2 * (goal % s) THEN 1
+                   ELSE 0 END END)::BIGINT AS taken
+    FROM running""")
+def op7_mixing_flow(spark: SparkSession, folder: str) -> DataFrame:
+    """What the mix takes of every document; each belongs to the source of its row."""
+    mixed = mixing_flow.mix(table(spark, folder, "documents"))
+    return mixed.select(
+        "doc_id", "size", F.col("target_sizes")[0].alias("source_size"), F.col("targets")[0].alias("target"), "taken"
+    )
