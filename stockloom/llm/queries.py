@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockloom.llm import length_buckets, mixing_flow, prefix_targets
+from stockloom.llm import fertility, length_buckets, mixing_flow, prefix_targets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -100,3 +100,9 @@ def op7_mixing_flow(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select(
         "doc_id", "size", F.col("target_sizes")[0].alias("source_size"), F.col("targets")[0].alias("target"), "taken"
     )
+
+
+@query("op1_fertility")
+def op1_fertility(spark: SparkSession, folder: str) -> DataFrame:
+    """Base measures, fertility and verdict of every whole document."""
+    return table(spark, folder, "documents").select("doc_id", fertility.assess(F.col("text")).alias("m")).select("doc_id", "m.*")
