@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockloom.llm import fertility, length_buckets, mixing_flow, prefix_targets
+from stockloom.llm import fertility, length_buckets, mixing_flow, prefix_counts, prefix_targets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -106,3 +106,13 @@ def op7_mixing_flow(spark: SparkSession, folder: str) -> DataFrame:
 def op1_fertility(spark: SparkSession, folder: str) -> DataFrame:
     """Base measures, fertility and verdict of every whole document."""
     return table(spark, folder, "documents").select("doc_id", fertility.assess(F.col("text")).alias("m")).select("doc_id", "m.*")
+
+
+@query("op5_prefix_counts")
+def op5_prefix_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every whole document and the longest prefix within the limit, from its prefix counts."""
+    limit = 1024
+    answers = prefix_counts.answer(prefix_counts.index(table(spark, folder, "documents")), budget=limit)
+    return answers.select(
+        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "budget_chars"
+    )
