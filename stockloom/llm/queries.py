@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockloom.llm import fertility, length_buckets, mixing_flow, prefix_counts, prefix_targets
+from stockloom.llm import fertility, length_buckets, mixing_flow, prefix_counts, prefix_targets, string_kernel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -116,3 +116,14 @@ def op5_prefix_counts(spark: SparkSession, folder: str) -> DataFrame:
     return answers.select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "budget_chars"
     )
+
+
+@query("op8_string_kernel")
+def op8_string_kernel(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every whole document, learnt from the rows that are not held out."""
+    docs = table(spark, folder, "documents")
+    out = string_kernel.held_out(F.col("doc_id"))
+    model = string_kernel.fit(docs.where(~out).select("text", "lang"))
+    return docs.select("doc_id", out.alias("held_out"), string_kernel.predict(docs, model).alias("p")).select(
+        "doc_id", "held_out", "p.lang_pred", "p.score"
+    )
