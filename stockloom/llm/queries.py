@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockloom.llm import fertility, length_buckets, mixing_flow, prefix_counts, prefix_targets, string_kernel
+from stockloom.llm import fertility, label_shards, length_buckets, mixing_flow, prefix_counts, prefix_targets, string_kernel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -127,3 +127,11 @@ def op8_string_kernel(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", out.alias("held_out"), string_kernel.predict(docs, model).alias("p")).select(
         "doc_id", "held_out", "p.lang_pred", "p.score"
     )
+
+
+@query("op9_label_shards")
+def op9_label_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in sixteen shards with equal row counts, equal texts together."""
+    return label_shards.shard(table(spark, folder, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
