@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockloom.llm import fertility, label_shards, length_buckets, mixing_flow, prefix_counts, prefix_targets, string_kernel
+from stockloom.llm import (
+    bayes_dedup,
+    fertility,
+    label_shards,
+    length_buckets,
+    mixing_flow,
+    prefix_counts,
+    prefix_targets,
+    string_kernel,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -135,3 +144,9 @@ def op9_label_shards(spark: SparkSession, folder: str) -> DataFrame:
     return label_shards.shard(table(spark, folder, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query("op10_bayes_dedup")
+def op10_bayes_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate components of all documents on sets of two-word shingles."""
+    return bayes_dedup.near_duplicates(table(spark, folder, "documents"), words=2)
