@@ -13,6 +13,7 @@ from stockloom.llm import (
     label_shards,
     length_buckets,
     mixing_flow,
+    multi_index,
     prefix_counts,
     prefix_targets,
     string_kernel,
@@ -150,3 +151,9 @@ def op9_label_shards(spark: SparkSession, folder: str) -> DataFrame:
 def op10_bayes_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate components of all documents on sets of two-word shingles."""
     return bayes_dedup.near_duplicates(table(spark, folder, "documents"), words=2)
+
+
+@query("op2_multi_index")
+def op2_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    """Five nearest vectors of every vector whose id is divisible by 50."""
+    return multi_index.search(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
