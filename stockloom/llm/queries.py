@@ -14,6 +14,7 @@ from stockloom.llm import (
     length_buckets,
     mixing_flow,
     multi_index,
+    pii_boost,
     prefix_counts,
     prefix_targets,
     string_kernel,
@@ -157,3 +158,17 @@ def op10_bayes_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op2_multi_index(spark: SparkSession, folder: str) -> DataFrame:
     """Five nearest vectors of every vector whose id is divisible by 50."""
     return multi_index.search(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op4_pii_boost")
+def op4_pii_boost(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every whole document: base spans and those that the trees add."""
+    found = pii_boost.detect(table(spark, folder, "documents"))
+    counts = [
+        F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("bigint").alias(f"n_{kind}")
+        for i, kind in enumerate(pii_boost.KINDS)
+    ]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii_boost.listed(F.col("base")), 256).alias("base_sha256"),
+        pii_boost.listed(F.col("spans")).alias("spans"),
+    )
