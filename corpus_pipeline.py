@@ -1,12 +1,89 @@
-"""The corpus pipeline: stages over documents, each written and read again by the next."""
+"""The corpus pipeline: quality, near-duplicates, personal data, mixing and packing of documents.
+
+Every stage takes ``(spark, docs, sf_dir)``. The runner writes what it returns as Parquet and rereads it as the
+next stage's documents. All but the last return the columns of ``docs``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stockloom.llm import bayes_dedup, fertility, length_buckets, mixing_flow, pii_boost
+from stockloom.llm.common import word_count
+from stockloom.session import scratch_dir, written
+
+
+def _added(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have, whatever columns it has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that fail the base rules or lie outside the fertility bands; every row is judged alone."""
+    verdict = _added(docs, "__verdict")
+    judged = docs.withColumn(verdict, fertility.assess(F.col("text")))
+    return judged.where(F.col(f"{verdict}.kept")).drop(verdict)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each near-duplicate component, the one with the smallest id.
+
+    Rows that repeat both id and text leave one row; rows without an id have no rank and stay.
+    """
+    gone_id = _added(docs, "__gone")
+    gone = bayes_dedup.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias(gone_id)).distinct()
+    named = docs.where("doc_id IS NOT NULL")
+    kept = named.join(gone, F.col("doc_id") == F.col(gone_id), "left_anti").dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.where("doc_id IS NULL"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data in texts by labels; no row goes. ``n_chars`` follows the text where it is a column."""
+    located = written(pii_boost.locate(docs), scratch_dir(spark, "located"))
+    clean = pii_boost.redact(docs, pii_boost.train(spark, located))
+    if "n_chars" in docs.columns:
+        kind = dict(docs.dtypes)["n_chars"]
+        clean = clean.withColumn("n_chars", F.coalesce(F.char_length("text").cast(kind), F.col("n_chars")))
+    return clean.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Brings sources to their target weights: a document appears as often as the mix takes it, up to twice.
+
+    Documents that the mix does not take go; documents without words are not text to train on
+    and go too.
+    """
+    size = _added(docs, "__size")
+    passes = (
+        mixing_flow.mix(docs).where("taken > 0")
+        .groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__of"))
+        .agg(F.max(F.call_function("div", F.col("taken"), F.col("size"))).cast("int").alias("__times"))
+    )
+    sized = docs.withColumn(size, word_count(F.col("text")))
+    joined = sized.join(passes, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col(size) == F.col("__of")))
+    copies = F.explode(F.sequence(F.lit(1), F.col("__times")))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], copies.alias("__copy")).drop("__copy")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Length bucket, batch and slot of every row."""
+    return length_buckets.pack(docs)
+
 
-STAGES = []
-ORACLE_SQL = None
+STAGES = [
+    ("quality", quality), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mixing", mixing),
+    ("packing", packing),
+]
+ORACLE_SQL = None  # tokenisers, signatures and trees have no SQL form; tests compare with plain Python
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), scratch_dir(spark, name))
+    return STAGES[-1][1](spark, docs, sf_dir)
