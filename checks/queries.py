@@ -281,17 +281,19 @@ def _style_inventory(r: Roles) -> DataFrame:
 
 
 _RELATED = """
-    SELECT source_product_id, related_product_id, relationship_type, relationship_reason, sku_id AS related_sku_id,
-           product_name AS related_product_name, category AS related_category, color AS related_color, size AS related_size,
-           msrp_c / 100.0::DOUBLE AS related_msrp, image_url AS related_image_url,
-           origin AS related_available_qty_in_origin_store, coalesce(total, 0) AS related_total_available_qty, rank
-    FROM (SELECT e.*, p.*, o.available_qty AS origin, t.total,
-                 CAST(row_number() OVER (PARTITION BY source_product_id ORDER BY CASE relationship_type WHEN 'alternative' THEN 0 ELSE 1 END,
-                     coalesce(o.available_qty, 0) DESC, coalesce(t.total, 0) DESC, related_product_id, relationship_type) AS INTEGER) AS rank
-          FROM r_relationships e JOIN r_products p ON p.product_id = e.related_product_id
-          LEFT JOIN (SELECT * FROM r_inventory WHERE {origin}) o ON o.sku_id = p.sku_id
-          LEFT JOIN (SELECT sku_id, CAST(sum(available_qty) AS INTEGER) AS total FROM r_inventory GROUP BY 1) t ON t.sku_id = p.sku_id
-          WHERE {kind}) WHERE rank <= {limit}"""
+    SELECT source_product_id, e.id AS related_product_id, e.kind AS relationship_type, e.why AS relationship_reason, p.sku_id AS related_sku_id,
+           p.product_name AS related_product_name, p.category AS related_category, p.color AS related_color, p.size AS related_size,
+           p.msrp_c / 100.0::DOUBLE AS related_msrp, p.image_url AS related_image_url, e.here AS related_available_qty_in_origin_store,
+           -e.minus_total AS related_total_available_qty, CAST(place AS INTEGER) AS rank
+    FROM (SELECT source_product_id, unnest(best) AS e, unnest(range(1, len(best) + 1)) AS place
+          FROM (SELECT source_product_id, list_sort(list({{'last': relationship_type <> 'alternative', 'minus_here': -coalesce(here, 0),
+                           'minus_total': -coalesce(total, 0), 'id': related_product_id, 'kind': relationship_type, 'why': relationship_reason,
+                           'here': here}}))[:{limit}] AS best
+                FROM r_relationships JOIN r_products ON product_id = related_product_id
+                LEFT JOIN (SELECT sku_id, CAST(sum(available_qty) AS INTEGER) AS total,
+                                  CAST(sum(available_qty) FILTER ({origin}) AS INTEGER) AS here FROM r_inventory GROUP BY sku_id) USING (sku_id)
+                WHERE {kind} GROUP BY source_product_id))
+    JOIN r_products p ON p.product_id = e.id"""
 
 
 @query("related_products", _RELATED.format(origin="store_id = 3", kind="true", limit=10))
@@ -305,13 +307,14 @@ def _related_kind(r: Roles) -> DataFrame:
 
 
 _IMBALANCE = """
-    SELECT a.sku_id, p.style_id, p.product_name, p.category, a.store_id AS shortage_store_id, sa.store_name AS shortage_store_name,
-           a.available_qty AS shortage_available_qty, b.store_id AS surplus_store_id, sb.store_name AS surplus_store_name,
-           b.available_qty AS surplus_available_qty
-    FROM r_inventory a JOIN r_inventory b ON a.sku_id = b.sku_id AND a.store_id <> b.store_id
-    JOIN r_products p ON p.sku_id = a.sku_id JOIN r_stores sa ON sa.store_id = a.store_id JOIN r_stores sb ON sb.store_id = b.store_id
-    WHERE a.available_qty = 0 AND b.available_qty > 0 AND {cond}
-    ORDER BY b.available_qty DESC, p.style_id, a.sku_id, a.store_id, b.store_id LIMIT {limit}"""
+    SELECT sku_id, style_id, product_name, category, gap.id AS shortage_store_id, gap.name AS shortage_store_name,
+           gap.n AS shortage_available_qty, spare.id AS surplus_store_id, spare.name AS surplus_store_name, spare.n AS surplus_available_qty
+    FROM (SELECT sku_id, gap, unnest(list_filter(shelf, lambda h: h.n > 0)) AS spare
+          FROM (SELECT sku_id, shelf, unnest(list_filter(shelf, lambda h: h.n = 0)) AS gap
+                FROM (SELECT sku_id, list({{'id': store_id, 'name': store_name, 'n': available_qty}}) AS shelf
+                      FROM r_inventory JOIN r_stores USING (store_id) GROUP BY sku_id)))
+    JOIN r_products p USING (sku_id) WHERE {cond}
+    ORDER BY surplus_available_qty DESC, style_id, sku_id, shortage_store_id, surplus_store_id LIMIT {limit}"""
 
 
 @query("inventory_imbalance", _IMBALANCE.format(cond="true", limit=25))
@@ -811,8 +814,7 @@ def _having(r: Roles) -> DataFrame:
 
 @query("dq_date_range", f"""
     SELECT {_ts('min(transaction_ts)')} AS min_transaction_ts, {_ts('max(transaction_ts)')} AS max_transaction_ts,
-           CAST(sum(CASE WHEN CAST(transaction_ts AS DATE) < DATE '1996-01-01' OR CAST(transaction_ts AS DATE) > DATE '1999-12-31'
-                THEN 1 ELSE 0 END) AS BIGINT) AS out_of_range_rows FROM r_transactions""")
+           count(*) FILTER (year(transaction_ts) NOT BETWEEN 1996 AND 1999) AS out_of_range_rows FROM r_transactions""")
 def _dq_date_range(r: Roles) -> DataFrame:
     return quality.date_range(r.transactions(), "transaction_ts", date(1996, 1, 1), date(1999, 12, 31))
 
@@ -824,17 +826,20 @@ def _min_max(r: Roles) -> DataFrame:
     )
 
 
-@query("dq_orphans", """
-    SELECT 'transactions.customers' AS check_name, CAST(sum(CASE WHEN c.customer_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS orphan_rows
-    FROM r_transactions t LEFT JOIN r_customers c USING (customer_id)
-    UNION ALL SELECT 'items.transactions', CAST(sum(CASE WHEN t.transaction_id IS NULL THEN 1 ELSE 0 END) AS BIGINT)
-    FROM r_items i LEFT JOIN r_transactions t USING (transaction_id)
-    UNION ALL SELECT 'returns.items', CAST(sum(CASE WHEN i.transaction_item_id IS NULL THEN 1 ELSE 0 END) AS BIGINT)
-    FROM r_returns x LEFT JOIN r_items i USING (transaction_item_id)
-    UNION ALL SELECT 'returns.first_customers', CAST(sum(CASE WHEN c.customer_id IS NULL THEN 1 ELSE 0 END) AS BIGINT)
-    FROM r_returns x LEFT JOIN (SELECT customer_id FROM r_preferences) c USING (customer_id)
-    UNION ALL SELECT 'orders.destination', CAST(sum(CASE WHEN destination_store_id IS NOT NULL AND s.store_id IS NULL THEN 1 ELSE 0 END) AS BIGINT)
-    FROM r_req_headers h LEFT JOIN r_stores s ON s.store_id = h.destination_store_id""")
+def _orphan_sql(name: str, child: str, key: str, parent: str, parent_key: str) -> str:
+    return (
+        f"SELECT '{name}' AS check_name, count(*) AS orphan_rows FROM {child} x WHERE x.{key} IS NOT NULL AND NOT EXISTS "
+        f"(FROM {parent} y WHERE y.{parent_key} = x.{key})"
+    )
+
+
+@query("dq_orphans", " UNION ALL ".join([
+    _orphan_sql("transactions.customers", "r_transactions", "customer_id", "r_customers", "customer_id"),
+    _orphan_sql("items.transactions", "r_items", "transaction_id", "r_transactions", "transaction_id"),
+    _orphan_sql("returns.items", "r_returns", "transaction_item_id", "r_items", "transaction_item_id"),
+    _orphan_sql("returns.first_customers", "r_returns", "customer_id", "r_preferences", "customer_id"),
+    _orphan_sql("orders.destination", "r_req_headers", "destination_store_id", "r_stores", "store_id"),
+]))
 def _dq_orphans(r: Roles) -> DataFrame:
     return quality.orphans({
         "transactions.customers": (r.transactions(), "customer_id", r.customers(), "customer_id"),
@@ -858,11 +863,12 @@ _COVERED = {
 }
 
 
-@query("dq_field_coverage", f"""
-    SELECT count(*) AS total_customers, CAST(sum(CASE WHEN email IS NULL OR email = '' THEN 1 ELSE 0 END) AS BIGINT) AS missing_email,
-    {', '.join(f"CAST(sum(CASE WHEN {c} IS NULL OR len({c}) = 0 THEN 1 ELSE 0 END) AS BIGINT) AS missing_{c}" for c, d in _COVERED.items() if d == 'array')},
-    CAST(sum(CASE WHEN lifetime_value_band IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing_lifetime_value_band
-    FROM r_customers LEFT JOIN r_preferences USING (customer_id)""")
+_LACKS = {"text": "coalesce({0}, '') = ''", "array": "coalesce(len({0}), 0) = 0", "value": "{0} IS NULL"}
+
+
+@query("dq_field_coverage", "SELECT count(*) AS total_customers, " + ", ".join(
+    f"count(*) FILTER ({_LACKS[kind].format(c)}) AS missing_{c}" for c, kind in _COVERED.items()
+) + " FROM r_customers LEFT JOIN r_preferences USING (customer_id)")
 def _dq_field_coverage(r: Roles) -> DataFrame:
     return quality.field_coverage(_profiles(r), _COVERED)
 

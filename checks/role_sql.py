@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from stockloom.operators import planning
+
 _DISC = "((2 * CAST(round(l_extendedprice * 100) AS BIGINT) * CAST(round(l_discount * 100) AS BIGINT) + 100) // 200)"
 _GROSS = "CAST(round(l_extendedprice * 100) AS BIGINT)"
 _QTY = "CAST(l_quantity AS BIGINT)"
@@ -21,6 +23,14 @@ def pick(number: str, values: list[str]) -> str:
 _METHOD = pick("o_orderkey", ["standard", "expedited", "overnight", "store_pickup"])
 _ORDER = "'ORD-' || lpad(CAST({} AS VARCHAR), 10, '0')"
 
+
+
+def _said(note: str, *names: str) -> str:
+    """A fixed sentence with SQL names in its gaps."""
+    parts = [f"'{part}'" for part in note.split("{}")]
+    return " || ".join([x for pair in zip(parts, names) for x in pair] + parts[len(names):])
+
+
 ROLES = {
     "r_stores": f"""
         SELECT CAST(s_suppkey AS INTEGER) AS store_id, s_name AS store_name, n_name AS city,
@@ -156,23 +166,25 @@ ROLES = {
     "x_stock": """
         SELECT store_id, style_id, CAST(sum(available_qty) AS INTEGER) AS stock
         FROM r_inventory JOIN r_products USING (sku_id) GROUP BY ALL""",
-    "x_recs": """
-        SELECT 'transfer' AS action_type, 'high' AS priority, 0 AS ps, d.style_id, d.category, s.store_id AS source_store_id,
-               s.store_name AS source_store_name, d.store_id AS target_store_id, d.store_name AS target_store_name,
-               least(sk.stock, 3) AS recommended_units,
-               'Demand is high in ' || d.store_name || ' with low supply; move inventory from ' || s.store_name || '.' AS rationale
-        FROM x_perf d JOIN x_perf s ON s.style_id = d.style_id AND s.store_id <> d.store_id
-        LEFT JOIN x_stock dk ON dk.store_id = d.store_id AND dk.style_id = d.style_id
-        JOIN x_stock sk ON sk.store_id = s.store_id AND sk.style_id = s.style_id
-        WHERE d.avg_sell_through >= 65 AND d.avg_wos <= 1.5 AND coalesce(dk.stock, 0) = 0 AND sk.stock >= 3
-        UNION ALL
-        SELECT 'markdown_adjustment', 'medium', 1, style_id, category, store_id, store_name, NULL, NULL, NULL,
-               'Low sell-through and high weeks of supply suggest deeper markdown testing in ' || store_name || '.'
-        FROM x_perf WHERE avg_sell_through <= 35 AND avg_wos >= 5
-        UNION ALL
-        SELECT 'reorder', 'high', 0, style_id, category, NULL, NULL, store_id, store_name, 4,
-               'Strong demand and low weeks of supply support a reorder for ' || store_name || '.'
-        FROM x_perf WHERE avg_sell_through >= 70 AND avg_wos <= 1.5""",
+    "x_recs": f"""
+        SELECT a.action_type, a.priority, a.ps, m.style_id, m.category, a.source AS source_store_id, a.source_name AS source_store_name,
+               a.target AS target_store_id, a.target_name AS target_store_name, a.units AS recommended_units, a.rationale
+        FROM (
+            SELECT style_id, category, list({{'id': p.store_id, 'name': store_name, 'held': coalesce(stock, 0), 'st': avg_sell_through,
+                                              'wos': avg_wos}}) AS shops
+            FROM x_perf p LEFT JOIN x_stock USING (store_id, style_id) GROUP BY style_id, category) m,
+        LATERAL (
+            SELECT unnest(list_concat(
+                flatten(list_transform(list_filter(shops, lambda t: t.st >= 65 AND t.wos <= 1.5 AND t.held = 0), lambda t:
+                    list_transform(list_filter(shops, lambda f: f.id <> t.id AND f.held >= 3), lambda f:
+                        {{'action_type': 'transfer', 'priority': 'high', 'ps': 0, 'source': f.id, 'source_name': f.name, 'target': t.id,
+                          'target_name': t.name, 'units': least(f.held, 3), 'rationale': {_said(planning.TRANSFER_NOTE, 't.name', 'f.name')}}}))),
+                list_transform(list_filter(shops, lambda t: t.st <= 35 AND t.wos >= 5), lambda t:
+                    {{'action_type': 'markdown_adjustment', 'priority': 'medium', 'ps': 1, 'source': t.id, 'source_name': t.name,
+                      'target': NULL::INTEGER, 'target_name': NULL::VARCHAR, 'units': NULL::INTEGER, 'rationale': {_said(planning.MARKDOWN_NOTE, 't.name')}}}),
+                list_transform(list_filter(shops, lambda t: t.st >= 70 AND t.wos <= 1.5), lambda t:
+                    {{'action_type': 'reorder', 'priority': 'high', 'ps': 0, 'source': NULL::INTEGER, 'source_name': NULL::VARCHAR,
+                      'target': t.id, 'target_name': t.name, 'units': 4, 'rationale': {_said(planning.REORDER_NOTE, 't.name')}}}))) AS a)""",
     "x_routed": """
         SELECT h.order_id, h.seq, h.customer_id, h.destination_store_id, h.ship_to_city, h.shipping_method, h.fulfillment_store_id,
                coalesce(h.fulfillment_store_id, a.store_id) AS store_id

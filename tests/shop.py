@@ -1,90 +1,96 @@
-"""A small shop: three stores, nine products, a dress short in one store and idle in two."""
+"""A furniture shop made up for the tests: four stores, ten products, five weeks.
+
+One lamp sells out at the mill while two other stores hold it; every other style misses one
+condition of each report by a step.
+"""
 
 from datetime import date, datetime, timedelta
+from decimal import Decimal
 
 from stockloom import schemas
 
-AS_OF = datetime(2026, 2, 1, 9, 30)
-
-_STYLE = {"D1": "STY-D1", "D2": "STY-D2", "D3": "STY-D3", "S1": "STY-S1", "S2": "STY-S2", "S3": "STY-S3"}
-_PRODUCTS = [
-    # id, style, sku, name, category, subcategory, color, size, msrp
-    ("P1", "D1", "D1M", "Bay Satin Dress", "Dresses", "Midi", "Rose", "M", "168.00"),
-    ("P2", "D1", "D1S", "Bay Satin Dress", "Dresses", "Midi", "Rose", "S", "168.00"),
-    ("P3", "D2", "D2M", "Moon Wrap Dress", "Dresses", "Wrap", "Navy", "M", "142.00"),
-    ("P4", "D2", "D2S", "Moon Wrap Dress", "Dresses", "Wrap", "Navy", "S", "142.00"),
-    ("P5", "D3", "D3M", "Ash Knit Dress", "Dresses", "Column", "Sage", "M", "128.00"),
-    ("P6", "S1", "S18", "Quay Sneaker", "Shoes", "Sneakers", "White", "8", "110.00"),
-    ("P7", "S1", "S19", "Quay Sneaker", "Shoes", "Sneakers", "White", "9", "110.00"),
-    ("P8", "S2", "S28", "Lamp Heel", "Shoes", "Heels", "Nude", "8", "124.00"),
-    ("P9", "S3", "S38", "Strap Sandal", "Shoes", "Sandals", "Black", "8", "98.00"),
+NOON = datetime(2031, 9, 15, 12, 0)
+MILL, QUAY, ARCH, PIER = 7, 8, 11, 20
+
+STORES = [
+    (MILL, "Mill", "Leeds", "YK", "North", "Small"), (QUAY, "Quay", "Hull", "YK", "North", "Large"),
+    (ARCH, "Arch", "Bath", "SO", "South", "Small"), (PIER, "Pier", "Deal", "SE", "South", "Large"),
+]
+# product, style, sku, name, category, subcategory, color, size, price, occasion
+PRODUCTS = [
+    ("K01", "LAMP-A", "LA1", "Glow Desk Lamp", "Lamps", "Desk", "Amber", "S", "45.50", "Office"),
+    ("K02", "LAMP-A", "LA2", "Glow Desk Lamp", "Lamps", "Desk", "Amber", "L", "52.25", "Office"),
+    ("K03", "LAMP-B", "LB1", "Tall Reed Lamp", "Lamps", "Floor", "Teal", "L", "88.00", "Home"),
+    ("K04", "CHAIR-A", "CA1", "Oak Spindle Chair", "Chairs", "Dining", "Brown", "M", "210.75", "Home"),
+    ("K05", "CHAIR-A", "CA2", "Oak Spindle Chair", "Chairs", "Dining", "Black", "M", "210.75", "Home"),
+    ("K06", "CHAIR-B", "CB1", "Low Canvas Chair", "Chairs", "Lounge", "Teal", "M", "130.00", "Garden"),
+    ("K07", "RUG-A", "RA1", "Dune Rug", "Rugs", "Flat", "Amber", "L", "300.00", "Home"),
+    ("K08", "RUG-B", "RB1", "Tide Rug", "Rugs", "Tufted", "Teal", "S", "64.10", "Home"),
+    ("K09", "RUG-B", "RB2", "Tide Rug", "Rugs", "Tufted", "Teal", "L", "99.90", "Home"),
+    ("K10", "STOOL", "ST1", "Bar Stool", "Chairs", "Bar", "Black", "M", "75.00", "Garden"),
 ]
-_AVAILABLE = {
-    "D1M": (0, 5, 4), "D2M": (5, 2, 1), "D3M": (3, 2, 2), "S18": (7, 8, 5), "S19": (4, 3, None), "S28": (6, 2, None),
-    "S38": (5, None, None),
+UNITS = {  # sku -> units on the shelf by store
+    "LA1": {MILL: 0, QUAY: 6, ARCH: 9, PIER: 1}, "LB1": {QUAY: 2, ARCH: 4}, "CA1": {MILL: 3, QUAY: 12, PIER: 0},
+    "CA2": {PIER: 5}, "CB1": {ARCH: 7}, "RA1": {MILL: 1, QUAY: 1, ARCH: 0, PIER: 2}, "RB1": {QUAY: 3}, "ST1": {MILL: 4, PIER: 4},
 }
-_WEEKS = {
-    (101, "D1"): ((78, 81, 74, 69), (0.2, 0.1, 0.1, 0)), (102, "D1"): ((34, 31, 20, 18), (6.5, 6, 7, 7.2)),
-    (103, "D1"): ((38, 27, 24, 21), (5.2, 5.5, 5.7, 6)), (101, "D2"): ((62, 66, 54, 58), (2, 1.8, 2.3, 2)),
-    (102, "D2"): ((43, 33, 30, 28), (3.5, 3.8, 4.1, 4.4)), (101, "S1"): ((72, 70, 68, 64), (1.2, 1.3, 1.4, 1.6)),
+# (store, style) -> sell-through and weeks of supply, week by week
+WEEKS = {
+    (MILL, "LAMP-A"): ([82, 78, 90, 70, 80], [1, 0.5, 0.6, 0.9, 0.5]),
+    (QUAY, "LAMP-A"): ([40, 50, 45, 42, 48], [3, 3, 3.5, 2.5, 3]),
+    (ARCH, "LAMP-A"): ([20, 30, 25, 22, 28], [6, 7, 5, 6.5, 5.5]),
+    (PIER, "LAMP-A"): ([65, 65, 65, 65, 65], [1.5, 1.5, 1.5, 1.5, 1.5]),
+    (PIER, "CHAIR-A"): ([66, 68, 64, 67, 65], [1.5, 1.2, 1.5, 1.3, 1.5]),
+    (QUAY, "CHAIR-A"): ([35, 35, 35, 35, 35], [5, 5, 5, 5, 5]),
+    (ARCH, "RUG-A"): ([65, 65, 65, 65, 65], [1.5, 1.5, 1.5, 1.5, 1.5]),
+    (QUAY, "RUG-A"): ([36, 35, 35, 35, 35], [9, 9, 9, 9, 9]),
 }
-
-
-def _dec(value):
-    from decimal import Decimal
-
-    return Decimal(str(value))
+EDGES = [
+    ("K01", "K03", "alternative", "another lamp"), ("K01", "K07", "complementary", "same amber"),
+    ("K01", "K04", "complementary", "desk seat"), ("K04", "K06", "alternative", "another chair"),
+]
 
 
 def products(spark):
     rows = [
-        (pid, _STYLE[style], f"SKU-{sku}", name, cat, sub, "North & Co", color, size, "Summer", _dec(price), _dec("50.00"),
-         "text", "img", "cut", "Party" if pid != "P5" else "Day", "Cotton", "active")
-        for pid, style, sku, name, cat, sub, color, size, price in _PRODUCTS
+        (pid, style, sku, name, category, sub, "Ash & Elm", color, size, "All", Decimal(price), Decimal("20.00"), "about", "picture",
+         "shape", occasion, "Wood", "active")
+        for pid, style, sku, name, category, sub, color, size, price, occasion in PRODUCTS
     ]
     return spark.createDataFrame(rows, schemas.PRODUCTS)
 
 
 def stores(spark):
-    rows = [
-        (101, "Harbor", "Portland", "ME", "Northeast", "Flagship"), (102, "Common", "Boston", "MA", "Northeast", "Urban"),
-        (103, "Center", "Philadelphia", "PA", "Northeast", "Urban"),
-    ]
-    return spark.createDataFrame(rows, schemas.STORES)
+    return spark.createDataFrame(STORES, schemas.STORES)
 
 
 def inventory(spark):
-    rows = []
-    for sku, counts in _AVAILABLE.items():
-        for store, n in zip((101, 102, 103), counts):
-            if n is not None:
-                reserved = 1 if (store, sku) == (102, "D1M") else 0
-                transit = 2 if (store, sku) == (101, "D1M") else 0
-                rows.append((store, f"SKU-{sku}", n + reserved, reserved, n, transit, AS_OF - timedelta(days=1)))
+    rows = [
+        (store, sku, n + 2, 2, n, 1, NOON - timedelta(hours=store)) for sku, held in UNITS.items() for store, n in held.items()
+    ]
     return spark.createDataFrame(rows, schemas.INVENTORY)
 
 
 def relationships(spark):
-    rows = [
-        ("P1", "P3", "alternative", "similar"), ("P1", "P8", "complementary", "heel"), ("P1", "P6", "complementary", "sneaker"),
-        ("P3", "P6", "complementary", "sneaker"), ("P3", "P8", "complementary", "heel"),
-    ]
-    return spark.createDataFrame(rows, schemas.RELATIONSHIPS)
+    return spark.createDataFrame(EDGES, schemas.RELATIONSHIPS)
 
 
 def weekly(spark):
-    rows = []
-    for (store, style), (sell, supply) in _WEEKS.items():
-        for i, (st, wos) in enumerate(zip(sell, supply)):
-            day = date(2026, 1, 5) + timedelta(weeks=i)
-            rows.append((day, store, _STYLE[style], 3, _dec(300), _dec(180), _dec(2), _dec(st), _dec(wos)))
+    rows = [
+        (date(2031, 8, 4) + timedelta(weeks=week), store, style, 6, Decimal("90.00"), Decimal("41.00"), Decimal("3.00"), Decimal(str(sold)),
+         Decimal(str(supply)))
+        for (store, style), figures in WEEKS.items() for week, (sold, supply) in enumerate(zip(*figures))
+    ]
     return spark.createDataFrame(rows, schemas.WEEKLY_PERFORMANCE)
 
 
 def orders(spark):
-    rows = [("O1", "C1", AS_OF, "placed", 102, 101, "Portland", "standard", 3, date(2026, 2, 3))]
+    rows = [
+        ("A-1", "77", NOON, "placed", QUAY, PIER, None, "expedited", 2, date(2031, 9, 17)),
+        ("A-2", "78", NOON, "processing", ARCH, None, "York", "standard", 3, date(2031, 9, 18)),
+    ]
     return spark.createDataFrame(rows, schemas.ORDERS)
 
 
 def order_lines(spark):
-    return spark.createDataFrame([("O1", "SKU-D1M", 1, _dec("168.00"))], schemas.ORDER_LINES)
+    rows = [("A-1", "LB1", 2, Decimal("88.00")), ("A-1", "CA1", 1, Decimal("210.75"))]
+    return spark.createDataFrame(rows, schemas.ORDER_LINES)

@@ -47,7 +47,7 @@ def serial(orders, stock, destinations):
 def tables(spark, orders, stock):
     heads = spark.createDataFrame([(o, i, "c", d, c, m, s) for i, (o, d, c, m, s, _) in enumerate(orders)], HEADER)
     lines = spark.createDataFrame([(o[0], n, k, q) for o in orders for n, (k, q) in enumerate(o[5])], ITEM)
-    inv = spark.createDataFrame([(s, k, n + 1, 1, n, 0, shop.AS_OF) for (s, k), n in stock.items()], schemas.INVENTORY)
+    inv = spark.createDataFrame([(s, k, n + 1, 1, n, 0, shop.NOON) for (s, k), n in stock.items()], schemas.INVENTORY)
     return heads, lines, inv
 
 
@@ -77,7 +77,7 @@ def test_rejected_orders_take_nothing(spark):
     orders = [(f"o{i}", 0, None, "standard", 0, [("k", q)]) for i, q in enumerate([3, 3, 2])]
     heads, lines, inv = tables(spark, orders, {(0, "k"): 5})
     stores = spark.createDataFrame([(0,)], "store_id int")
-    placed = placement.place_orders(heads, lines, inv, catalogue(spark, ["k"]), stores, F.lit(shop.AS_OF))
+    placed = placement.place_orders(heads, lines, inv, catalogue(spark, ["k"]), stores, F.lit(shop.NOON))
     assert outcome_of(placed) == {"o0": 0, "o1": "insufficient", "o2": 0}
     assert [r.estimated_delivery_date for r in placed.orders.collect()] == [date(2026, 2, 2)] * 2
 
@@ -91,7 +91,7 @@ def test_equals_serial_placement(spark):
         orders = make(rng, 120, stores, skus, 6)
         heads, lines, inv = tables(spark, orders, stock)
         dims = spark.createDataFrame([(s,) for s in stores], "store_id int")
-        placed = placement.place_orders(heads, lines, inv, catalogue(spark, skus), dims, F.lit(shop.AS_OF), span)
+        placed = placement.place_orders(heads, lines, inv, catalogue(spark, skus), dims, F.lit(shop.NOON), span)
         want, left = serial(orders, stock, set(stores))
         assert outcome_of(placed) == want
         after = placed.inventory.collect()
@@ -106,7 +106,7 @@ def test_stream_continues_from_the_last_stock(spark):
     orders = make(rng, 30, stores, skus, 4)
     heads, lines, inv = tables(spark, orders, stock)
     items = lines.groupBy("order_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "sku_id", "quantity"))).alias("i"))
-    requests = heads.join(items, "order_id").withColumn("placed_at", F.lit(shop.AS_OF)).withColumn(
+    requests = heads.join(items, "order_id").withColumn("placed_at", F.lit(shop.NOON)).withColumn(
         "items", F.transform("i", lambda x: F.struct(x["sku_id"].alias("sku_id"), x["quantity"].alias("quantity")))
     ).drop("i")
     inbox, state = scratch_dir(spark, "inbox"), scratch_dir(spark, "state")
