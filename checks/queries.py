@@ -83,16 +83,12 @@ def _parse_array_literal(r: Roles) -> DataFrame:
     return back.select("customer_id", "preferred_sizes", "preferred_brands", F.size("preferred_brands").alias("brands"))
 
 
-@query("parse_json_purchases", f"""
+@query("parse_json_purchases", """
     SELECT transaction_id, string_agg(product_id || '|' || quantity, ';' ORDER BY product_id, quantity) AS purchases
-    FROM (SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY product_id, quantity, transaction_item_id) AS rn FROM r_items)
-    WHERE rn <= 5 GROUP BY transaction_id""")
+    FROM r_items GROUP BY transaction_id""")
 def _parse_json_purchases(r: Roles) -> DataFrame:
-    """A purchase list holds up to five entries."""
-    order = [F.col("product_id"), F.col("quantity"), F.col("transaction_item_id")]
-    bought = catalog.top_k(r.transaction_items(), ["transaction_id"], order, 5)
     entry = F.struct(F.col("product_id").alias("sku"), F.col("quantity").alias("qty"))
-    listed = bought.groupBy("transaction_id").agg(F.sort_array(F.collect_list(entry)).alias("p"))
+    listed = r.transaction_items().groupBy("transaction_id").agg(F.sort_array(F.collect_list(entry)).alias("p"))
     return listed.select("transaction_id", text.json_purchases(F.to_json("p")).alias("purchases"))
 
 
@@ -116,6 +112,18 @@ def _manifest(r: Roles) -> DataFrame:
     return files.manifest({t: r.table(t) for t in _TABLES})
 
 
+@query("write_manifest", """
+    SELECT 'orders' AS table_name, count(*) AS row_count, CAST(ceil(count(*) / 4000.0) AS BIGINT) AS file_count, 7::BIGINT AS seed FROM r_orders
+    UNION ALL SELECT 'stores', count(*), 1, 7 FROM r_stores""")
+def _write_manifest(r: Roles) -> DataFrame:
+    """The manifest as it is read back; the orders are written by one task in files of 4,000 rows."""
+    path = scratch_dir(r.spark, "manifest")
+    files.write_chunked(r.orders().coalesce(1), f"{path}/orders", max_rows=4_000)
+    files.write_chunked(r.stores().coalesce(1), f"{path}/stores", max_rows=4_000)
+    files.write_manifest({t: r.spark.read.parquet(f"{path}/{t}") for t in ("orders", "stores")}, path, seed=7)
+    return r.spark.read.json(f"{path}/tables").select("table_name", "row_count", "file_count", "seed")
+
+
 @query("reload_tables", "SELECT store_id, store_name, city, state, region, store_type FROM r_stores")
 def _reload(r: Roles) -> DataFrame:
     path = scratch_dir(r.spark, "reload")
@@ -769,14 +777,14 @@ def _email_backfill(r: Roles) -> DataFrame:
 
 def _sales_tables(r: Roles) -> dict[str, DataFrame]:
     return {
-        "stores": r.stores(), "products": r.sale_products(), "customers": r.customers(),
+        "stores": r.stores(), "brands": r.brands(), "products": r.sale_products(), "customers": r.customers(),
         "customer_preferences": r.preferences(), "saved_items": r.saved_items(), "transactions": r.transactions(),
         "transaction_items": r.transaction_items(), "returns": r.returns(),
     }
 
 
 _SALES_ROLES = {
-    "stores": "r_stores", "products": "r_products", "customers": "r_customers", "customer_preferences": "r_preferences",
+    "stores": "r_stores", "brands": "r_brands", "products": "r_products", "customers": "r_customers", "customer_preferences": "r_preferences",
     "saved_items": "r_saved", "transactions": "r_transactions", "transaction_items": "r_items", "returns": "r_returns",
 }
 

@@ -49,6 +49,8 @@ ROLES = {
                {pick('p_size', ['Cotton', 'Wool', 'Linen'])} AS material,
                CASE WHEN p_partkey % 10 = 9 THEN 'inactive' ELSE 'active' END AS status
         FROM part""",
+    "r_brands": """
+        SELECT DISTINCT CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS INTEGER) AS brand_id, p_brand AS brand_name FROM part""",
     "r_customers": f"""
         SELECT c_custkey AS customer_id, 'LOY-' || lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS loyalty_id,
                CASE WHEN c_custkey % 7 <> 0 THEN 'customer' || c_custkey || '@example.com' END AS email,

@@ -49,20 +49,36 @@ def product_tokens(size: Column, *texts: Column) -> Column:
     return F.array_distinct(F.concat(found, sized))
 
 
+# An element is quoted, with backslash escapes, or bare up to the next comma.
+_ELEMENT = r'(?s)"(?:[^"\\]++|\\.)*+"|[^,"]++'
+
+
 def pg_array(text: Column) -> Column:
-    """``{a,b}`` text as an array of strings; ``{}`` is the empty array."""
-    inner = F.regexp_replace(text, r"^\{|\}$", "")
-    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, ","))
+    """``{a,"b,c"}`` text as an array of strings; ``{}`` is the empty array and a bare ``NULL`` a null element.
+
+    Text without braces is an error.
+    """
+    parts = F.regexp_extract_all(F.regexp_replace(text, r"^\{|\}$", ""), F.lit(_ELEMENT), F.lit(0))
+    quoted = lambda e: F.regexp_replace(F.substr(e, F.lit(2), F.char_length(e) - 2), r"(?s)\\(.)", "$1")
+    values = F.transform(
+        parts, lambda e: F.when(e.startswith('"'), quoted(e)).when(F.upper(F.trim(e)) != "NULL", F.trim(e))
+    )
+    return F.when(text.rlike(r"(?s)^\{.*\}$"), values).when(
+        text.isNotNull(), F.raise_error(F.concat(F.lit("not an array literal: "), text)).cast("array<string>")
+    )
 
 
 def to_pg_array(values: Column) -> Column:
-    """An array of strings as ``{a,b}`` text."""
-    return F.concat(F.lit("{"), F.array_join(values, ","), F.lit("}"))
+    """An array of strings as ``{a,b}`` text; elements that need it are quoted, null ones are ``NULL``."""
+    plain = lambda v: v.rlike(r'^[^,{}"\\\s]++$') & (F.upper(v) != "NULL")
+    escaped = lambda v: F.concat(F.lit('"'), F.regexp_replace(v, r'(["\\])', r"\\$1"), F.lit('"'))
+    written = F.transform(values, lambda v: F.when(v.isNull(), "NULL").when(plain(v), v).otherwise(escaped(v)))
+    return F.concat(F.lit("{"), F.array_join(written, ","), F.lit("}"))
 
 
 def json_purchases(text: Column) -> Column:
     """JSON text of a purchase list as an array of ``{sku, qty}``."""
-    return F.from_json(text, "array<struct<sku:string,qty:int>>")
+    return F.from_json(text, "array<struct<sku:string,qty:int>>", {"mode": "FAILFAST"})
 
 
 def concat_skip_null(*parts: Column) -> Column:

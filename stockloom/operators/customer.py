@@ -9,6 +9,7 @@ from stockloom.functions.money import cents, from_cents, half_up
 from stockloom.plans.ranking import ordered_positions
 from stockloom.plans.topk import top_k
 
+# The columns of the profile.
 PROFILE_COLUMNS = (
     "customer_id", "loyalty_id", "email", "first_name", "last_name", "tier", "preferred_store_id",
     "preferred_sizes", "preferred_colors", "preferred_brands", "shopping_occasions", "recent_purchases",
@@ -40,28 +41,21 @@ _SAVED_FIELDS = ("product_id", "saved_at", "product_name", "category", "color",
 def saved_items_summary(saved: DataFrame, products: DataFrame, page_size: int = DEFAULT_PAGE) -> DataFrame:
     """Number and ordered list of the saved items of each customer, newest first.
 
-    A customer with up to ``page_size`` items has one row. A longer list would not fit one
-    task or one row, so it comes as several rows numbered by ``saved_items_page``, each with
-    the full count; no item is left out. Whether such customers exist is checked first with
-    one grouped count over the customer column.
+    The key is ``(customer_id, saved_items_page)``: page 1 has the newest ``page_size`` items, page 2 the next, and so
+    on, each with the count of all. The page size is a matter of layout that keeps a row to a
+    bounded length; no item is left out. Items are placed by range, so a customer of any size
+    spreads over many tasks.
     """
     attributes = products.select("product_id", "product_name", "category", "color", "size_code")
     items = saved.select("saved_item_id", "customer_id", "product_id", "saved_at").join(attributes, "product_id")
-    heavy = saved.groupBy("customer_id").count().where(F.col("count") > page_size).select("customer_id")
-    if heavy.isEmpty():
-        return _gather(items.withColumn("saved_items_page", F.lit(1)), ["customer_id", "saved_items_page"])
-    light = _gather(
-        items.join(heavy, "customer_id", "left_anti").withColumn("saved_items_page", F.lit(1)),
-        ["customer_id", "saved_items_page"],
-    )
     order = [F.col("saved_at").desc(), F.col("saved_item_id").desc()]
-    placed = ordered_positions(items.join(heavy, "customer_id", "left_semi"), ["customer_id"], order, "position")
-    paged = placed.withColumn(
-        "saved_items_page", (F.call_function("div", F.col("position") - 1, F.lit(page_size)) + 1).cast("int")
+    placed = ordered_positions(items, ["customer_id"], order, "position")
+    page = (F.call_function("div", F.col("position") - 1, F.lit(page_size)) + 1).cast("int")
+    pages = _gather(placed.withColumn("saved_items_page", page), ["customer_id", "saved_items_page"])
+    totals = placed.groupBy("customer_id").agg(F.count(F.lit(1)).alias("saved_item_count"))
+    return pages.drop("saved_item_count").join(totals, "customer_id").select(
+        "customer_id", "saved_items_page", "saved_item_count", "saved_items"
     )
-    totals = placed.groupBy("customer_id").agg(F.count(F.lit(1)).alias("total"))
-    pages = _gather(paged, ["customer_id", "saved_items_page"]).join(totals, "customer_id")
-    return light.unionByName(pages.withColumn("saved_item_count", F.col("total")).drop("total"))
 
 
 def _gather(items: DataFrame, keys: list[str]) -> DataFrame:
@@ -101,9 +95,9 @@ def customer_360(
 ) -> DataFrame:
     """One profile per customer from the three summaries and the preferences.
 
-    Missing lists become empty and a missing return history becomes zeros. Every joined side
-    has one row per customer, except saved items with several pages, which repeat the
-    profile once per page (``saved_items_page``).
+    Missing lists become empty and a missing return history becomes zeros. The key is
+    ``(customer_id, saved_items_page)``, as in the saved items; page 1 is there for every customer, so
+    whatever counts customers reads page 1.
     """
     joined = (
         customers.join(

@@ -108,7 +108,9 @@ def missing(column: str, dtype: str) -> Column:
 
 
 def field_coverage(profiles: DataFrame, fields: dict[str, str]) -> DataFrame:
-    """Number of profiles and, per field, how many lack it."""
+    """Number of customers and, per field, how many lack it; of a profile with several pages page 1 counts."""
+    if "saved_items_page" in profiles.columns:
+        profiles = profiles.where("saved_items_page = 1")
     return profiles.agg(
         F.count(F.lit(1)).alias("total_customers"),
         *[F.sum(F.when(missing(c, d), 1).otherwise(0)).alias(f"missing_{c}") for c, d in fields.items()],

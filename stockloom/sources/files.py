@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 from stockloom.functions.text import pg_array, to_pg_array
 
+# What an unquoted empty field is read as before it becomes NULL; no file holds this text.
+_NOTHING = "\x00NULL"
 _STRING_ARRAY = T.ArrayType(T.StringType())
 
 
@@ -25,7 +27,7 @@ def _decode(field: T.StructField) -> Column:
     if _is_string_array(field.dataType):
         return pg_array(F.col(field.name)).alias(field.name)
     if _is_nested(field.dataType):
-        return F.from_json(F.col(field.name), field.dataType).alias(field.name)
+        return F.from_json(F.col(field.name), field.dataType, {"mode": "FAILFAST"}).alias(field.name)
     return F.col(field.name)
 
 
@@ -37,12 +39,14 @@ def _encode(field: T.StructField) -> Column:
     return F.col(field.name)
 
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str) -> DataFrame:
-    """A CSV file, folder or glob with a header as a typed table.
+def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str, multi_line: bool = False) -> DataFrame:
+    """A CSV file, folder or glob with a header as a typed table; a row that does not fit stops the load.
 
     Array columns arrive as ``{a,b}`` text and other nested columns as JSON text. Quotes
-    inside a field are doubled, so the escape character is the quote itself. A glob such as
-    ``transactions_part_*.csv`` reads a chunked table; Spark splits the files over tasks.
+    inside a field are doubled, so the escape character is the quote itself. An empty field is
+    NULL, a quoted empty one is empty text. Fields with line breaks need ``multi_line``, which reads
+    each file in one task. A glob such as ``transactions_part_*.csv`` reads a chunked table; Spark
+    splits the files over tasks.
     """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
@@ -53,16 +57,20 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType |
         spark.read.schema(flat)
         .option("header", True)
         .option("escape", '"')
-        .option("multiLine", False)
+        .option("mode", "FAILFAST")
+        .option("nullValue", _NOTHING)
+        .option("emptyValue", "")
+        .option("multiLine", multi_line)
         .csv(path)
     )
     return raw.select(*[_decode(f) for f in schema])
 
 
 def write_csv(df: DataFrame, path: str, max_rows: int | None = None, mode: str = "overwrite") -> None:
-    """CSV in the layout :func:`read_csv` reads, in files of at most ``max_rows`` rows."""
+    """CSV in the layout :func:`read_csv` reads, in files of at most ``max_rows`` rows; white space is kept."""
     writer = df.select(*[_encode(f) for f in df.schema]).write.mode(mode)
-    writer = writer.option("header", True).option("escape", '"')
+    writer = writer.option("header", True).option("escape", '"').option("nullValue", "").option("emptyValue", '""')
+    writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     if max_rows:
         writer = writer.option("maxRecordsPerFile", max_rows)
     writer.csv(path)

@@ -6,7 +6,7 @@ aggregation with map-side combine over whole tables.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stockloom.functions.money import cents_of_double, from_cents, half_up
@@ -68,6 +68,11 @@ class Roles:
             F.when(F.col("p_partkey") % 10 == 9, "inactive").otherwise("active").alias("status"),
         )
 
+    def brands(self) -> DataFrame:
+        """Brands by the number in their name."""
+        number = F.regexp_extract("p_brand", "([0-9]+)$", 1).cast("int")
+        return self.table("part").select(number.alias("brand_id"), F.col("p_brand").alias("brand_name")).distinct()
+
     def sale_products(self) -> DataFrame:
         """Products under the column names the sales tables use."""
         return self.products().select(
@@ -148,8 +153,8 @@ class Roles:
     def weekly_performance(self) -> DataFrame:
         """Sales per week, store and style.
 
-        Lines meet their product first: every sum then needs one shuffle only, after the
-        map-side combine.
+        Lines meet their product first and are summed per week after the map-side combine; the
+        stock of a store and style is the sum over its weeks, so lines are read once.
         """
         gross = cents_of_double(F.col("l_extendedprice"))
         discount = half_up(gross * cents_of_double(F.col("l_discount")), F.lit(100))
@@ -165,10 +170,10 @@ class Roles:
             F.when(F.col("l_linestatus") == "O", qty).otherwise(0).alias("av"),
         )
         weekly = line.groupBy("week_start_date", "store_id", "style_id").agg(
-            *[F.sum(c).alias(c) for c in ("qty", "gross", "disc", "spent")]
+            *[F.sum(c).alias(c) for c in ("qty", "gross", "disc", "spent", "av")]
         )
-        stock = line.groupBy("store_id", "style_id").agg(F.sum("av").alias("stock"))
-        full = weekly.join(stock, ["store_id", "style_id"])
+        # A store and style has one row per week, a bounded window.
+        full = weekly.withColumn("stock", F.sum("av").over(Window.partitionBy("store_id", "style_id")))
         units, net = F.col("qty"), F.col("gross") - F.col("disc")
         return full.select(
             "week_start_date", "store_id", "style_id", units.cast("int").alias("units_sold"),

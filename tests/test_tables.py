@@ -179,8 +179,30 @@ def test_customer_360(spark):
 
 
 def test_long_saved_lists_are_paged_whole(spark):
-    rows = _profiles(spark, 25, 10).where("customer_id = 1").orderBy("saved_items_page").collect()
+    profiles = _profiles(spark, 25, 10)
+    rows = profiles.where("customer_id = 1").orderBy("saved_items_page").collect()
     assert [len(r.saved_items) for r in rows] == [10, 10, 5]
+    assert profiles.select("customer_id", "saved_items_page").distinct().count() == profiles.count() == 4
+    assert quality.field_coverage(profiles, {"email": "text"}).first().total_customers == 2
+
+
+def test_hostile_text_survives_csv(spark, tmp_path):
+    schema = "id bigint, t string, a array<string>, n int"
+    rows = [
+        (1, 'two\nlines, "quoted"', ["a,b", "c", "", None, "NULL", 'say "x"', "back\\slash", "{}"], 5), (2, "", [], None),
+        (3, None, None, 0), (4, "  spaced  ", [" s "], -1), (5, '"', ["multi\nline"], None),
+    ]
+    source = spark.createDataFrame(rows, schema)
+    files.write_csv(source.coalesce(1), str(tmp_path / "t"))
+    back = files.read_csv(spark, str(tmp_path / "t"), schema, multi_line=True)
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
+
+
+@pytest.mark.parametrize("line", ["x1,a,{b},2", "1,a,{b},two", "1,a,b,2", "1,a"])
+def test_bad_rows_stop_the_load(spark, tmp_path, line):
+    (tmp_path / "t.csv").write_text(f"id,t,a,n\n1,ok,{{x}},3\n{line}\n")
+    with pytest.raises(Exception):
+        files.read_csv(spark, str(tmp_path / "t.csv"), "id bigint, t string, a array<string>, n int").collect()
 
 
 def test_positions_and_running_totals(spark):
