@@ -34,22 +34,6 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
-class _Remembered(dict):
-    """Steps of pieces of text, computed when first asked for; starts anew when full."""
-
-    def __init__(self, compute) -> None:
-        super().__init__()
-        self.compute = compute
-
-    def __missing__(self, piece: str) -> bytes:
-        steps = self.compute(piece)
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        if len(piece) <= 64:
-            self[piece] = steps
-        return steps
-
-
 class PrefixCounter:
     """Prefix counts under a byte-level BPE vocabulary file; one per Python worker."""
 
@@ -74,11 +58,8 @@ class PrefixCounter:
         self.right: dict = {}
         self.longest = max(map(len, self.tokens))
         self.find = regex.compile(PRETOKENS).findall
-        # A text with a zero character, which marks where chunks part, is also counted as a whole.
-        self.doubled = regex.compile(r"\s\s|\0").search
         self.fits: dict = {}
-        self.steps = _Remembered(self._pretoken)
-        self.chunks = _Remembered(self._chunk)
+        self.steps: dict[str, bytes] = {}
 
     def _encode(self, raw: bytes) -> list[bytes]:
         """Plain byte-pair merging, for the bytes of one or two tokens."""
@@ -151,28 +132,26 @@ class PrefixCounter:
 
     def _pretoken(self, piece: str) -> bytes:
         """Steps of a pre-token: the change of the count with each code point, as signed bytes."""
-        raw = piece.encode("utf-8")
-        counts = self.byte_prefixes(raw)
-        if len(raw) != len(piece):
-            ends = np.cumsum([len(c.encode("utf-8")) for c in piece]) - 1
-            counts = [counts[e] for e in ends]
-        if piece in _LATE_CONTRACTIONS:
-            counts[1] = 2
-        return bytes([(b - a) % 256 for a, b in zip([0, *counts], counts)])
-
-    def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.steps.__getitem__, self.find(chunk)))
-
-    def _segment(self, text: str) -> bytes:
-        """Steps of a text without special tokens.
-
-        Where no white space follows white space, a pre-token begins at every space, so the chunks
-        between spaces are counted on their own.
-        """
-        if self.doubled(text) is None:
-            return b"".join(map(self.chunks.__getitem__, text.replace(" ", "\0 ").split("\0")))
+        known = self.steps.get(piece)
+        if known is None:
+            raw = piece.encode("utf-8")
+            counts = self.byte_prefixes(raw)
+            if len(raw) != len(piece):
+                ends = np.cumsum([len(c.encode("utf-8")) for c in piece]) - 1
+                counts = [counts[e] for e in ends]
+            if piece in _LATE_CONTRACTIONS:
+                counts[1] = 2
+            known = bytes([(b - a) % 256 for a, b in zip([0, *counts], counts)])
+            if len(self.steps) >= CACHE_ENTRIES:
+                self.steps.clear()
+            if len(piece) <= 64:
+                self.steps[piece] = known
+        return known
+
+    def _segment(self, text: str) -> tuple[list[str], bytearray]:
+        """Pre-tokens and steps of a text without special tokens."""
         pieces = self.find(text)
-        steps = bytearray(b"".join(map(self.steps.__getitem__, pieces)))
+        steps = bytearray(b"".join(map(self._pretoken, pieces)))
         at = 0
         for piece, after in zip(pieces, pieces[1:]):
             at += len(piece)
@@ -185,18 +164,17 @@ class PrefixCounter:
                     steps[at] = (_signed(steps[at]) + change) % 256
                     if at + 1 < len(steps):
                         steps[at + 1] = (_signed(steps[at + 1]) - change) % 256
-        return bytes(steps)
+        return pieces, steps
 
     def _sum(self, piece: str) -> int:
-        return int(np.frombuffer(self.steps[piece], np.int8).sum())
+        return int(np.frombuffer(self._pretoken(piece), np.int8).sum())
 
     def steps_of(self, text: str) -> bytes:
         """One signed byte per code point; their running sum is the token count of each prefix."""
         whole, at = bytearray(), 0
         for match in self.special.finditer(text) if self.special else ():
-            segment = text[at : match.start()]
-            pieces = self.find(segment)
-            whole += self._segment(segment)
+            pieces, steps = self._segment(text[at : match.start()])
+            whole += steps
             # Inside its string a special token is ordinary text that may merge with what stands before.
             tail = "".join(pieces[-2:])
             before = now = sum(map(self._sum, pieces[-2:]))
@@ -206,7 +184,7 @@ class PrefixCounter:
                 now = count
             whole.append((before + 1 - now) % 256)
             at = match.end()
-        return bytes(whole + self._segment(text[at:]))
+        return bytes(whole + self._segment(text[at:])[1])
 
 
 def _signed(byte: int) -> int:
