@@ -120,18 +120,20 @@ def price_items(items: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def apply_reservations(inventory: DataFrame, accepted: DataFrame, as_of: Column) -> DataFrame:
-    """Inventory after reserving ``store_id, sku_id, quantity`` rows."""
-    taken = accepted.groupBy("store_id", "sku_id").agg(F.sum("quantity").cast("int").alias("taken"))
+    """Inventory after reserving ``store_id, sku_id, quantity`` rows, stamped with the latest ``as_of`` of a position."""
+    stamp = as_of.cast(inventory.schema["last_updated"].dataType)
+    taken = accepted.groupBy("store_id", "sku_id").agg(
+        F.sum("quantity").cast("int").alias("taken"), F.max(stamp).alias("stamp")
+    )
     joined = inventory.join(taken, ["store_id", "sku_id"], "left")
     reserved = F.col("reserved_qty") + F.col("taken")
     changed = F.col("taken").isNotNull()
-    stamp = as_of.cast(inventory.schema["last_updated"].dataType)
     return joined.select(
         "store_id", "sku_id", "on_hand_qty",
         F.when(changed, reserved).otherwise(F.col("reserved_qty")).alias("reserved_qty"),
         F.when(changed, F.col("on_hand_qty") - reserved).otherwise(F.col("available_qty")).alias("available_qty"),
         "in_transit_qty",
-        F.when(changed, stamp).otherwise(F.col("last_updated")).alias("last_updated"),
+        F.when(changed, F.col("stamp")).otherwise(F.col("last_updated")).alias("last_updated"),
     )
 
 
@@ -239,26 +241,32 @@ def place_orders(
     headers: DataFrame, items: DataFrame, inventory: DataFrame, products: DataFrame, stores: DataFrame,
     as_of: Column, span: int = SEQ_SPAN,
 ) -> Placement:
-    """Routes, checks, prices and reserves a batch of orders; each order is all or nothing."""
+    """Routes, checks, prices and reserves a batch of orders; each order is all or nothing.
+
+    ``as_of`` is the time of placing, the same for all or a column of ``headers``: dates count from an
+    order's own time, and a stock row carries the time of the last accepted order on it.
+    """
     base = scratch_dir(headers.sparkSession, "placement")
     # Both tables are used several times below; written out, each input is read once.
-    routed = written(with_store(with_request_reason(headers, items, stores), inventory), f"{base}/routed")
+    timed = headers.withColumn("__placed", as_of.cast("timestamp"))
+    routed = written(with_store(with_request_reason(timed, items, stores), inventory), f"{base}/routed")
     able = routed.where(F.col("reason").isNull()).drop("reason")
     lines = written(sold_lines(able, items, inventory, products), f"{base}/lines")
     short = written(stock_reasons(able, lines), f"{base}/short")
     verdicts = allocate(lines.join(short, "order_id", "left_anti"), span)
     won = verdicts.where("accepted").select("order_id")
     lost = verdicts.where(~F.col("accepted")).select("order_id", F.lit("insufficient").alias("reason"))
-    accepted = lines.join(won, "order_id", "left_semi")
-    orders = with_eta(able.join(won, "order_id", "left_semi"), as_of).select(
-        "order_id", "customer_id", as_of.cast("timestamp").alias("order_date"), F.lit("placed").alias("order_status"),
+    taken = able.join(won, "order_id", "left_semi")
+    accepted = lines.join(taken.select("order_id", "__placed"), "order_id")
+    orders = with_eta(taken, F.col("__placed")).select(
+        "order_id", "customer_id", F.col("__placed").alias("order_date"), F.lit("placed").alias("order_status"),
         F.col("store_id").alias("fulfillment_store_id"), "destination_store_id", "ship_to_city", "shipping_method",
         "estimated_delivery_days", "estimated_delivery_date",
     )
     sold = price_items(accepted, products).select("order_id", "sku_id", "quantity", "unit_price")
     broken = routed.where(F.col("reason").isNotNull()).select("order_id", "reason")
     rejects = broken.unionByName(short).unionByName(lost)
-    return Placement(orders, sold, apply_reservations(inventory, accepted, as_of), rejects)
+    return Placement(orders, sold, apply_reservations(inventory, accepted, F.col("__placed")), rejects)
 
 
 def split_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:

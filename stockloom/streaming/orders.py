@@ -24,7 +24,7 @@ def place_orders_stream(
     """Runs a stream of order requests, each stamped ``placed_at``, into ``state``.
 
     Requests have either form of :func:`split_requests`; the rows of one order must arrive in
-    the same file.
+    the same file. Every order is dated by its own stamp.
 
     Batch ``n`` reads inventory version ``n`` and writes version ``n + 1`` last, after its
     orders, lines and rejects. A replayed batch finds the version it read unchanged and
@@ -34,9 +34,8 @@ def place_orders_stream(
     def place(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         stock = inventory_version(spark, state, batch_id)
-        headers, items = split_requests(batch.drop("placed_at"))
-        stamp = batch.agg(F.max("placed_at")).first()[0]
-        placed = place_orders(headers, items, stock, products, stores, F.lit(stamp))
+        headers, items = split_requests(batch)
+        placed = place_orders(headers, items, stock, products, stores, F.col("placed_at"))
         for name, df in (("orders", placed.orders), ("lines", placed.lines), ("rejects", placed.rejects)):
             df.write.mode("overwrite").parquet(f"{state}/{name}/batch={batch_id}")
         placed.inventory.write.mode("overwrite").parquet(f"{state}/inventory/version={batch_id + 1}")

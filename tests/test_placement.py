@@ -1,7 +1,7 @@
 """Batch order placement against a step-by-step model."""
 
 import random
-from datetime import date
+from datetime import date, timedelta
 
 import shop
 from pyspark.sql import functions as F
@@ -79,7 +79,7 @@ def test_rejected_orders_take_nothing(spark):
     stores = spark.createDataFrame([(0,)], "store_id int")
     placed = placement.place_orders(heads, lines, inv, catalogue(spark, ["k"]), stores, F.lit(shop.NOON))
     assert outcome_of(placed) == {"o0": 0, "o1": "insufficient", "o2": 0}
-    assert [r.estimated_delivery_date for r in placed.orders.collect()] == [date(2026, 2, 2)] * 2
+    assert [r.estimated_delivery_date for r in placed.orders.collect()] == [date(2031, 9, 16)] * 2
 
 
 def test_equals_serial_placement(spark):
@@ -106,7 +106,8 @@ def test_stream_continues_from_the_last_stock(spark):
     orders = make(rng, 30, stores, skus, 4)
     heads, lines, inv = tables(spark, orders, stock)
     items = lines.groupBy("order_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "sku_id", "quantity"))).alias("i"))
-    requests = heads.join(items, "order_id").withColumn("placed_at", F.lit(shop.NOON)).withColumn(
+    placed_at = F.lit(shop.NOON) + F.make_dt_interval(days=F.col("seq").cast("int"))
+    requests = heads.join(items, "order_id").withColumn("placed_at", placed_at).withColumn(
         "items", F.transform("i", lambda x: F.struct(x["sku_id"].alias("sku_id"), x["quantity"].alias("quantity")))
     ).drop("i")
     inbox, state = scratch_dir(spark, "inbox"), scratch_dir(spark, "state")
@@ -119,8 +120,17 @@ def test_stream_continues_from_the_last_stock(spark):
         place_orders_stream(stream, catalogue(spark, skus), dims, state).awaitTermination()
         part, left = serial(orders[lo:hi], left, set(stores))
         want.update(part)
-    got = {r.order_id: r.fulfillment_store_id for r in spark.read.parquet(f"{state}/orders").collect()}
+    taken = spark.read.parquet(f"{state}/orders").collect()
+    got = {r.order_id: r.fulfillment_store_id for r in taken}
     got.update({r.order_id: r.reason for r in spark.read.parquet(f"{state}/rejects").collect()})
     assert got == want
     final = inventory_version(spark, state, 2).collect()
     assert {(r.store_id, r.sku_id): r.available_qty for r in final} == left
+    stamps = {f"o{i}": shop.NOON + timedelta(days=i) for i in range(30)}
+    assert all(r.order_date == stamps[r.order_id] for r in taken)
+    assert all(r.estimated_delivery_date == (stamps[r.order_id] + timedelta(days=r.estimated_delivery_days)).date() for r in taken)
+    last = {}
+    for oid, _, _, _, _, bought in orders:
+        if isinstance(want[oid], int):
+            last |= {(want[oid], k): stamps[oid] for k, _ in bought}
+    assert all(r.last_updated == last.get((r.store_id, r.sku_id), shop.NOON) for r in final)
