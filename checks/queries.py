@@ -772,6 +772,22 @@ def _email_backfill(r: Roles) -> DataFrame:
     return maintain.email_backfill(r.customers()).select("customer_id", "email")
 
 
+@query("query_rejects", """
+    SELECT query_id, q, reason FROM (
+        SELECT CASE WHEN length(q) <> 3 THEN query_id END AS query_id, q,
+               CASE WHEN length(q) = 3 THEN 'missing_query_id' WHEN length(q) < 2 THEN 'q_too_short' END AS reason
+        FROM (SELECT DISTINCT p_name || n AS query_id, left(p_name, n) AS q FROM part, (SELECT unnest([1, 2, 3, 4]) AS n)))
+    WHERE reason IS NOT NULL""")
+def _query_rejects(r: Roles) -> DataFrame:
+    """First letters of every product name as queries; those of three letters have lost their id."""
+    size = F.explode(F.array(*[F.lit(n) for n in (1, 2, 3, 4)]))
+    cut = r.table("part").select("p_name", size.alias("n")).select(
+        F.concat("p_name", F.col("n").cast("string")).alias("query_id"), F.expr("left(p_name, n)").alias("q")
+    ).distinct()
+    asked = cut.withColumn("query_id", F.when(F.length("q") != 3, F.col("query_id")))
+    return catalog.query_rejects(asked).select("query_id", "q", "reason")
+
+
 # Data quality ------------------------------------------------------------------------
 
 
