@@ -10,8 +10,9 @@ signed step per code point, so truncation and budget questions are running sums.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -34,6 +35,22 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+class _Remembered(dict):
+    """Values of a function by argument; a full table starts anew and long arguments are not kept."""
+
+    def __init__(self, made: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.made = made
+
+    def __missing__(self, piece: str) -> bytes:
+        value = self.made(piece)
+        if len(self) >= CACHE_ENTRIES:
+            self.clear()
+        if len(piece) <= 64:
+            self[piece] = value
+        return value
+
+
 class PrefixCounter:
     """Prefix counts under a byte-level BPE vocabulary file; one per Python worker."""
 
@@ -48,7 +65,11 @@ class PrefixCounter:
         raw = lambda token: bytes(letters[c] for c in token)
         special = [t["content"] for t in described["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
-        self.tokens = {raw(t) for t in described["model"]["vocab"] if t not in special}
+        self.names = [b"", *(raw(t) for t in described["model"]["vocab"] if t not in special)]
+        self.ending = ahocorasick.Automaton()  # finds the tokens that end at each byte, the longest first
+        for number, token in enumerate(self.names[1:], 1):
+            self.ending.add_word(token.decode("latin-1"), (number, len(token)))
+        self.ending.make_automaton()
         self.ranks = {}
         for rank, merge in enumerate(described["model"]["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
@@ -56,10 +77,10 @@ class PrefixCounter:
         self.made = {left + right: ((left, right), rank) for (left, right), rank in self.ranks.items()}
         self.left: dict = {}
         self.right: dict = {}
-        self.longest = max(map(len, self.tokens))
         self.find = regex.compile(PRETOKENS).findall
-        self.fits: dict = {}
-        self.steps: dict[str, bytes] = {}
+        self.spaces = regex.compile(r"\s\s+(?=\S)").finditer
+        self.fits: dict[int, bool] = {}
+        self.steps = _Remembered(self._count)
 
     def _encode(self, raw: bytes) -> list[bytes]:
         """Plain byte-pair merging, for the bytes of one or two tokens."""
@@ -90,7 +111,7 @@ class PrefixCounter:
             end = self.made.get(pair[right])
         return spine
 
-    def _fit(self, before: bytes, token: bytes) -> bool:
+    def _fit(self, before_number: int, number: int) -> bool:
         """Whether the two tokens are the encoding of their bytes: no merge crosses the border between them.
 
         A pair of parts at the border merges if its rank comes before the merges that end
@@ -98,6 +119,7 @@ class PrefixCounter:
         """
         if len(self.fits) >= CACHE_ENTRIES:
             self.fits.clear()
+        before, token = self.names[before_number], self.names[number]
         if not before:
             fit = self._encode(token) == [token]
         else:
@@ -111,63 +133,54 @@ class PrefixCounter:
                     crossing = rank((a, b))
                     if crossing is not None and crossing < a_ends and crossing <= b_ends:
                         fit = False
-        self.fits[before, token] = fit
+        self.fits[before_number * len(self.names) + number] = fit
         return fit
 
     def byte_prefixes(self, raw: bytes) -> list[int]:
         """Token counts of ``raw[:1], raw[:2], ...``, taken as one pre-token each."""
-        last, counts, tokens, known = [b""], [0], self.tokens, self.fits
-        for end in range(1, len(raw) + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = raw[start:end]
-                if token in tokens:
-                    fit = known.get((last[start], token))
-                    if fit or fit is None and self._fit(last[start], token):
-                        last.append(token)
-                        counts.append(counts[start] + 1)
-                        break
-            else:
-                raise ValueError(f"no encoding of {raw[:end]!r}")
+        last, counts = [0] * (len(raw) + 1), [0] * (len(raw) + 1)
+        known, size, decided = self.fits.get, len(self.names), -1
+        for end, (number, length) in self.ending.iter(raw.decode("latin-1")):
+            if end == decided:
+                continue
+            start = end + 1 - length
+            before = last[start]
+            fit = known(before * size + number)
+            if fit or fit is None and self._fit(before, number):
+                last[end + 1], counts[end + 1], decided = number, counts[start] + 1, end
+        if 0 in last[1:]:
+            raise ValueError(f"no encoding of {raw!r}")
         return counts[1:]
 
-    def _pretoken(self, piece: str) -> bytes:
+    def _count(self, piece: str) -> bytes:
         """Steps of a pre-token: the change of the count with each code point, as signed bytes."""
-        known = self.steps.get(piece)
-        if known is None:
-            raw = piece.encode("utf-8")
-            counts = self.byte_prefixes(raw)
-            if len(raw) != len(piece):
-                ends = np.cumsum([len(c.encode("utf-8")) for c in piece]) - 1
-                counts = [counts[e] for e in ends]
-            if piece in _LATE_CONTRACTIONS:
-                counts[1] = 2
-            known = bytes([(b - a) % 256 for a, b in zip([0, *counts], counts)])
-            if len(self.steps) >= CACHE_ENTRIES:
-                self.steps.clear()
-            if len(piece) <= 64:
-                self.steps[piece] = known
-        return known
+        raw = piece.encode("utf-8")
+        counts = self.byte_prefixes(raw)
+        if len(raw) != len(piece):
+            ends, at = [], -1
+            for c in piece:
+                at += 1 if c < "\x80" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4
+                ends.append(at)
+            counts = [counts[e] for e in ends]
+        if piece in _LATE_CONTRACTIONS:
+            counts[1] = 2
+        return bytes([(b - a) % 256 for a, b in zip([0, *counts], counts)])
 
     def _segment(self, text: str) -> tuple[list[str], bytearray]:
         """Pre-tokens and steps of a text without special tokens."""
         pieces = self.find(text)
-        steps = bytearray(b"".join(map(self._pretoken, pieces)))
-        at = 0
-        for piece, after in zip(pieces, pieces[1:]):
-            at += len(piece)
-            if piece[-1].isspace() and after[0].isspace():
-                # Cut after the next character, all the white space is one pre-token.
-                joined = piece + after[0]
-                apart = self._sum(piece) + self._sum(after[0])
-                change = self._sum(joined) - apart
-                if change:
-                    steps[at] = (_signed(steps[at]) + change) % 256
-                    if at + 1 < len(steps):
-                        steps[at + 1] = (_signed(steps[at + 1]) - change) % 256
+        steps = bytearray(b"".join(map(self.steps.__getitem__, pieces)))
+        for run in self.spaces(text):
+            # All but the last character is one pre-token; cut after the last, the whole run is.
+            at = run.end() - 1
+            change = self._sum(run[0]) - self._sum(run[0][:-1]) - self._sum(run[0][-1])
+            if change:
+                steps[at] = (_signed(steps[at]) + change) % 256
+                steps[at + 1] = (_signed(steps[at + 1]) - change) % 256
         return pieces, steps
 
     def _sum(self, piece: str) -> int:
-        return int(np.frombuffer(self._pretoken(piece), np.int8).sum())
+        return int(np.frombuffer(self.steps[piece], np.int8).sum())
 
     def steps_of(self, text: str) -> bytes:
         """One signed byte per code point; their running sum is the token count of each prefix."""

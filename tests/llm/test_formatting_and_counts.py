@@ -79,7 +79,7 @@ def library():
 
 
 PIECES = ["a", "the", " ", "  ", "\n", "\n\n", "'re", "'s", "'ll", "é", "中", "😀", "<|endoftext|>", "<|end", "!", "12", ".", "\t",
-          "\xa0", "　", "ing", "HELLO", "    ", "xxxxx", "=====", "\x85"]
+          "\xa0", "　", "ing", "HELLO", "    ", "xxxxx", "=====", "\x85", "\x1c"]
 
 
 def test_counts_equal_the_library_at_every_prefix(counter, library):
