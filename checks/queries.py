@@ -13,7 +13,7 @@ from checks.role_sql import ROLES, oracle
 from stockloom import schemas
 from stockloom.functions import derive, text
 from stockloom.functions.money import cents, half_up
-from stockloom.operators import catalog, customer, maintain, orders, placement, planning, quality, stock
+from stockloom.operators import catalog, constraints, customer, maintain, orders, placement, planning, quality, stock
 from stockloom.session import scratch_dir
 from stockloom.sources import files
 from stockloom.sources.roles import Roles
@@ -965,6 +965,56 @@ ROLES["x_sizes"] = """
            (SELECT count(*) FROM r_preferences) AS p, (SELECT count(*) FROM r_customers) AS c"""
 
 
+_DECLARED = {
+    "core_stores": ("r_stores", Roles.stores), "brands": ("r_brands", Roles.brands),
+    "core_products": ("r_core_products", Roles.core_products), "customers": ("r_customers", Roles.customers),
+    "customer_preferences": ("r_preferences", Roles.preferences), "saved_items": ("r_saved", Roles.saved_items),
+    "transactions": ("r_transactions", Roles.transactions), "transaction_items": ("r_items", Roles.transaction_items),
+    "returns": ("r_returns", Roles.returns), "styles": ("r_styles", Roles.styles), "skus": ("r_skus", Roles.skus),
+    "sku_inventory": ("r_sku_inventory", Roles.sku_inventory), "sales_summary": ("r_sales_summary", Roles.sales_summary),
+    "customer_profiles": ("r_customers", Roles.customers),
+    "style_relationships": ("r_style_relationships", Roles.style_relationships),
+    "source_orders": ("r_source_orders", Roles.source_orders), "source_order_items": ("r_source_items", Roles.source_order_items),
+    "products": ("r_products", Roles.products), "stores": ("r_stores", Roles.stores),
+    "inventory": ("r_inventory", Roles.inventory), "relationships": ("r_relationships", Roles.relationships),
+    "orders": ("r_orders", Roles.orders), "order_lines": ("r_declared_lines", Roles.order_lines),
+    "weekly_performance": ("r_declared_weeks", Roles.weekly_performance),
+}
+
+
+def _declared(r: Roles) -> dict[str, DataFrame]:
+    return {name: build(r) for name, (_, build) in _DECLARED.items()}
+
+
+def _broken(rule: str, condition: str, table: str) -> str:
+    return f"SELECT '{rule}' AS rule, count(*) FILTER ({condition}) AS violations FROM {_DECLARED[table][0]}"
+
+
+@query("constraint_keys", " UNION ALL ".join(
+    f"SELECT '{t}({', '.join(k)})' AS rule, count(*) AS violations FROM (SELECT {', '.join(k)} FROM {_DECLARED[t][0]} "
+    f"WHERE ({' || '.join(k)}) IS NOT NULL GROUP BY ALL HAVING count(*) > 1)"
+    for t, keys in constraints.KEYS.items() for k in keys))
+def _constraint_keys(r: Roles) -> DataFrame:
+    return constraints.audit_keys(_declared(r))
+
+
+@query("constraint_references", " UNION ALL ".join(
+    _broken(f"{t}.{c} -> {p}.{k}", f"{c} NOT IN (SELECT {k} FROM {_DECLARED[p][0]})", t) for t, c, p, k in constraints.REFERENCES))
+def _constraint_references(r: Roles) -> DataFrame:
+    return constraints.audit_references(_declared(r))
+
+
+@query("constraint_rows", " UNION ALL ".join([
+    *[_broken(f"{t}.{c} in codes", f"NOT list_contains({list(codes)}, {c})", t) for (t, c), codes in constraints.CODES.items()],
+    *[_broken(f"{t}.{c} in bounds", f"{c} < {low} OR {c} > {'1e18' if high is None else high}", t)
+      for (t, c), (low, high) in constraints.BOUNDS.items()],
+    _broken("inventory stock adds up", "on_hand_qty <> reserved_qty + available_qty", "inventory"),
+    _broken("relationships no self edge", "source_product_id = related_product_id", "relationships"),
+]))
+def _constraint_rows(r: Roles) -> DataFrame:
+    return constraints.audit_rows(_declared(r))
+
+
 @query("dq_expected_volume", """
     SELECT *, row_count / per_count::DOUBLE AS ratio, row_count / per_count::DOUBLE BETWEEN low AND high AS within_band FROM (
         SELECT 'transaction_items' AS table_name, 'transactions' AS per_table, 1.5::DOUBLE AS low, 2.2::DOUBLE AS high, i AS row_count, t AS per_count FROM x_sizes

@@ -146,6 +146,37 @@ ROLES = {
                CASE WHEN o_orderkey % 2 = 1 THEN CAST(f.supp AS INTEGER) END AS fulfillment_store_id
         FROM orders JOIN (SELECT l_orderkey, arg_min(l_suppkey, (l_linenumber, l_partkey, l_suppkey)) AS supp
                           FROM lineitem GROUP BY l_orderkey) f ON f.l_orderkey = o_orderkey""",
+    "r_core_products": """
+        SELECT product_id, sku_id AS sku, CAST(regexp_extract(brand, '([0-9]+)$', 1) AS INTEGER) AS brand_id FROM r_products""",
+    "r_styles": f"""
+        SELECT style_id, {pick('count(*)', ['core', 'fashion'])} AS core_vs_fashion,
+               {pick('count(*)', ['maintain', 'grow', 'optimize'])} AS strategic_priority
+        FROM r_products GROUP BY style_id""",
+    "r_skus": """
+        SELECT sku_id AS sku, style_id, CASE WHEN status = 'inactive' THEN style_id END AS substitute_style_id,
+               CASE size WHEN 'XL' THEN style_id WHEN 'XS' THEN brand || '-' || subcategory END AS trade_up_style_id
+        FROM r_products""",
+    "r_sku_inventory": "SELECT store_id, sku_id AS sku FROM r_inventory",
+    "r_sales_summary": f"""
+        SELECT DISTINCT strftime(l_shipdate, '%Y-%m') AS period, sku, style_id
+        FROM lineitem JOIN r_skus ON sku = 'SKU-' || {_LPART}""",
+    "r_style_relationships": """
+        SELECT a.style_id AS from_style_id, b.style_id AS to_style_id, length(b.style_id) % 4 AS priority_rank,
+               CASE relationship_type WHEN 'alternative' THEN 'alternative' ELSE 'cross_sell' END AS relationship_type
+        FROM r_relationships JOIN r_products a ON a.product_id = source_product_id
+        JOIN r_products b ON b.product_id = related_product_id""",
+    "r_source_orders": f"""
+        SELECT o_orderkey AS order_id, o_custkey AS customer_id, (o_custkey * 3) % ({_STORE_N} + 1) AS store_id,
+               CASE o_orderstatus WHEN 'F' THEN 'fulfilled' WHEN 'O' THEN 'placed' ELSE 'processing' END AS order_status
+        FROM orders""",
+    "r_source_items": f"""
+        SELECT l_orderkey || '-' || l_linenumber AS order_item_id, l_orderkey AS order_id, 'SKU-' || {_LPART} AS sku,
+               CAST(l_quantity AS INTEGER) AS quantity, (2 * {_GROSS} + {_QTY}) // (2 * {_QTY}) AS unit_price
+        FROM lineitem""",
+    "r_declared_lines": "SELECT order_id, sku_id, quantity, price_c AS unit_price FROM r_order_lines",
+    "r_declared_weeks": """
+        SELECT week_start_date, store_id, style_id, units_sold, net_c AS net_sales, markdown_h / 100 AS markdown_rate,
+               st_h / 100 AS sell_through_pct, wos_h AS weeks_of_supply FROM r_weekly""",
     "r_queries": """
         SELECT 'name:' || p_name AS query_id, p_name AS q, CAST(NULL AS VARCHAR) AS category, CAST(NULL AS VARCHAR) AS occasion
         FROM (SELECT DISTINCT p_name FROM part)

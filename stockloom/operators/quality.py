@@ -117,17 +117,16 @@ def field_coverage(profiles: DataFrame, fields: dict[str, str]) -> DataFrame:
     )
 
 
-def _violations(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
-    """Violation counts of several row checks in one pass over a table."""
-    counts = df.agg(*[F.count(F.when(~cond, 1)).alias(name) for name, cond in checks.items()])
-    return counts.select(
-        F.explode(F.array(*[F.struct(F.lit(n).alias("check_name"), F.col(n).alias("violations")) for n in checks])).alias("c")
-    ).select("c.*")
+def row_rules(df: DataFrame, checks: dict[str, Column], label: str = "check_name") -> DataFrame:
+    """Violation counts of several row checks in one pass over a table; a condition that is NULL passes."""
+    columns = {f"c{i}": F.count(F.when(~cond, 1)).alias(f"c{i}") for i, cond in enumerate(checks.values())}
+    listed = [F.struct(F.lit(n).alias(label), F.col(c).alias("violations")) for n, c in zip(checks, columns)]
+    return df.agg(*columns.values()).select(F.inline(F.array(*listed)))
 
 
 def domain_check(df: DataFrame, table: str, columns: list[str]) -> DataFrame:
     """Rows whose code lies outside the allowed ones, per column; NULL passes, as in a CHECK."""
-    return _violations(df, {f"{table}_{c}": F.col(c).isin(*DOMAINS[c]) for c in columns})
+    return row_rules(df, {f"{table}_{c}": F.col(c).isin(*DOMAINS[c]) for c in columns})
 
 
 def range_check(df: DataFrame, table: str, bounds: dict[str, tuple]) -> DataFrame:
@@ -140,12 +139,12 @@ def range_check(df: DataFrame, table: str, bounds: dict[str, tuple]) -> DataFram
         if high is not None:
             cond = cond & (F.col(column) <= high)
         checks[f"{table}_{column}"] = cond
-    return _violations(df, checks)
+    return row_rules(df, checks)
 
 
 def identity_check(df: DataFrame, table: str, rules: dict[str, Column]) -> DataFrame:
     """Rows that break a rule between their own columns."""
-    return _violations(df, {f"{table}_{n}": c for n, c in rules.items()})
+    return row_rules(df, {f"{table}_{n}": c for n, c in rules.items()})
 
 
 def stock_identity() -> Column:

@@ -304,6 +304,69 @@ class Roles:
             F.when(key % 2 == 1, F.col("first.l_suppkey").cast("int")).alias("fulfillment_store_id"),
         )
 
+    # Styles and source orders -------------------------------------------------------
+
+    def core_products(self) -> DataFrame:
+        """Sale products with the number of their brand."""
+        number = F.regexp_extract("brand", "([0-9]+)$", 1).cast("int")
+        return self.products().select("product_id", F.col("sku_id").alias("sku"), number.alias("brand_id"))
+
+    def styles(self) -> DataFrame:
+        counted = self.products().groupBy("style_id").agg(F.count(F.lit(1)).alias("n"))
+        return counted.select(
+            "style_id", F.col("n").cast("int").alias("planned_cc_count"),
+            _pick(F.col("n"), ["core", "fashion"]).alias("core_vs_fashion"),
+            _pick(F.col("n"), ["maintain", "grow", "optimize"]).alias("strategic_priority"),
+        )
+
+    def skus(self) -> DataFrame:
+        """Extra small sizes trade up to a style by noun that nobody sells."""
+        trade_up = F.when(F.col("size") == "XL", F.col("style_id")).when(
+            F.col("size") == "XS", F.concat("brand", F.lit("-"), "subcategory")
+        )
+        return self.products().select(
+            F.col("sku_id").alias("sku"), "style_id", "size",
+            F.when(F.col("status") == "inactive", F.col("style_id")).alias("substitute_style_id"),
+            trade_up.alias("trade_up_style_id"),
+        )
+
+    def sku_inventory(self) -> DataFrame:
+        return self.inventory().select("store_id", F.col("sku_id").alias("sku"), F.col("on_hand_qty").alias("on_hand_units"))
+
+    def sales_summary(self) -> DataFrame:
+        monthly = self.table("lineitem").groupBy(
+            F.date_format("l_shipdate", "yyyy-MM").alias("period"), "l_partkey"
+        ).agg(F.sum(F.col("l_quantity").cast("bigint")).cast("int").alias("units_sold"))
+        sku = F.concat(F.lit("SKU-"), padded(F.col("l_partkey"), 7)).alias("sku")
+        return monthly.select("period", sku, "units_sold").join(self.skus().select("sku", "style_id"), "sku")
+
+    def style_relationships(self) -> DataFrame:
+        """Styles of related products; pairs of one style repeat."""
+        source = self.products().select(F.col("product_id").alias("source_product_id"), F.col("style_id").alias("from_style_id"))
+        target = self.products().select(F.col("product_id").alias("related_product_id"), F.col("style_id").alias("to_style_id"))
+        joined = self.relationships().join(source, "source_product_id").join(target, "related_product_id")
+        kind = F.when(F.col("relationship_type") == "alternative", "alternative").otherwise("cross_sell")
+        return joined.select(
+            "from_style_id", "to_style_id", kind.alias("relationship_type"),
+            (F.length("to_style_id") % 4).alias("priority_rank"),
+        )
+
+    def source_orders(self) -> DataFrame:
+        status = F.when(F.col("o_orderstatus") == "F", "fulfilled").when(F.col("o_orderstatus") == "O", "placed")
+        return self.table("orders").select(
+            F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"),
+            ((F.col("o_custkey") * 3) % (self.store_count() + 1)).cast("int").alias("store_id"),
+            status.otherwise("processing").alias("order_status"),
+        )
+
+    def source_order_items(self) -> DataFrame:
+        gross, qty = cents_of_double(F.col("l_extendedprice")), F.col("l_quantity").cast("bigint")
+        return self.table("lineitem").select(
+            F.concat_ws("-", "l_orderkey", "l_linenumber").alias("order_item_id"), F.col("l_orderkey").alias("order_id"),
+            F.concat(F.lit("SKU-"), padded(F.col("l_partkey"), 7)).alias("sku"), qty.cast("int").alias("quantity"),
+            from_cents(half_up(gross, qty), 10).alias("unit_price"),
+        )
+
     # Search -----------------------------------------------------------------------
 
     def search_queries(self) -> DataFrame:
