@@ -130,17 +130,20 @@ def _matches_everything(q: Column) -> Column:
     return q.isNull() | F.regexp_like(q, F.lit("^%+$"))
 
 
-def _matching_texts(texts: DataFrame, queries: DataFrame) -> DataFrame:
-    """Pairs of query and text that contains it: ``q, text``.
+def _matching_texts(texts: DataFrame, asks: DataFrame, base: str) -> DataFrame:
+    """Pairs of query and text that contains it, each once: ``q, text``.
 
     Works like an inverted index: texts and queries meet by equality on the query's rarest
     gram, and only those pairs are compared in full. A query with a gram no text has is
-    dropped at once.
+    dropped at once. The index is written to ``base``: it is counted and then looked up.
     """
-    asked = queries.select("q").distinct().where(~_matches_everything(F.col("q")))
+    asked = asks.select("q").distinct().where(~_matches_everything(F.col("q")))
     grams = asked.select("q", F.explode(_query_grams(F.col("q"))).alias("gram"))
-    indexed = texts.select("text", F.explode(_text_grams(F.col("text"))).alias("gram")).join(
-        grams.select("gram").distinct(), "gram", "left_semi"
+    indexed = written(
+        texts.select("text", F.explode(_text_grams(F.col("text"))).alias("gram")).join(
+            grams.select("gram").distinct(), "gram", "left_semi"
+        ),
+        f"{base}/indexed",
     )
     counted = grams.join(indexed.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram", "left")
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rarest")
@@ -159,17 +162,20 @@ def substring_hits(products: DataFrame, queries: DataFrame, limit: int = 20) ->
     Equal queries are answered once. Products are ranked per searched text and per filter
     combination first; a query then merges the leading ``limit`` products of each text it
     matches, however many products share the text. Queries without text use the empty text
-    that every product carries.
+    that every product carries; its facets are few and large, so they are ranked, and with
+    that cut in every task, before they meet the queries. What is used more than once is
+    written out and read from there.
     """
     bounded("limit", limit, MAX_SEARCH_LIMIT)
+    base = scratch_dir(products.sparkSession, "substring")
     filters = ["category", "occasion"]
     shelf = active_only(products).select("product_id", "occasion", *_SHELF_ORDER, "style_id")
     lowered = F.array_distinct(F.array(*[F.lower(c) for c in _SEARCHED]))
     texts = shelf.select(F.explode(lowered).alias("text")).distinct()
-    asks = queries.select("q", *filters).distinct()
+    asks = written(queries.select("q", *filters).distinct(), f"{base}/asks")
     everything = asks.where(_matches_everything(F.col("q"))).withColumn("text", F.lit(""))
-    by_text = asks.join(_matching_texts(texts, queries), "q")
-    wanted = everything.unionByName(by_text)
+    by_text = asks.join(_matching_texts(texts, asks, base), "q")
+    wanted = written(everything.unionByName(by_text), f"{base}/wanted")
 
     none = F.lit(None).cast("string")
     combinations = F.array(*[
@@ -177,21 +183,27 @@ def substring_hits(products: DataFrame, queries: DataFrame, limit: int = 20) ->
         for c in (F.col("category"), none) for o in (F.col("occasion"), none)
     ])
     facet = ["text", *filters]
-    listed = (
-        shelf.withColumn("text", F.explode(F.array_append(lowered, F.lit(""))))
-        .withColumn("facet", F.explode(combinations))
-        .select("product_id", "text", *[c for c in _SHELF_ORDER if c != "category"],
-                F.col("category").alias("shelf"), F.col("facet.f_category").alias("category"),
-                F.col("facet.f_occasion").alias("occasion"))
-    )
-    needed = listed.alias("l").join(wanted.select(*facet).distinct().alias("w"), _same("l", "w", facet), "left_semi")
+
+    def listed(carried: Column) -> DataFrame:
+        """Products under each text they carry and each filter combination they pass."""
+        return shelf.withColumn("text", carried).withColumn("facet", F.explode(combinations)).select(
+            "product_id", "text", *[c for c in _SHELF_ORDER if c != "category"], F.col("category").alias("shelf"),
+            F.col("facet.f_category").alias("category"), F.col("facet.f_occasion").alias("occasion"),
+        )
+
+    def asked_for(rows: DataFrame) -> DataFrame:
+        return rows.alias("l").join(wanted.select(*facet).distinct().alias("w"), _same("l", "w", facet), "left_semi")
+
     order = [F.col("shelf" if c == "category" else c).asc_nulls_last() for c in _SHELF_ORDER]
-    heads = top_k(needed, facet, order, limit, rank="place")
+    named = top_k(asked_for(listed(F.explode(F.filter(lowered, lambda t: t != "")))), facet, order, limit, rank="place")
+    heads = named.unionByName(asked_for(top_k(listed(F.lit("")), facet, order, limit, rank="place")))
     joined = heads.alias("h").join(wanted.alias("w"), _same("h", "w", facet)).select(
         "w.q", "w.category", "w.occasion", "h.product_id", "h.shelf", *[f"h.{c}" for c in _SHELF_ORDER if c != "category"]
     )
     ask = ["q", *filters]
-    answers = top_k(joined.distinct(), ask, order, limit)
+    # A product meets a query through its texts and the empty one at most, so the leading rows hold the leading products.
+    leading = top_k(joined, ask, order, (len(_SEARCHED) + 1) * limit, rank="row").drop("row")
+    answers = top_k(leading.distinct(), ask, order, limit)
     return queries.alias("k").join(answers.alias("a"), _same("k", "a", ask)).select("k.query_id", "a.product_id", "a.rank")
 
 
