@@ -2,7 +2,7 @@
 
 Fixed patterns with checks give the base spans. High-recall generators run over what is left
 and propose further spans. Boosted trees judge a candidate by its format and its context; a
-threshold per kind, calibrated on documents kept from training, selects what is redacted.
+threshold per kind, calibrated on judged candidates, selects what is redacted.
 Everything that touches documents is built of SQL functions: patterns are found with
 ``regexp_extract_all``, their places follow from the lengths of the pieces between them.
 """
@@ -49,7 +49,7 @@ TREES, RATE, COMBINATIONS, PRECISION = 40, 0.3, 20_000, 0.95
 _SPAN = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
 
 # Judged examples (kind, value, text before, text after, personal). They stand beside the corpus so that
-# forms it happens to lack are known; each weighs as much as EXAMPLE_WEIGHT candidates.
+# forms it happens to lack are known; each has the weight EXAMPLE_WEIGHT, whatever the corpus counts.
 EXAMPLES = (
     ("email", "jane (at) mail (dot) org", "write to ", " soon", 1), ("email", "j.doe[at]mail[dot]org", "contact: ", "", 1),
     ("email", "ann @ home.example.org", "mail ", ",", 1), ("email", "met @ 10.30", "we ", " sharp", 0),
@@ -246,7 +246,7 @@ def boost(x: np.ndarray, positive: np.ndarray, weight: np.ndarray, trees: int =
 
 
 def calibrate(model: Trees, x: np.ndarray, positive: np.ndarray, weight: np.ndarray, precision: float = PRECISION) -> None:
-    """Per kind the lowest score from which on at least ``precision`` of the held-out candidates are personal."""
+    """Per kind the lowest score from which on at least ``precision`` of the judged candidates are personal."""
     scores = model.scores(x)
     for kind in range(len(KINDS)):
         own = np.flatnonzero(x[:, 0] == kind)
@@ -289,33 +289,30 @@ def locate(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def _counted(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("fold", "f").agg(F.sum("personal").alias("positive"), F.sum("weight").alias("weight"))
-
-
 def train(spark: SparkSession, located: DataFrame) -> Trees:
-    """Trees fitted on half of the documents and calibrated on the other half.
+    """Trees fitted on base spans and judged examples, with thresholds calibrated on the judged examples alone.
 
-    Base spans are personal, candidates outside of them are not; both are counted per
-    combination of features, so copies cost nothing. The ``COMBINATIONS`` most frequent combinations are
-    used, the judged examples always.
+    Base spans of all documents are personal. They are counted per combination of features, the
+    ``COMBINATIONS`` most frequent are used, and those of a kind weigh together as much as its judged examples:
+    neither the size of the corpus nor its share of base spans moves a score. Candidates outside of
+    base spans have no label and count neither way. Base spans need no threshold, so they play no part in
+    the precision.
     """
-    fold = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 2).alias("fold")
-    found = located.select(fold, F.explode("base").alias("s")).select("fold", "s.f", F.lit(1).alias("personal")).unionByName(
-        located.select(fold, F.explode("loose").alias("s")).select("fold", "s.f", F.lit(0).alias("personal"))
-    ).withColumn("weight", F.lit(1))
+    found = located.select(F.explode("base").alias("s")).select("s.f").groupBy("f").agg(F.count(F.lit(1)).alias("n"))
+    counted = np.array([(*r.f, r.n) for r in found.orderBy(F.desc("n"), "f").limit(COMBINATIONS).collect()], float)
     judged = spark.createDataFrame(list(EXAMPLES), "kind string, value string, before string, after string, personal int")
     form = F.lit(None)
     for kind in KINDS:
         form = F.when(F.col("kind") == kind, features(kind, F.struct("value", "before", "after"))).otherwise(form)
-    examples = judged.select(form.alias("f"), (F.col("personal") * EXAMPLE_WEIGHT).alias("positive"), F.lit(EXAMPLE_WEIGHT).alias("weight"))
-    counted = _counted(found).orderBy(F.desc("weight"), "f", "fold").limit(COMBINATIONS)
-    rows = [(r.fold, *r.f, r.positive, r.weight) for r in counted.collect()]
-    rows += [(part, *r.f, r.positive, r.weight) for r in examples.collect() for part in (0, 1)]
-    table = np.array(rows, float)
-    halves = [table[table[:, 0] == part] for part in (0, 1)]
-    model = boost(halves[0][:, 1:-2].astype(int), halves[0][:, -2], halves[0][:, -1])
-    calibrate(model, halves[1][:, 1:-2].astype(int), halves[1][:, -2], halves[1][:, -1])
+    judged = np.array([(*r.f, r.personal * EXAMPLE_WEIGHT, EXAMPLE_WEIGHT) for r in judged.select(form.alias("f"), "personal").collect()], float)
+    counted = counted.reshape(-1, len(FEATURES) + 1)
+    weight = np.zeros(len(counted))
+    for kind in range(len(KINDS)):
+        own = counted[:, 0] == kind
+        weight[own] = counted[own, -1] / max(counted[own, -1].sum(), 1) * judged[judged[:, 0] == kind, -1].sum()
+    table = np.concatenate([np.column_stack([counted[:, :-1], weight, weight]), judged])
+    model = boost(table[:, :-2].astype(int), table[:, -2], table[:, -1])
+    calibrate(model, judged[:, :-2].astype(int), judged[:, -2], judged[:, -1])
     return model
 
 

@@ -223,3 +223,19 @@ def test_added_spans_and_redaction(spark):
     assert all(not brute.base_spans(texts[i]) and "[PHONE]" in texts[i] and "[EMAIL]" in texts[i] for i, _ in rows)
     forms = located.select(F.explode("base").alias("s")).select("s.f", model.column(F.col("s.f")).alias("score")).limit(50).collect()
     assert np.allclose([r.score for r in forms], model.scores(np.array([list(r.f) for r in forms])))
+
+
+def test_selection_does_not_follow_the_size_of_the_corpus(spark):
+    spans = lambda n: "day ".join(f"+1 ({100 + i % 800}) 555-{1000 + i % 9000} " for i in range(n))
+    small = [(i, f"road 12 12 12 12 {spans(2)}me{i}@mail.example.org") for i in range(60)]
+    clean = ["in 2019-2020 the", "on 2021-05-12 at", "on 12/05/2021, it", "ISBN 978-3-16-148410-0 is"]
+    cases = spark.createDataFrame([(i, t) for i, t in enumerate([*clean, "Call (415) 555-2671 now"])], "doc_id bigint, text string")
+    models = []
+    for copies, length in ((1, 2), (40, 2), (1, 200)):  # the last has more spans of one kind only
+        docs = spark.createDataFrame([(i, t.replace(spans(2), spans(length))) for i, t in small], "doc_id bigint, text string")
+        located = pii_boost.locate(docs.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).select(
+            (F.col("doc_id") * 1000 + F.col("copy")).alias("doc_id"), "text"))
+        models.append(pii_boost.train(spark, located))
+        got = {r.doc_id: r.spans for r in pii_boost.select(pii_boost.locate(cases), models[-1]).collect()}
+        assert [i for i in got if got[i]] == [len(clean)]
+    assert models[0] == models[1]
