@@ -1,7 +1,8 @@
 """Sharding by balanced label propagation.
 
 Documents of one group (by default: equal texts) are linked. Every round lets linked documents
-move to the shard that holds most of their group, as far as the quotas of the shards allow; then
+move to the shard that holds most of their group, as far as the quotas of the shards allow: into
+free room, or in exchange for others, also around cycles of full shards. Rounds go on until nothing moves; then
 documents without links fill the shards up to the quotas, so row counts differ by one at most.
 Documents of one group in one shard are interchangeable, so rounds work on counts per group
 and shard, however large a group is.
@@ -9,6 +10,8 @@ and shard, however large a group is.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +19,8 @@ from stockloom.llm.common import running_before, seeded
 from stockloom.session import scratch_dir, written
 
 SHARDS = 16
-ROUNDS = 8
+PATIENCE = 6  # rounds without a move, each with other ties, after which nothing moves any more
+SHAKES = 24  # rounds in which groups may also gather in a shard that holds less of them
 SEED = 5
 
 
@@ -25,10 +29,31 @@ def quotas(rows: int, shards: int) -> list[int]:
     return [rows // shards + (s < rows % shards) for s in range(shards)]
 
 
+def _cycle(arcs: set[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The arcs of one cycle; none if there is no cycle."""
+    after: dict[int, list[int]] = {}
+    for s, t in sorted(arcs):
+        after.setdefault(s, []).append(t)
+    done: set[int] = set()
+    for start in sorted(after):
+        path = [start]
+        while path:
+            t = next((t for t in after.get(path[-1], ()) if t not in done), None)
+            if t is None:
+                done.add(path.pop())
+            elif t in path:
+                round_ = [*path[path.index(t):], t]
+                return list(zip(round_, round_[1:]))
+            else:
+                path.append(t)
+    return []
+
+
 def allowed_moves(demand: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], int]:
     """How many of the wanted moves between shards may happen at once without passing a quota.
 
-    Opposite moves exchange places; the rest use free room, which every move out enlarges.
+    Opposite moves exchange places; the rest use free room, which every move out enlarges, or exchange
+    places around longer cycles. What is left would pass a quota.
     """
     free = list(room)
     moves = {(s, t): min(n, demand.get((t, s), 0)) for (s, t), n in demand.items()}
@@ -42,6 +67,10 @@ def allowed_moves(demand: dict[tuple[int, int], int], room: list[int]) -> dict[t
                 free[t] -= more
                 free[s] += more
                 changed = True
+    while ring := _cycle({m for m, wanted in demand.items() if wanted > moves[m]}):
+        most = min(demand[m] - moves[m] for m in ring)
+        for m in ring:
+            moves[m] += most
     return moves
 
 
@@ -49,21 +78,30 @@ def _table(spark, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def propagate(cells: DataFrame, room: list[int], rounds: int, seed: int, report: list[dict] | None = None) -> DataFrame:
+def propagate(cells: DataFrame, room: list[int], rounds: int | None, seed: int, report: list[dict] | None = None) -> DataFrame:
     """Moves the counts ``link, shard, n`` of linked documents; ``room`` is what each shard may still take.
 
-    A group's wish is the shard with room that holds most of it, ties by a digest of the round;
-    documents in shards that hold less of the group move there. Which groups go first where
-    room is short is seeded by the round. A round is written and read again, so the lineage
-    stays short. It ends when nothing moves.
+    A group's wish is the shard that holds most of it and not it alone, ties by a digest of the round;
+    documents in shards that hold less of the group move there. Full shards are wished for too, their
+    places are exchanged. After a round without a move the next one lets every group wish for
+    any of its shards, at most ``SHAKES`` times, which frees places that no exchange reached; the one after that asks only for
+    shards with room. Which groups go first where room is short is seeded by the round. A round is written
+    and read again, so the lineage stays short. Moves of the other rounds bring more of a group together, so it
+    ends: after ``PATIENCE`` rounds without a move, or ``rounds`` in all where they are given.
     """
     spark = cells.sparkSession
     shards = len(room)
-    for round_ in range(rounds):
-        open_ = [s for s in range(shards) if room[s] > 0] or list(range(shards))
+    held = {r["shard"]: r["n"] for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+    whole = F.element_at(F.array(*[F.lit(n + held.get(s, 0)) for s, n in enumerate(room)]), F.col("shard") + 1)
+    idle = shakes = 0
+    for round_ in itertools.count() if rounds is None else range(rounds):
+        open_ = [s for s in range(shards) if room[s] > 0 and idle % 3 == 2] or list(range(shards))
         tie = seeded(seed + round_, F.col("link"), F.col("shard"))
-        order = F.struct("n", tie.alias("tie"), "shard")
-        best = cells.groupBy("link").agg(F.max(F.when(F.col("shard").isin(open_), order)).alias("best"))
+        shake = idle % 3 == 1 and shakes < SHAKES
+        shakes += shake
+        order = F.struct(F.lit(0).alias("n") if shake else F.col("n"), tie.alias("tie"), "shard")
+        target = F.col("shard").isin(open_) & (F.col("n") < whole)
+        best = cells.groupBy("link").agg(F.max(F.when(target, order)).alias("best"))
         wishes = cells.join(best, "link").withColumn(
             "to", F.when(order < F.col("best"), F.col("best.shard")).otherwise(F.col("shard"))
         ).select("link", "shard", "n", "to")
@@ -73,7 +111,11 @@ def propagate(cells: DataFrame, room: list[int], rounds: int, seed: int, report:
         if report is not None:
             report.append({"round": round_, "asked": sum(r["n"] for r in asked), "moved": sum(moves.values())})
         if not sum(moves.values()):
-            break
+            idle += 1
+            if idle == PATIENCE or not asked and idle > 1:
+                break
+            continue
+        idle = 0
         room = [
             r - sum(n for (_, t), n in moves.items() if t == s) + sum(n for (f, _), n in moves.items() if f == s)
             for s, r in enumerate(room)
@@ -105,7 +147,7 @@ def _fill(position: Column, room: list[int]) -> Column:
 
 
 def shard(
-    docs: DataFrame, link: Column | None = None, shards: int = SHARDS, rounds: int = ROUNDS, seed: int = SEED,
+    docs: DataFrame, link: Column | None = None, shards: int = SHARDS, rounds: int | None = None, seed: int = SEED,
     report: list[dict] | None = None,
 ) -> DataFrame:
     """A shard and a gapless slot for every document, few links cut, row counts at most one apart.
@@ -114,7 +156,7 @@ def shard(
     nothing). Returns ``doc_id, size`` (UTF-8 bytes plus 1), ``text_crc32, link, shard, slot``. A null text counts
     as no bytes. Repeated rows are rows of their own, an empty text is a text like any other, an
     empty table gives no rows. A group above a shard's quota is split over as many as it needs.
-    ``report`` receives the wanted and the made moves of each round.
+    Rounds go on until nothing moves, or up to ``rounds`` of them. ``report`` receives the wanted and the made moves of each round.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))

@@ -157,3 +157,17 @@ def test_shards_of_copies_only_and_of_nothing(spark):
     counts = [sum(r.shard == s for r in out) for s in range(4)]
     assert max(counts) - min(counts) <= 1
     assert label_shards.shard(_docs(spark, rows).limit(0)).count() == 0
+
+
+def test_full_shards_exchange_documents(spark):
+    ring = {(0, 1): 2, (1, 2): 3, (2, 0): 2, (2, 1): 1}
+    assert label_shards.allowed_moves(ring, [0, 0, 0]) == {(0, 1): 2, (1, 2): 3, (2, 0): 2, (2, 1): 1}
+    for alone in (1, 5, 15):
+        rows = [(i, f"group {i % 240}", "s") for i in range(720)] + [(1000 + i, f"own {i}", "s") for i in range(alone)]
+        out = label_shards.shard(_docs(spark, rows)).collect()
+        by_shard, by_link = [0] * label_shards.SHARDS, {}
+        for r in out:
+            by_shard[r.shard] += 1
+            by_link.setdefault(r.link, set()).add(r.shard)
+        assert len(out) == len(rows) and max(by_shard) - min(by_shard) <= 1
+        assert sum(len(s) > 1 for s in by_link.values()) <= label_shards.SHARDS
