@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from stockloom.plans.topk import top_k
 
 SAMPLE_ROWS = 1600  # labelled texts the model is fitted on, shared equally by the languages
-SAMPLE_CHARS = 10_000  # longer texts are not chosen for the sample; all texts are scored whole
+SAMPLE_CHARS = 10_000  # longer texts are chosen where a language lacks shorter ones; all texts are scored whole
 LANDMARKS = 256
 LANGUAGES = 200  # the most frequent labels that get a classifier
 SYMBOLS = 128  # most common characters told apart; the others count as one
@@ -118,10 +118,12 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, landmarks: int = LA
     """Fits on a bounded sample of the rows ``text, lang``; None if no row has both.
 
     Every language gets the same number of different texts, those with the smallest digests,
-    so copies of one text count once and the sample does not depend on how rows are stored.
+    so copies of one text count once and the sample does not depend on how rows are stored. Texts over
+    ``SAMPLE_CHARS`` come after all shorter ones of their language; they are used whole, two at least and
+    no more than fit the characters that as many texts of ``SAMPLE_CHARS`` would have.
     """
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
-    digests = rows.where(F.char_length("text") <= SAMPLE_CHARS).select("lang", F.md5("text").alias("digest")).distinct()
+    digests = rows.select("lang", F.char_length("text").alias("chars"), F.md5("text").alias("digest")).distinct()
     names = (
         digests.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     )
@@ -129,9 +131,15 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, landmarks: int = LA
         return None
     quota = max(2, sample_rows // len(names))
     known = F.col("lang").isin([r.lang for r in names])
-    wanted = top_k(digests.where(known), ["lang"], [F.col("digest")], quota).select("lang", "digest")
+    wanted = top_k(digests.where(known), ["lang"], [F.col("chars") > SAMPLE_CHARS, F.col("digest")], quota).select("lang", "chars", "digest")
+    chosen, held = [], {}
+    for r in sorted(wanted.collect(), key=lambda r: (r.lang, r.chars > SAMPLE_CHARS, r.digest)):
+        texts, chars = held.get(r.lang, (0, 0))
+        if texts < 2 or chars + r.chars <= quota * SAMPLE_CHARS:
+            held[r.lang] = (texts + 1, chars + r.chars)
+            chosen.append((r.lang, r.digest))
     spark = labelled.sparkSession
-    keys = spark.createDataFrame(wanted.collect(), wanted.schema)
+    keys = spark.createDataFrame(chosen, "lang string, digest string")
     found = (
         rows.withColumn("digest", F.md5("text")).join(F.broadcast(keys), ["lang", "digest"])
         .groupBy("lang", "digest").agg(F.max("text").alias("text")).collect()

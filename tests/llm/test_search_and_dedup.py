@@ -239,3 +239,15 @@ def test_selection_does_not_follow_the_size_of_the_corpus(spark):
         got = {r.doc_id: r.spans for r in pii_boost.select(pii_boost.locate(cases), models[-1]).collect()}
         assert [i for i in got if got[i]] == [len(clean)]
     assert models[0] == models[1]
+
+
+def test_languages_of_long_texts_are_learnt(spark):
+    draw = random.Random(8)
+    long = lambda lang: " ".join(_prose(draw, lang) for _ in range(120))
+    rows = [(long("aa"), "aa") for _ in range(6)] + [(_prose(draw, "bb"), "bb") for _ in range(20)] + [(long("cc"), "cc") for _ in range(6)]
+    assert all((len(t) > string_kernel.SAMPLE_CHARS) == (lang != "bb") for t, lang in rows)
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    for part in (docs, docs.where("lang <> 'bb'")):
+        model = string_kernel.fit(part)
+        got = part.select("lang", string_kernel.predict(part, model).alias("p")).collect()
+        assert all(r.p.lang_pred == r.lang for r in got)
