@@ -17,6 +17,7 @@ from stockloom.llm import (
     pii_boost,
     prefix_counts,
     prefix_targets,
+    slot_negatives,
     string_kernel,
 )
 
@@ -172,3 +173,30 @@ def op4_pii_boost(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", *counts, F.sha2(pii_boost.listed(F.col("base")), 256).alias("base_sha256"),
         pii_boost.listed(F.col("spans")).alias("spans"),
     )
+
+
+_SCORE = "list_sum(list_transform(range(1, len({a}.c) + 1), lambda i: {a}.c[i] * {b}.c[i]))"
+
+
+@query("op13_slot_negatives", f"""
+    WITH usable AS (
+      SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS c
+      FROM embeddings
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (
+      SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, {_SCORE.format(a='a', b='r')}::BIGINT AS score
+      FROM usable a JOIN usable r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0),
+    positives AS (
+      SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {slot_negatives.POSITIVES})
+    SELECT p.anchor_id, p.positive_id, p.positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+           (row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id))::INT AS rank
+    FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT s.same
+     AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+    QUALIFY rank <= {slot_negatives.NEGATIVES}""")
+def op13_slot_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten hard negatives for each of the five positives of every vector whose id is divisible by 100."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return slot_negatives.mine(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label)
