@@ -19,6 +19,7 @@ from stockloom.llm import (
     prefix_targets,
     slot_negatives,
     string_kernel,
+    url_templates,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,3 +201,19 @@ def op13_slot_negatives(spark: SparkSession, folder: str) -> DataFrame:
     """Ten hard negatives for each of the five positives of every vector whose id is divisible by 100."""
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return slot_negatives.mine(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+
+
+@query("op11_url_templates")
+def op11_url_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict of every page's url. A page is labelled where its path ends in the number of a labelled document."""
+    labels = table(spark, folder, "labels").where("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        ((F.min("quality") == 1) & (F.max("toxic") == 0)).alias("good")
+    )
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    _, path = url_templates.host_and_path(F.col("url"))
+    number = F.regexp_extract(path, "([0-9]+)[^0-9/]*/?$", 1).try_cast("bigint")
+    labelled = pages.withColumn("number", number).join(labels, F.col("number") == F.col("doc_id"), "left")
+    return url_templates.judge(labelled, URL_RULES, good=F.col("good"))
