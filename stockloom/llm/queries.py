@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stockloom.llm import (
     bayes_dedup,
+    collocations,
     fertility,
     label_shards,
     length_buckets,
@@ -217,3 +218,9 @@ def op11_url_templates(spark: SparkSession, folder: str) -> DataFrame:
     number = F.regexp_extract(path, "([0-9]+)[^0-9/]*/?$", 1).try_cast("bigint")
     labelled = pages.withColumn("number", number).join(labels, F.col("number") == F.col("doc_id"), "left")
     return url_templates.judge(labelled, URL_RULES, good=F.col("good"))
+
+
+@query("op12_collocations", collocations.SQL)
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 2000 collocations of every language of all documents."""
+    return collocations.mine(table(spark, folder, "documents"))
