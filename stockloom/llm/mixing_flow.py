@@ -8,7 +8,6 @@ documents are chosen inside each pattern in seeded order.
 
 from __future__ import annotations
 
-import heapq
 from collections import defaultdict
 from collections.abc import Sequence
 
@@ -39,67 +38,8 @@ def water_fill(sizes: Sequence[int], weights: Sequence[float], total: float, lim
     return shares
 
 
-def _route(sizes: dict, members: dict, quotas: dict, costs: Sequence[int]) -> dict:
-    """Words per pattern by successive cheapest augmenting paths over one connected part."""
-    taken = dict.fromkeys(sizes, 0)
-    flow: dict = defaultdict(lambda: defaultdict(int))  # source -> pattern -> words
-    need = {s: q for s, q in quotas.items() if q > 0}
-
-    def step_cost(p):
-        """Cost and room of the next words of a pattern."""
-        done = taken[p] // sizes[p]
-        return (costs[done], (done + 1) * sizes[p] - taken[p]) if done < len(costs) else (None, 0)
-
-    while need:
-        # Cheapest path from a pattern with room to a source in need; it may shift words of a
-        # pattern from one source to another, at no cost, so labels only carry the first cost.
-        heap = [(step_cost(p)[0], i, p) for i, p in enumerate(sizes) if step_cost(p)[0] is not None]
-        heapq.heapify(heap)
-        came_p, came_s, found = {}, {}, None
-        while heap and found is None:
-            cost, tie, p = heapq.heappop(heap)
-            if p in came_s or p in came_p:
-                continue
-            queue = [p]
-            came_p[p] = None
-            while queue and found is None:
-                q = queue.pop()
-                for s in members[q]:
-                    if s in came_s:
-                        continue
-                    came_s[s] = q
-                    if need.get(s, 0) > 0:
-                        found = s
-                        break
-                    for r, words in flow[s].items():
-                        if words > 0 and r not in came_p:
-                            came_p[r] = s
-                            queue.append(r)
-        if found is None:
-            break
-        path, s = [], found
-        while s is not None:
-            q = came_s[s]
-            path.append((q, s))
-            s = came_p[q]
-        first = path[-1][0]
-        amount = min([need[found], step_cost(first)[1], *[flow[came_p[q]][q] for q, _ in path if came_p[q] is not None]])
-        for q, s in path:
-            flow[s][q] += amount
-            if came_p[q] is not None:
-                flow[came_p[q]][q] -= amount
-        taken[first] += amount
-        need[found] -= amount
-        if not need[found]:
-            del need[found]
-    return taken
-
-
-def min_cost_words(sizes: dict, members: dict, quotas: dict, costs: Sequence[int]) -> dict:
-    """Words to take of each pattern: quotas met as far as capacity goes, at the least repetition cost.
-
-    Patterns without a source in common are independent, so each connected part is solved alone.
-    """
+def connected(members: dict) -> dict:
+    """A part for every pattern: patterns that share sources, also through others, have the same one."""
     root: dict = {}
 
     def find(x):
@@ -111,18 +51,110 @@ def min_cost_words(sizes: dict, members: dict, quotas: dict, costs: Sequence[int
     for p, names in members.items():
         for s in names:
             root[find(("s", s))] = find(("p", p))
-    parts: dict = defaultdict(lambda: ({}, {}))
-    for p in sizes:
-        parts[find(("p", p))][0][p] = sizes[p]
-    for s, q in quotas.items():
-        parts[find(("s", s))][1][s] = q
-    words = {}
-    for own, wanted in parts.values():
-        if own:
-            words |= _route({p: n for p, n in own.items() if n > 0}, members, wanted, costs)
+    return {p: find(("p", p)) for p in members}
+
+
+def min_cost_words(sizes: dict, members: dict, quotas: dict, costs: Sequence[int]) -> dict:
+    """Words to take of each pattern: quotas met as far as capacity goes, at the least repetition cost.
+
+    Costs rise from pass to pass and lie on patterns alone, so the flow is grown pass by pass: all that
+    the first pass can carry, then what a further pass adds. A path never takes words back from a pattern, it only
+    shifts them between its sources. Each pass is a maximal flow, grown in phases of shortest paths.
+    """
+    patterns = [p for p in sizes if sizes[p] > 0 and members[p]]
+    number = {s: i for i, s in enumerate(sorted({s for p in patterns for s in members[p]}))}
+    holds = [[number[s] for s in members[p]] for p in patterns]
+    need = [0] * len(number)
+    for s, i in number.items():
+        need[i] = max(quotas.get(s, 0), 0)
+    flow: list[dict[int, int]] = [{} for _ in number]  # words of each source by pattern
+    taken = [0] * len(patterns)
+    for turn in range(1, len(sorted(costs)) + 1):
+        while _phase([turn * sizes[p] - taken[i] for i, p in enumerate(patterns)], holds, need, flow, taken):
+            pass
+    words = dict(zip(patterns, taken))
     return {p: words.get(p, 0) for p in sizes}
 
 
+def _phase(room: list[int], holds: list[list[int]], need: list[int], flow: list[dict[int, int]], taken: list[int]) -> bool:
+    """Fills all shortest paths from patterns with room to sources in need; False if there is none."""
+    level_p = [0 if n > 0 else -1 for n in room]
+    level_s = [-1] * len(need)
+    front, depth, met = [p for p, n in enumerate(room) if n > 0], 0, False
+    while front and not met:
+        reached = []
+        for p in front:
+            for s in holds[p]:
+                if level_s[s] < 0:
+                    level_s[s] = depth
+                    reached.append(s)
+                    met = met or need[s] > 0
+        front, depth = [], depth + 1
+        for s in reached if not met else ():
+            for p in flow[s]:
+                if level_p[p] < 0:
+                    level_p[p] = depth
+                    front.append(p)
+    if not met:
+        return False
+    ways = [iter(own) for own in holds]
+    backs: list = [None] * len(need)
+    for start in [p for p, n in enumerate(room) if n > 0]:
+        path: list[int] = [start]  # pattern, source, pattern, source, ...
+        while path and room[start] > 0:
+            last = path[-1]
+            if len(path) % 2:  # at a pattern
+                s = next((s for s in ways[last] if level_s[s] == level_p[last]), None)
+                if s is None:
+                    level_p[last] = -2
+                    path.pop()
+                else:
+                    path.append(s)
+                continue
+            if need[last] > 0:
+                amount = min([room[start], need[last], *[flow[path[i]][path[i + 1]] for i in range(1, len(path) - 1, 2)]])
+                for i in range(0, len(path), 2):
+                    p, s = path[i], path[i + 1]
+                    flow[s][p] = flow[s].get(p, 0) + amount
+                    if i:
+                        before = flow[path[i - 1]]
+                        before[p] -= amount
+                        if not before[p]:
+                            del before[p]
+                need[last] -= amount
+                room[start] -= amount
+                taken[start] += amount
+                # Start anew: what this path used up is no way any more.
+                path = [start]
+                ways[start] = iter(holds[start])
+                continue
+            if backs[last] is None:
+                backs[last] = iter(list(flow[last]))
+            p = next((p for p in backs[last] if level_p[p] == level_s[last] + 1 and flow[last].get(p, 0) > 0), None)
+            if p is None:
+                level_s[last] = -2
+                path.pop()
+            else:
+                path.append(p)
+    return True
+
+
+def rounded(rests: dict, parts: dict) -> dict:
+    """Whether each pattern takes its boundary document, so that every connected part comes near its sum.
+
+    ``rests`` has, per pattern, the words missing before and those over after that document. The
+    error made so far in a part is carried on; of equal ones the document is taken.
+    """
+    error: dict = defaultdict(int)
+    takes = {}
+    for p in sorted(rests):
+        short, over = rests[p]
+        now = error[parts[p]]
+        takes[p] = abs(now + over) <= abs(now - short)
+        error[parts[p]] += over if takes[p] else -short
+    return takes
+
+
 def mix(
     docs: DataFrame,
     sources: Column | None = None,
@@ -141,8 +173,8 @@ def mix(
 
     Returns ``doc_id, sources, size, target_sizes, targets`` (arrays parallel to ``sources``) and ``taken``, a
     multiple of ``size`` up to the number of passes. Inside a pattern every document gets the
-    full passes of the pattern's words; the rest goes to documents in seeded order, the last
-    one if at least half of it fits. Null and empty texts have size 0 and take 0, a document
+    full passes of the pattern's words; the rest goes to documents in seeded order, the last one if
+    that brings the patterns that share sources nearer to their sum (for one alone: if at least half of it fits). Null and empty texts have size 0 and take 0, a document
     without sources takes 0, an empty table gives no rows; repeated rows are rows of their own.
     """
     spark = docs.sparkSession
@@ -171,9 +203,9 @@ def mix(
     whole = sum(r.n for r in rows if r.names)
     shares = water_fill([of_source[s] for s in order], weight, share * whole, len(costs)) if order else []
     target = dict(zip(order, shares))
+    members = {r["__pattern"]: r.names for r in rows if r.names}
     words = min_cost_words(
-        {r["__pattern"]: r.n for r in rows if r.names}, {r["__pattern"]: r.names for r in rows if r.names},
-        {s: round(t) for s, t in target.items()}, costs,
+        {r["__pattern"]: r.n for r in rows if r.names}, members, {s: round(t) for s, t in target.items()}, costs
     )
     plan = [
         (r["__pattern"], words.get(r["__pattern"], 0) // max(r.n, 1), words.get(r["__pattern"], 0) % max(r.n, 1),
@@ -184,10 +216,17 @@ def mix(
         plan, "__p string, __passes bigint, __rest bigint, target_sizes array<bigint>, targets array<double>"
     )
     ordered = running_before(sized, ["__pattern"], "__key", ["doc_id", "size"], "__before", F.col("size"))
-    fits = 2 * F.col("__before") + F.col("size") <= 2 * F.col("__rest")
-    return ordered.join(planned, F.col("__pattern").eqNullSafe(F.col("__p"))).select(
+    placed = written(ordered.join(planned, F.col("__pattern").eqNullSafe(F.col("__p"))), scratch_dir(spark, "mix-order"))
+    after = F.col("__before") + F.col("size")
+    boundary = (F.col("__before") < F.col("__rest")) & (after > F.col("__rest"))
+    # At most one document of a pattern lies across the end of its words.
+    edges = placed.where(boundary).select("__pattern", (F.col("__rest") - F.col("__before")).alias("short"), (after - F.col("__rest")).alias("over"))
+    takes = rounded({r["__pattern"]: (r.short, r.over) for r in edges.collect()}, connected(members))
+    last = spark.createDataFrame([(p,) for p, up in takes.items() if up], "__last string")
+    chosen = placed.join(last, F.col("__pattern") == F.col("__last"), "left")
+    extra = (F.col("__rest") > 0) & ((after <= F.col("__rest")) | (boundary & F.col("__last").isNotNull()))
+    return chosen.select(
         "doc_id",
         F.transform("__names", lambda s: F.when(s != "~", F.substr(s, F.lit(2), F.char_length(s)))).alias("sources"),
-        "size", "target_sizes", "targets",
-        (F.col("size") * (F.col("__passes") + F.when(fits & (F.col("__rest") > 0), 1).otherwise(0))).alias("taken"),
+        "size", "target_sizes", "targets", (F.col("size") * (F.col("__passes") + extra.cast("int"))).alias("taken"),
     )

@@ -171,3 +171,23 @@ def test_full_shards_exchange_documents(spark):
             by_link.setdefault(r.link, set()).add(r.shard)
         assert len(out) == len(rows) and max(by_shard) - min(by_shard) <= 1
         assert sum(len(s) > 1 for s in by_link.values()) <= label_shards.SHARDS
+
+
+def test_flow_of_many_patterns_ends():
+    draw = random.Random(12)
+    sources = [f"s{i}" for i in range(60)]
+    for n in (4000, 8000):
+        members = {p: tuple(draw.sample(sources, draw.randint(1, 4))) for p in range(n)}
+        sizes = {p: draw.randint(1, 1000) for p in range(n)}
+        held = {s: sum(sizes[p] for p in members if s in members[p]) for s in sources}
+        quotas = {s: int(held[s] * draw.choice([0.1, 0.5, 1.2])) for s in sources}
+        words = mixing_flow.min_cost_words(sizes, members, quotas, (0, 1))
+        assert all(0 <= words[p] <= 2 * sizes[p] for p in sizes)
+        assert sum(words.values()) <= sum(quotas.values())
+        if sum(words.values()) < sum(quotas.values()):
+            assert sum(w == 2 * sizes[p] for p, w in words.items()) > 0
+
+
+def test_boundary_documents_carry_their_error():
+    assert mixing_flow.rounded({"a": (1, 1), "b": (1, 1), "c": (5, 1)}, {"a": 0, "b": 0, "c": 1}) == {"a": True, "b": False, "c": True}
+    assert mixing_flow.rounded({"a": (1, 3)}, {"a": 0}) == {"a": False}
