@@ -1,10 +1,10 @@
 """Phrase collocations: frequent phrases counted by broadcast double-array tries.
 
-Candidates are grown level by level. A phrase of ``k`` words is counted into hashed buckets where both phrases
-of ``k - 1`` words in it lie in full buckets; a bucket's sum is never below the count of a phrase in it, so no
-frequent phrase is lost. The phrases that pass all levels go into double-array tries of a
-bounded number of phrases. Tasks then advance the trie states of all text positions at once, word by word,
-and count the accepting states met; the sums over all tasks are the exact counts.
+Phrases are first counted into hashed buckets, those of three words and more only where their pairs lie in full
+buckets; a bucket's sum is never below the count of a phrase in it, so no frequent phrase is lost. The phrases of full
+buckets, whose parts are in full buckets too, are the candidates. They go into double-array tries of a bounded number
+of phrases. Tasks then advance the trie states of all text positions at once, word by word, and count the accepting
+states met; the sums over all tasks are the exact counts.
 """
 
 from __future__ import annotations
@@ -29,11 +29,13 @@ from stockloom.session import scratch_dir, written
 PIECE_ENDS, WORD_ENDS = ".,;:!?\n\x0b\x0c\r", " \t"
 UNKNOWN = "und"
 MOST_WORDS, LEAST, TOP = 5, 100, 2_000
-BLOCK = 2_097_152  # bytes of text held as words at once in a task
+BLOCK = 4_194_304  # bytes of text held as words at once in a task
 SHARD = 500_000  # phrases of one trie: what is broadcast at once does not grow with the corpus
 LEAST_BITS, MOST_BITS = 16, 30  # of the number of buckets; 2**30 buckets are 128 MB of bits
+LONG_WORD = 128  # bytes; words beyond it are hashed one by one
 PAGE = 65_536  # buckets packed into bits by one group
 SEEN = 2_000_000  # phrases a task remembers to have reported
+SHARE = 16  # of so many occurrences one reports its phrase, at first
 
 
 @dataclass
@@ -46,8 +48,20 @@ class Block:
     lang: np.ndarray  # of each word, into the languages of the batch
 
     def keys(self) -> np.ndarray:
-        """64-bit key of each word."""
-        own = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.words.cast(pa.large_binary()).to_pylist()), np.uint64, len(self.words))
+        """64-bit key of each word, taken from its bytes, eight at a time."""
+        bounds = np.frombuffer(self.words.buffers()[1], np.int64)[: len(self.words) + 1]
+        data = np.r_[np.frombuffer(self.words.buffers()[2], np.uint8)[: bounds[-1]], np.zeros(8, np.uint8)]
+        size = np.diff(bounds)
+        own, rest = _mix(size.astype(np.uint64) + np.uint64(1)), np.flatnonzero(size <= LONG_WORD)
+        for done in range(0, int(size[rest].max(initial=0)), 8):
+            rest = rest[size[rest] > done]
+            part = np.zeros(len(rest), np.uint64)
+            for i in range(8):
+                byte = np.where(size[rest] > done + i, data[bounds[rest] + done + i], 0)
+                part |= byte.astype(np.uint64) << np.uint64(8 * i)
+            own[rest] = _mix((own[rest] ^ part) * np.uint64(0x9FB21C651E98DF25))
+        for i in np.flatnonzero(size > LONG_WORD):
+            own[i] = xxhash.xxh64_intdigest(data[bounds[i] : bounds[i + 1]].tobytes())
         return own[self.ids]
 
 
@@ -83,19 +97,21 @@ def blocks(texts: pa.Array, langs: np.ndarray, size: int = BLOCK) -> Iterator[Bl
         end = _cut(data, starts, at, size)
         kind = _CLASS[data[at:end]]
         inside = kind == 0
-        first = inside.copy()
-        first[1:] &= ~inside[:-1]
         here = starts[(starts >= at) & (starts < end)] - at
+        first, last = inside.copy(), inside.copy()
+        first[1:] &= ~inside[:-1]
         first[here] = inside[here]
+        last[:-1] &= ~inside[1:]
+        last[here[here > 0] - 1] = inside[here[here > 0] - 1]
         place = np.flatnonzero(first)
         if len(place):
-            upto = np.cumsum(inside)
-            offsets = np.r_[upto[place] - 1, upto[-1]].astype(np.int64)
+            offsets = np.r_[0, np.cumsum(np.flatnonzero(last) + 1 - place)].astype(np.int64)
             own = pa.Array.from_buffers(
                 pa.large_string(), len(place), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[at:end][inside].tobytes())]
             ).dictionary_encode()
             text = np.searchsorted(starts, place + at, "right") - 1  # of texts that start at one place, the last is not empty
-            yield Block(own.indices.to_numpy(), own.dictionary, np.cumsum(kind == 2)[place] + text, langs[text])
+            piece = np.searchsorted(np.flatnonzero(kind == 2), place) + text
+            yield Block(own.indices.to_numpy(), own.dictionary, piece, langs[text])
         at = end
 
 
@@ -106,17 +122,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+STEP = 0x9E3779B97F4A7C15  # between a phrase's key and that with one more word
+
+
 def _full(sieve: np.ndarray, key: np.ndarray, bits: int) -> np.ndarray:
     bucket = key >> np.uint64(64 - bits)
     return (sieve[(bucket >> np.uint64(3)).astype(np.int64)] >> (bucket & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
 def grams(block: Block, seeds: np.ndarray, sieves: list[np.ndarray], bits: int, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Length, positions and keys of the phrases whose parts lie in full buckets, up to one word more than there are sieves."""
+    """Length, positions and keys of the phrases of up to ``most`` words whose parts lie in full buckets, where there is a sieve."""
     word = block.keys()
     key, alive = _mix(word ^ seeds[block.lang]), np.ones(len(word), bool)
     at = np.arange(len(word))
-    for k in range(1, min(len(sieves) + 1, most) + 1):
+    for k in range(1, most + 1):
         if k > 1:
             both = np.zeros(len(word), bool)
             n = len(word) - k + 1
@@ -124,11 +143,10 @@ def grams(block: Block, seeds: np.ndarray, sieves: list[np.ndarray], bits: int,
                 both[:n] = alive[:n] & alive[1 : n + 1] & (block.piece[:n] == block.piece[k - 1 :])
             at = np.flatnonzero(both)
             key = key.copy()
-            key[at] = _mix(key[at] * np.uint64(0x9E3779B97F4A7C15) + word[at + k - 1])
+            key[at] = _mix(key[at] * np.uint64(STEP) + word[at + k - 1])
         yield k, at, key[at]
-        if k <= len(sieves):
-            alive = np.zeros(len(word), bool)
-            alive[at] = _full(sieves[k - 1], key[at], bits)
+        alive = np.zeros(len(word), bool)
+        alive[at] = _full(sieves[k - 1], key[at], bits) if k <= len(sieves) else True
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str], np.ndarray]]:
@@ -199,6 +217,20 @@ def build_trie(langs: list[str], phrases: list[str]) -> dict:
             "accept": np.array(accept, np.int64)}
 
 
+def buckets_of(langs: list[str], phrases: list[str], bits: int) -> list[int]:
+    """The bucket of each phrase, among those of its length."""
+    own = [p.split(" ") for p in phrases]
+    words = pa.array([w for p in own for w in p], pa.large_string()).dictionary_encode()
+    word = Block(words.indices.to_numpy(), words.dictionary, None, None).keys()
+    size = np.array([len(p) for p in own])
+    start = np.cumsum(size) - size
+    key = _mix(word[start] ^ _seeds(langs))
+    for k in range(1, int(size.max(initial=0))):
+        use = size > k
+        key[use] = _mix(key[use] * np.uint64(STEP) + word[start[use] + k])
+    return (key >> np.uint64(64 - bits)).astype(np.int64).tolist()
+
+
 def count_trie(block: Block, names: list[str], trie: dict, words: pa.Array, counts: np.ndarray, most: int = MOST_WORDS) -> None:
     """Adds the phrases of a block to the counts of their accepting nodes: all positions advance together."""
     found = pc.fill_null(pc.index_in(block.words, value_set=words), -1).to_numpy(zero_copy_only=False)
@@ -217,67 +249,61 @@ def count_trie(block: Block, names: list[str], trie: dict, words: pa.Array, coun
         at, state = at[stay], state[stay]
 
 
-def _sieve(sums: DataFrame, least: int, bits: int) -> np.ndarray:
-    """One bit per bucket, set where its sum reaches ``least``; packed in tasks, 2**bits / 8 bytes in all."""
+def _sieve(buckets: DataFrame, bits: int) -> np.ndarray:
+    """One bit per bucket, set for those given; packed in tasks, 2**bits / 8 bytes in all."""
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         page = np.zeros(PAGE, np.uint8)
         page[group["bucket"].to_numpy() % PAGE] = 1
         return pd.DataFrame({"page": [int(group["bucket"].iloc[0]) // PAGE], "bits": [np.packbits(page, bitorder="little").tobytes()]})
 
-    full = sums.where(F.col("n") >= least).withColumn("page", F.call_function("div", F.col("bucket"), F.lit(PAGE)))
+    full = buckets.withColumn("page", F.call_function("div", F.col("bucket"), F.lit(PAGE)))
     out = np.zeros(max(2**bits, PAGE) // 8, np.uint8)
     for r in full.groupBy("page").applyInPandas(pack, "page bigint, bits binary").collect():
         out[r.page * (PAGE // 8) : (r.page + 1) * (PAGE // 8)] = np.frombuffer(r.bits, np.uint8)
     return out
 
 
-def phrase_counts(docs: DataFrame, least: int = LEAST, most: int = MOST_WORDS, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
-    """Exact counts of phrases, and the number of all words of each language.
+def _buckets(docs: DataFrame, lengths: list[int], sieves: list[np.ndarray], bits: int, least: int) -> DataFrame:
+    """``lang, k, bucket, n``: full buckets of phrases of the given lengths; words of each language with ``k`` 0."""
+    known = docs.sparkSession.sparkContext.broadcast(list(sieves))
 
-    ``lang, phrase, k, f`` holds every phrase of 2 to ``most`` words that occurs ``least`` times and every word in one
-    of them. ``docs`` has ``text, lang``, neither null.
-    """
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = ["lang", "k", "bucket", "n"]
+        for texts, names, langs in _batches(batches):
+            seeds, words = _seeds(names), np.zeros(len(names), np.int64)
+            for block in blocks(texts, langs):
+                words += np.bincount(block.lang, minlength=len(names))
+                for k, _, key in grams(block, seeds, known.value, bits, lengths[-1]):
+                    if k in lengths:
+                        bucket, n = np.unique(key >> np.uint64(64 - bits), return_counts=True)
+                        own = [pa.nulls(len(n), pa.string()), np.full(len(n), k, np.int32), bucket.astype(np.int64), n.astype(np.int64)]
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in own], columns)
+            own = [pa.array(names, pa.string()), np.zeros(len(names), np.int32), pa.nulls(len(names), pa.int64()), words]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in own], columns)
+
+    found = docs.mapInArrow(fill, "lang string, k int, bucket bigint, n bigint").groupBy("lang", "k", "bucket").agg(F.sum("n").alias("n"))
+    return written(found.where((F.col("n") >= least) | (F.col("k") == 0)), scratch_dir(docs.sparkSession, "buckets"))
+
+
+def _reported(docs: DataFrame, sieves: list[np.ndarray], wanted: list[np.ndarray], bits: int, share: int) -> DataFrame:
+    """``lang, phrase`` of phrases in wanted buckets: of those found ``f`` times, all but ``(1 - 1 / share) ** f``."""
     spark = docs.sparkSession
-    volume = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    bits = min(max(math.ceil(math.log2(max(volume, 1) / 24 + 1)), LEAST_BITS), MOST_BITS)
-    sieves: list[np.ndarray] = []
-    totals = None
-    for k in range(1, most + 1):
-        known = spark.sparkContext.broadcast(list(sieves))
+    known = spark.sparkContext.broadcast((sieves, wanted))
 
-        def buckets(batches: Iterator[pa.RecordBatch], k: int = k, known=known) -> Iterator[pa.RecordBatch]:
-            for texts, names, langs in _batches(batches):
-                seeds, words = _seeds(names), np.zeros(len(names), np.int64)
-                for block in blocks(texts, langs):
-                    words += np.bincount(block.lang, minlength=len(names))
-                    for length, _, key in grams(block, seeds, known.value, bits, k):
-                        if length == k:
-                            bucket, n = np.unique(key >> np.uint64(64 - bits), return_counts=True)
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.nulls(len(bucket), pa.string()), pa.array(bucket.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "bucket", "n"]
-                            )
-                if k == 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.nulls(len(names), pa.int64()), pa.array(words)], ["lang", "bucket", "n"])
-
-        found = docs.mapInArrow(buckets, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-        if k == 1:
-            found = written(found, scratch_dir(spark, "words"))
-            totals = found.where("bucket IS NULL").select("lang", "n")
-        sieves.append(_sieve(found.where("bucket IS NOT NULL"), least, bits))
-    known = spark.sparkContext.broadcast(sieves)
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full, asked = known.value
         seen: set = set()
         for texts, names, langs in _batches(batches):
             seeds = _seeds(names)
             for block in blocks(texts, langs):
                 words, rows = None, []
-                for k, at, key in grams(block, seeds, known.value, bits, most):
+                for k, at, key in grams(block, seeds, full, bits, len(asked)):
                     if k > 1:
-                        full = _full(known.value[k - 1], key, bits)
-                        keys, first = np.unique(key[full], return_index=True)
-                        for own, i in zip(keys.tolist(), at[full][first].tolist()):
+                        use = np.flatnonzero((key + at.astype(np.uint64)) % np.uint64(share) == 0)
+                        use = use[_full(asked[k - 1], key[use], bits)]
+                        keys, first = np.unique(key[use], return_index=True)
+                        for own, i in zip(keys.tolist(), at[use][first].tolist()):
                             if own not in seen:
                                 seen.add(own)
                                 words = block.words.to_pylist() if words is None else words
@@ -287,27 +313,35 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, most: int = MOST_WORDS, s
                 if len(seen) > SEEN:
                     seen.clear()
 
-    phrases = written(docs.mapInArrow(candidates, "lang string, phrase string").distinct(), scratch_dir(spark, "phrases"))
-    singles = phrases.select("lang", F.explode(F.split("phrase", " ")).alias("phrase")).distinct()
-    both = phrases.unionByName(singles)
-    shards = max(1, -(-both.count() // shard))
-    dealt = both.withColumn("shard", F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)).cast("int"))
-    dealt = written(dealt, scratch_dir(spark, "dealt"))
+    return docs.mapInArrow(report, "lang string, phrase string").distinct()
+
+
+def _counted(docs: DataFrame, phrases: DataFrame, bits: int, most: int, shard: int) -> DataFrame:
+    """``lang, phrase, k, bucket, f``: exact counts of given phrases, by one trie after the other."""
+    spark = docs.sparkSession
+    given = written(phrases, scratch_dir(spark, "phrases"))
+    shards = max(1, -(-given.count() // shard))
+    dealt = given.withColumn("shard", F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)).cast("int"))
 
     def trie_of(group: pd.DataFrame) -> pd.DataFrame:
-        trie = build_trie(group["lang"].tolist(), group["phrase"].tolist())
+        langs, own = group["lang"].tolist(), group["phrase"].tolist()
+        trie = build_trie(langs, own)
         raw = {c: [trie[c].tobytes()] for c in ("base", "owner", "child", "accept")}
         return pd.DataFrame({"shard": [group["shard"].iloc[0]], "words": [trie["words"]], "langs": [trie["langs"]], "roots": [trie["roots"]], **raw,
-                             "rows_lang": [group["lang"].tolist()], "rows_phrase": [group["phrase"].tolist()]})
+                             "rows_lang": [langs], "rows_phrase": [own], "rows_bucket": [buckets_of(langs, own, bits)]})
 
-    schema = "shard int, words array<string>, langs array<string>, roots array<int>, base binary, owner binary, child binary, accept binary, rows_lang array<string>, rows_phrase array<string>"
+    schema = (
+        "shard int, words array<string>, langs array<string>, roots array<int>, base binary, owner binary, child binary, accept binary, "
+        "rows_lang array<string>, rows_phrase array<string>, rows_bucket array<bigint>"
+    )
     tries = written(dealt.groupBy("shard").applyInPandas(trie_of, schema), scratch_dir(spark, "tries"))
-    named = tries.select("shard", F.posexplode(F.arrays_zip("rows_lang", "rows_phrase")).alias("at", "row")).select(
-        "shard", "at", F.col("row.rows_lang").alias("lang"), F.col("row.rows_phrase").alias("phrase")
+    rows = F.posexplode(F.arrays_zip("rows_lang", "rows_phrase", "rows_bucket")).alias("at", "row")
+    named = tries.select("shard", rows).select(
+        "shard", "at", F.col("row.rows_lang").alias("lang"), F.col("row.rows_phrase").alias("phrase"), F.col("row.rows_bucket").alias("bucket")
     )
-    sums = []
+    counts = None
     for i in range(shards):
-        found = tries.where(F.col("shard") == i).drop("rows_lang", "rows_phrase").first()
+        found = tries.where(F.col("shard") == i).drop("rows_lang", "rows_phrase", "rows_bucket").first()
         if found is None:
             continue
         trie = {c: np.frombuffer(found[c], np.int64 if c == "accept" else np.int32) for c in ("base", "owner", "child", "accept")}
@@ -315,23 +349,60 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, most: int = MOST_WORDS, s
 
         def count(batches: Iterator[pa.RecordBatch], i: int = i, shared=shared) -> Iterator[pa.RecordBatch]:
             own = shared.value
-            words, counts = pa.array(own["words"], pa.large_string()), np.zeros(len(own["accept"]), np.int64)
+            words, sums = pa.array(own["words"], pa.large_string()), np.zeros(len(own["accept"]), np.int64)
             for texts, names, langs in _batches(batches):
                 for block in blocks(texts, langs):
-                    count_trie(block, names, own, words, counts, most)
-            met = np.flatnonzero((counts > 0) & (own["accept"] >= 0))
+                    count_trie(block, names, own, words, sums, most)
+            met = np.flatnonzero((sums > 0) & (own["accept"] >= 0))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(met), i, np.int32)), pa.array(own["accept"][met].astype(np.int32)), pa.array(counts[met])], ["shard", "at", "f"]
+                [pa.array(np.full(len(met), i, np.int32)), pa.array(own["accept"][met].astype(np.int32)), pa.array(sums[met])], ["shard", "at", "f"]
             )
 
         part = docs.mapInArrow(count, "shard int, at int, f bigint").groupBy("shard", "at").agg(F.sum("f").alias("f"))
-        sums.append(written(part, scratch_dir(spark, "counts")))
-    counts = sums[0] if sums else spark.createDataFrame([], "shard int, at int, f bigint")
-    for part in sums[1:]:
-        counts = counts.unionByName(part)
+        part = written(part, scratch_dir(spark, "counts"))
+        counts = part if counts is None else counts.unionByName(part)
+    if counts is None:
+        return spark.createDataFrame([], "lang string, phrase string, k int, bucket bigint, f bigint")
     length = F.size(F.split("phrase", " "))
-    counted = named.join(counts, ["shard", "at"]).select("lang", "phrase", length.alias("k"), "f").where((F.col("k") == 1) | (F.col("f") >= least))
-    return written(counted, scratch_dir(spark, "counted")), totals
+    return written(named.join(counts, ["shard", "at"]).select("lang", "phrase", length.alias("k"), "bucket", "f"), scratch_dir(spark, "counted"))
+
+
+def phrase_counts(
+    docs: DataFrame, least: int = LEAST, most: int = MOST_WORDS, shard: int = SHARD, share: int = SHARE
+) -> tuple[DataFrame, DataFrame]:
+    """Exact counts of phrases, and the number of all words of each language.
+
+    ``lang, phrase, k, f`` holds every phrase of 2 to ``most`` words that occurs ``least`` times and every word in one
+    of them. ``docs`` has ``text, lang``, neither null.
+
+    Only about one of ``share`` occurrences reports its phrase. The counts of what was reported are then held against the sums
+    of the buckets: where the rest of a bucket could hide a frequent phrase, all its phrases are reported and counted.
+    """
+    spark = docs.sparkSession
+    volume = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = min(max(math.ceil(math.log2(max(volume, 1) / 24 + 1)), LEAST_BITS), MOST_BITS)
+    short = _buckets(docs, [k for k in (1, 2) if k <= most], [], bits, least)
+    sieves = [_sieve(short.where(F.col("k") == k), bits) for k in (1, 2)]
+    full, totals = short.where("k = 2").select("k", "bucket", "n"), short.where("k = 0").select("lang", "n")
+    if most > 2:
+        long = _buckets(docs, list(range(3, most + 1)), sieves, bits, least)
+        sieves += [_sieve(long.where(F.col("k") == k), bits) for k in range(3, most + 1)]
+        full = full.unionByName(long.where("k > 0").select("k", "bucket", "n"))
+
+    def with_words(phrases: DataFrame) -> DataFrame:
+        phrases = written(phrases, scratch_dir(spark, "reported"))
+        words = phrases.where(F.size(F.split("phrase", " ")) == 2).select("lang", F.explode(F.split("phrase", " ")).alias("phrase"))
+        return phrases.unionByName(words.distinct())
+
+    known = _counted(docs, with_words(_reported(docs, sieves, sieves, bits, share)), bits, most, shard)
+    sums = known.groupBy("k", "bucket").agg(F.sum("f").alias("f"))
+    rest = full.join(sums, ["k", "bucket"], "left").where(F.col("n") - F.coalesce("f", F.lit(0)) >= least).select("k", "bucket")
+    rest = written(rest, scratch_dir(spark, "rest"))
+    if not rest.isEmpty():
+        wanted = [sieves[0] * 0] + [_sieve(rest.where(F.col("k") == k), bits) for k in range(2, most + 1)]
+        more = with_words(_reported(docs, sieves, wanted, bits, 1)).join(known, ["lang", "phrase"], "left_anti")
+        known = known.unionByName(_counted(docs, more, bits, most, shard))
+    return known.where((F.col("k") == 1) | (F.col("f") >= least)).select("lang", "phrase", "k", "f"), totals
 
 
 def _part(first: Column, length: Column) -> Column:
