@@ -35,6 +35,7 @@ LEAST_BITS, MOST_BITS = 16, 30  # of the number of buckets; 2**30 buckets are 12
 LONG_WORD = 128  # bytes; words beyond it are hashed one by one
 PAGE = 65_536  # buckets packed into bits by one group
 SEEN = 2_000_000  # phrases a task remembers to have reported
+SUMS = 2_048  # phrases whose counts are summed over all tasks in one group
 SHARE = 16  # of so many occurrences one reports its phrase, at first
 
 
@@ -316,6 +317,13 @@ def _reported(docs: DataFrame, sieves: list[np.ndarray], wanted: list[np.ndarray
     return docs.mapInArrow(report, "lang string, phrase string").distinct()
 
 
+def _summed(group: pd.DataFrame) -> pd.DataFrame:
+    """The counts of a page of phrases over all tasks."""
+    total = np.sum([np.frombuffer(c, np.int64) for c in group["counts"]], axis=0)
+    at = np.flatnonzero(total)
+    return pd.DataFrame({"shard": int(group["shard"].iloc[0]), "at": at + int(group["page"].iloc[0]) * SUMS, "f": total[at]})
+
+
 def _counted(docs: DataFrame, phrases: DataFrame, bits: int, most: int, shard: int) -> DataFrame:
     """``lang, phrase, k, bucket, f``: exact counts of given phrases, by one trie after the other."""
     spark = docs.sparkSession
@@ -353,12 +361,17 @@ def _counted(docs: DataFrame, phrases: DataFrame, bits: int, most: int, shard: i
             for texts, names, langs in _batches(batches):
                 for block in blocks(texts, langs):
                     count_trie(block, names, own, words, sums, most)
-            met = np.flatnonzero((sums > 0) & (own["accept"] >= 0))
+            met = own["accept"] >= 0
+            vector = np.zeros(int(met.sum()), np.int64)
+            vector[own["accept"][met]] = sums[met]
+            pages = [vector[j : j + SUMS] for j in range(0, len(vector), SUMS)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(met), i, np.int32)), pa.array(own["accept"][met].astype(np.int32)), pa.array(sums[met])], ["shard", "at", "f"]
+                [pa.array([i] * len(pages), pa.int32()), pa.array(range(len(pages)), pa.int32()), pa.array([x.tobytes() for x in pages], pa.binary())],
+                ["shard", "page", "counts"],
             )
 
-        part = docs.mapInArrow(count, "shard int, at int, f bigint").groupBy("shard", "at").agg(F.sum("f").alias("f"))
+        vectors = docs.mapInArrow(count, "shard int, page int, counts binary")
+        part = vectors.groupBy("shard", "page").applyInPandas(_summed, "shard int, at int, f bigint")
         part = written(part, scratch_dir(spark, "counts"))
         counts = part if counts is None else counts.unionByName(part)
     if counts is None:
