@@ -623,8 +623,7 @@ def _stock_rejects(r: Roles) -> DataFrame:
 
 
 @query("place_orders", """
-    SELECT p.order_id, outcome, CASE WHEN outcome = 'accepted' THEN h.store_id END AS fulfillment_store_id
-    FROM x_placed p JOIN x_routed h ON h.order_id = p.order_id""")
+    SELECT order_id, outcome, store_id AS fulfillment_store_id FROM x_placed""")
 def _place_orders(r: Roles) -> DataFrame:
     placed = placement.place_orders(
         r.request_headers(), r.request_items(), r.inventory(), r.products(), r.stores(), F.expr(_AS_OF)
@@ -650,7 +649,7 @@ def _place_orders_lines(r: Roles) -> DataFrame:
            CAST(available_qty - coalesce(t.q, 0) AS INTEGER) AS available_qty, in_transit_qty,
            CASE WHEN t.q IS NULL THEN {_ts('last_updated')} ELSE '2026-01-31 22:15:00.000000' END AS last_updated
     FROM r_inventory v LEFT JOIN (
-        SELECT h.store_id, i.sku_id, sum(i.quantity) AS q FROM x_placed p JOIN x_routed h USING (order_id)
+        SELECT p.store_id, i.sku_id, sum(i.quantity) AS q FROM x_placed p
         JOIN r_req_items i USING (order_id) WHERE outcome = 'accepted' GROUP BY 1, 2) t ON t.store_id = v.store_id AND t.sku_id = v.sku_id""")
 def _place_orders_inventory(r: Roles) -> DataFrame:
     placed = placement.place_orders(
@@ -660,9 +659,11 @@ def _place_orders_inventory(r: Roles) -> DataFrame:
 
 
 @query("place_orders_stream", """
-    SELECT p.order_id, e.store_id AS fulfillment_store_id, e.days AS estimated_delivery_days,
-           CAST(DATE '2026-01-31' + e.days AS VARCHAR) AS estimated_delivery_date
-    FROM x_placed p JOIN x_eta e USING (order_id) WHERE outcome = 'accepted'""")
+    SELECT order_id, store_id AS fulfillment_store_id, days AS estimated_delivery_days,
+           CAST(DATE '2026-01-31' + days AS VARCHAR) AS estimated_delivery_date
+    FROM (SELECT p.order_id, p.store_id, CASE WHEN h.destination_store_id = p.store_id OR shipping_method IN ('store_pickup', 'overnight') THEN 1
+                      WHEN shipping_method = 'expedited' THEN 2 ELSE 3 END AS days
+          FROM x_placed p JOIN r_req_headers h USING (order_id) WHERE outcome = 'accepted')""")
 def _place_orders_stream(r: Roles) -> DataFrame:
     """All requests arrive in one micro-batch, as several files."""
     state, inbox = scratch_dir(r.spark, "intake"), scratch_dir(r.spark, "inbox")

@@ -229,39 +229,74 @@ ROLES = {
           ON a.order_id = h.order_id""",
 }
 
-# Placing orders one after the other. Orders that fail on their own are left out; the rest
-# are numbered by arrival, and each line knows the earlier lines that want the same stock.
-ROLES["x_reasons"] = """
-    SELECT h.order_id, CASE WHEN h.destination_store_id IS NULL AND h.ship_to_city IS NULL THEN 'no_destination'
-               WHEN h.destination_store_id IS NOT NULL AND s.store_id IS NULL THEN 'unknown_store'
-               WHEN h.order_id IN (SELECT order_id FROM r_req_items GROUP BY order_id, sku_id HAVING count(*) > 1) THEN 'duplicate_sku'
-               WHEN h.store_id IS NULL THEN 'cannot_fulfil' WHEN NOT c.enough THEN 'insufficient' END AS reason
-    FROM x_routed h LEFT JOIN r_stores s ON s.store_id = h.destination_store_id
-    JOIN (SELECT i.order_id, bool_and(coalesce(v.available_qty >= i.quantity, false)) AS enough
-          FROM r_req_items i JOIN x_routed t USING (order_id)
-          LEFT JOIN r_inventory v ON v.store_id = t.store_id AND v.sku_id = i.sku_id GROUP BY 1) c ON c.order_id = h.order_id"""
+# Placing orders one after the other. An order that no store could fill from the opening stock never takes anything and
+# has no turn; each other one knows its stores and, line by line, the earlier turns that may have taken from them. The state
+# is the list of stores that the turns so far went to, -1 where the stock fell short and -2 where no store held the first item.
+ROLES["x_first"] = """
+    SELECT order_id, arg_min(sku_id, (line_no, sku_id, quantity)) AS sku_id, arg_min(quantity, (line_no, sku_id, quantity)) AS want
+    FROM r_req_items GROUP BY order_id"""
+ROLES["x_valid"] = """
+    SELECT h.order_id, h.seq, h.fulfillment_store_id AS named, f.sku_id, f.want,
+           CASE WHEN h.destination_store_id IS NULL AND h.ship_to_city IS NULL THEN 'no_destination'
+                WHEN h.destination_store_id IS NOT NULL AND s.store_id IS NULL THEN 'unknown_store'
+                WHEN h.order_id IN (SELECT order_id FROM r_req_items GROUP BY order_id, sku_id HAVING count(*) > 1) THEN 'duplicate_sku'
+           END AS reason
+    FROM r_req_headers h JOIN x_first f USING (order_id) LEFT JOIN r_stores s ON s.store_id = h.destination_store_id"""
+ROLES["x_options"] = """
+    SELECT v.order_id, v.seq, v.named, v.want, v.sku_id, i.store_id, i.available_qty AS top
+    FROM x_valid v JOIN r_inventory i ON i.sku_id = v.sku_id
+    WHERE v.reason IS NULL AND CASE WHEN v.named IS NULL THEN i.available_qty >= v.want ELSE i.store_id = v.named END"""
+ROLES["x_able"] = """
+    SELECT o.order_id, o.store_id FROM x_options o JOIN r_req_items t USING (order_id)
+    LEFT JOIN r_inventory i ON i.store_id = o.store_id AND i.sku_id = t.sku_id
+    GROUP BY ALL HAVING bool_and(coalesce(i.available_qty >= t.quantity, false))"""
 ROLES["x_turns"] = """
-    SELECT order_id, row_number() OVER (ORDER BY seq) AS n FROM x_routed
-    WHERE order_id IN (SELECT order_id FROM x_reasons WHERE reason IS NULL)"""
-ROLES["x_wanted"] = """
-    SELECT t.n, i.sku_id, i.quantity, h.store_id, v.available_qty FROM x_turns t JOIN x_routed h USING (order_id)
-    JOIN r_req_items i USING (order_id) JOIN r_inventory v ON v.store_id = h.store_id AND v.sku_id = i.sku_id"""
+    SELECT order_id, seq, row_number() OVER (ORDER BY seq) AS n FROM x_valid WHERE order_id IN (SELECT order_id FROM x_able)"""
+ROLES["x_takes"] = """
+    SELECT t.n, t.seq, a.store_id, i.sku_id, i.quantity FROM x_turns t JOIN x_able a USING (order_id) JOIN r_req_items i USING (order_id)"""
+ROLES["x_fills"] = """
+    SELECT n, store_id, list({'q': quantity, 'a': a, 'p': p}) AS lines FROM (
+        SELECT w.n, w.store_id, w.sku_id, w.quantity, v.available_qty AS a, list({'n': e.n, 'q': e.quantity}) FILTER (WHERE e.n IS NOT NULL) AS p
+        FROM x_takes w JOIN r_inventory v ON v.store_id = w.store_id AND v.sku_id = w.sku_id
+        LEFT JOIN x_takes e ON e.store_id = w.store_id AND e.sku_id = w.sku_id AND e.n < w.n GROUP BY ALL) GROUP BY ALL"""
+ROLES["x_levels"] = """
+    SELECT o.order_id, o.named, o.want, o.store_id, o.top, list({'n': e.n, 'q': e.quantity}) FILTER (WHERE e.n IS NOT NULL) AS p
+    FROM x_options o LEFT JOIN x_takes e ON e.store_id = o.store_id AND e.sku_id = o.sku_id AND e.seq < o.seq GROUP BY ALL"""
 ROLES["x_queue"] = """
-    SELECT a.n, list({'q': a.quantity, 'a': a.available_qty, 'p': a.earlier}) AS lines FROM (
-        SELECT w.n, w.quantity, w.available_qty, list({'n': e.n, 'q': e.quantity}) FILTER (WHERE e.n IS NOT NULL) AS earlier
-        FROM x_wanted w LEFT JOIN x_wanted e ON e.store_id = w.store_id AND e.sku_id = w.sku_id AND e.n < w.n
-        GROUP BY w.n, w.sku_id, w.quantity, w.available_qty) a GROUP BY a.n"""
-ROLES["x_steps"] = """
-    SELECT 0::BIGINT AS n, CAST([] AS BIGINT[]) AS taken
+    SELECT t.n, any_value(v.named) AS named, any_value(v.want) AS want,
+           list({'s': v.store_id, 'a': v.top, 'p': v.p, 'ok': f.lines IS NOT NULL, 'lines': f.lines}) AS stores
+    FROM x_turns t JOIN x_levels v USING (order_id) LEFT JOIN x_fills f ON f.n = t.n AND f.store_id = v.store_id GROUP BY t.n"""
+
+
+def _left(units: str, earlier: str, store: str) -> str:
+    taken = f"list_transform(list_filter({earlier}, lambda e: s.went[e.n] = {store}), lambda e: e.q)"
+    return f"{units} - coalesce(list_sum({taken}), 0)"
+
+
+ROLES["x_steps"] = f"""
+    SELECT 0::BIGINT AS n, CAST([] AS INTEGER[]) AS went
     UNION ALL
-    SELECT k.n, CASE WHEN len(list_filter(k.lines, lambda l: l.q > l.a - coalesce(list_sum(list_transform(
-               list_filter(l.p, lambda e: list_contains(s.taken, e.n)), lambda e: e.q)), 0))) = 0
-           THEN list_append(s.taken, k.n) ELSE s.taken END
-    FROM x_steps s JOIN x_queue k ON k.n = s.n + 1"""
+    SELECT n, list_append(went, CAST(CASE WHEN named IS NULL AND best.l < want THEN -2 WHEN best.f THEN -best.m ELSE -1 END AS INTEGER)) FROM (
+        SELECT k.n, s.went, k.named, k.want, list_sort(list_transform(k.stores, lambda c: {{
+                   'l': {_left('c.a', 'c.p', 'c.s')}, 'm': -c.s,
+                   'f': c.ok AND len(list_filter(c.lines, lambda l: l.q > {_left('l.a', 'l.p', 'c.s')})) = 0}}), 'DESC')[1] AS best
+        FROM x_steps s JOIN x_queue k ON k.n = s.n + 1)"""
+ROLES["x_went"] = """
+    SELECT generate_subscripts(went, 1) AS n, unnest(went) AS store_id FROM x_steps WHERE n = (SELECT max(n) FROM x_steps)"""
+ROLES["x_never"] = f"""
+    SELECT order_id, CASE WHEN any_value(named) IS NULL AND max({_left('v.top', 'v.p', 'v.store_id')}) < any_value(want)
+                          THEN 'cannot_fulfil' ELSE 'insufficient' END AS outcome
+    FROM x_levels v, (SELECT went FROM x_steps WHERE n = (SELECT max(n) FROM x_steps)) s
+    WHERE order_id NOT IN (SELECT order_id FROM x_turns) GROUP BY order_id"""
 ROLES["x_placed"] = """
-    SELECT r.order_id, coalesce(r.reason, CASE WHEN w.n IS NULL THEN 'insufficient' ELSE 'accepted' END) AS outcome
-    FROM x_reasons r LEFT JOIN x_turns t ON t.order_id = r.order_id
-    LEFT JOIN (SELECT unnest(taken) AS n FROM x_steps WHERE n = (SELECT max(n) FROM x_steps)) w ON w.n = t.n"""
+    SELECT v.order_id, coalesce(v.reason, CASE WHEN w.store_id >= 0 THEN 'accepted' WHEN w.store_id = -1 THEN 'insufficient'
+               WHEN w.store_id = -2 THEN 'cannot_fulfil' END, x.outcome, CASE WHEN v.named IS NULL THEN 'cannot_fulfil' ELSE 'insufficient' END) AS outcome,
+           CASE WHEN w.store_id >= 0 THEN w.store_id END AS store_id
+    FROM x_valid v LEFT JOIN x_turns t USING (order_id) LEFT JOIN x_went w ON w.n = t.n LEFT JOIN x_never x ON x.order_id = v.order_id"""
+
+
+# What the recursion reads at every step is computed once.
+KEPT = ("x_queue",)
 
 
 def oracle(body: str) -> str:
@@ -279,6 +314,6 @@ def oracle(body: str) -> str:
     visit(body)
     if not needed:
         return body
-    ctes = ",\n".join(f"{n} AS ({ROLES[n]})" for n in needed)
+    ctes = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in KEPT else ''}({ROLES[n]})" for n in needed)
     recursive = "RECURSIVE " if "x_steps" in seen else ""
     return f"WITH {recursive}{ctes}\n{body}"

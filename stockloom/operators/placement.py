@@ -6,8 +6,8 @@ Requests come as two tables:
   fulfillment_store_id``, where ``seq`` is the order of arrival and unique;
 * items ``order_id, line_no, sku_id, quantity``, where the smallest ``line_no`` is the first item.
 
-Within a batch every order sees the stock that the accepted orders before it left over, and
-a rejected order takes nothing. Stores are chosen from the stock at the start of the batch.
+Within a batch every order is routed and filled from the stock that the accepted orders before it left
+over, and a rejected order takes nothing. :func:`route` and the checks look at one order at a time.
 """
 
 from __future__ import annotations
@@ -17,16 +17,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockloom.plans.ranking import running_totals
+from stockloom.operators.settlement import REPLAY_ROWS, settle
 from stockloom.session import scratch_dir, written
 
 # Shipping methods and the largest quantity of one item.
 SHIPPING_METHODS = ("standard", "expedited", "overnight", "store_pickup")
 MAX_QUANTITY = 10
 
-# Consecutive order numbers whose lines may share one task while stock is totalled.
-SEQ_SPAN = 50_000
-
 
 @dataclass(frozen=True)
 class Placement:
@@ -184,64 +181,11 @@ def stock_rejects(routed: DataFrame, items: DataFrame, inventory: DataFrame, pro
     return stock_reasons(routed, sold_lines(routed, items, inventory, products))
 
 
-def allocate(lines: DataFrame, span: int = SEQ_SPAN) -> DataFrame:
-    """Accepts or rejects orders in sequence: ``order_id, accepted``.
-
-    ``lines`` holds ``order_id, seq, store_id, sku_id, quantity, available_qty`` with one line
-    per order and SKU. An order is accepted if each of its lines fits into what the accepted
-    orders before it left.
-
-    The decision is found in rounds that run over all orders at once. Running totals per
-    store and SKU bound what is left for a line: at most the stock minus what accepted
-    orders before it took, at least that minus the undecided ones before it. An order whose
-    lines all fit the lower bound is accepted, one with a line above the upper bound is
-    rejected, and the rest go to the next round together with the lines they compete with.
-    The bounds of the first undecided order coincide, so every round decides at least one;
-    for single lines of up to ten units a stock position settles within about twenty rounds.
-    Each round is written out, so that no lineage builds up and a lost executor costs one
-    round at most.
-    """
-    spark = lines.sparkSession
-    base = scratch_dir(spark, "allocate")
-    slim = lines.select("order_id", "seq", "store_id", "sku_id", "quantity", "available_qty")
-    state = slim.withColumn("accepted", F.lit(False))
-    turn = 0
-    while True:
-        undecided_qty = F.when(~F.col("accepted"), F.col("quantity")).otherwise(0)
-        accepted_qty = F.when(F.col("accepted"), F.col("quantity")).otherwise(0)
-        bounds = running_totals(
-            state, ["store_id", "sku_id"], "seq", {"taken": accepted_qty, "pending": undecided_qty}, span
-        )
-        high = F.col("available_qty") - F.col("taken")
-        open_lines = bounds.where(~F.col("accepted"))
-        verdicts = open_lines.groupBy("order_id").agg(
-            F.max((F.col("quantity") > high).cast("int")).alias("over"),
-            F.min((F.col("quantity") <= high - F.col("pending")).cast("int")).alias("fits"),
-        )
-        decided = verdicts.withColumn(
-            "verdict", F.when(F.col("over") == 1, "reject").when(F.col("fits") == 1, "accept").otherwise("open")
-        ).select("order_id", "verdict")
-        decided = written(decided, f"{base}/verdicts/round={turn}")
-        if decided.where(F.col("verdict") == "open").isEmpty():
-            break
-        merged = (
-            state.join(decided, "order_id", "left")
-            .where(F.coalesce(F.col("verdict"), F.lit("accept")) != "reject")
-            .withColumn("accepted", F.coalesce(F.col("verdict"), F.lit("accept")) == "accept")
-            .drop("verdict")
-        )
-        contested = merged.where(~F.col("accepted")).select("store_id", "sku_id").distinct()
-        state = written(merged.join(contested, ["store_id", "sku_id"], "left_semi"), f"{base}/state-{turn}")
-        turn += 1
-    verdicts = spark.read.schema(decided.schema).parquet(f"{base}/verdicts").where(F.col("verdict") != "open")
-    return verdicts.select("order_id", (F.col("verdict") == "accept").alias("accepted"))
-
-
 def place_orders(
     headers: DataFrame, items: DataFrame, inventory: DataFrame, products: DataFrame, stores: DataFrame,
-    as_of: Column, span: int = SEQ_SPAN,
+    as_of: Column, replay_rows: int = REPLAY_ROWS,
 ) -> Placement:
-    """Routes, checks, prices and reserves a batch of orders; each order is all or nothing.
+    """Routes, checks, prices and reserves a batch of orders in arrival order; each order is all or nothing.
 
     ``as_of`` is the time of placing, the same for all or a column of ``headers``: dates count from an
     order's own time, and a stock row carries the time of the last accepted order on it.
@@ -249,23 +193,24 @@ def place_orders(
     base = scratch_dir(headers.sparkSession, "placement")
     # Both tables are used several times below; written out, each input is read once.
     timed = headers.withColumn("__placed", as_of.cast("timestamp"))
-    routed = written(with_store(with_request_reason(timed, items, stores), inventory), f"{base}/routed")
-    able = routed.where(F.col("reason").isNull()).drop("reason")
-    lines = written(sold_lines(able, items, inventory, products), f"{base}/lines")
-    short = written(stock_reasons(able, lines), f"{base}/short")
-    verdicts = allocate(lines.join(short, "order_id", "left_anti"), span)
-    won = verdicts.where("accepted").select("order_id")
-    lost = verdicts.where(~F.col("accepted")).select("order_id", F.lit("insufficient").alias("reason"))
-    taken = able.join(won, "order_id", "left_semi")
-    accepted = lines.join(taken.select("order_id", "__placed"), "order_id")
+    checked = written(with_request_reason(timed, items, stores), f"{base}/checked")
+    able = checked.where(F.col("reason").isNull()).drop("reason")
+    prices = products.select("sku_id", F.col("msrp").alias("unit_price"), F.lit(True).alias("sold"))
+    wanted = items.join(able.select("order_id"), "order_id", "left_semi").join(prices, "sku_id", "left")
+    lines = written(
+        wanted.select("order_id", "line_no", "sku_id", "quantity", "unit_price", F.coalesce("sold", F.lit(False)).alias("sold")), f"{base}/lines"
+    )
+    outcome = settle(able.select("order_id", "seq", "fulfillment_store_id"), lines, inventory, replay_rows)
+    won, lost = outcome.where(F.col("reason").isNull()), outcome.where(F.col("reason").isNotNull())
+    taken = able.join(won.select("order_id", "store_id"), "order_id")
     orders = with_eta(taken, F.col("__placed")).select(
         "order_id", "customer_id", F.col("__placed").alias("order_date"), F.lit("placed").alias("order_status"),
         F.col("store_id").alias("fulfillment_store_id"), "destination_store_id", "ship_to_city", "shipping_method",
         "estimated_delivery_days", "estimated_delivery_date",
     )
-    sold = price_items(accepted, products).select("order_id", "sku_id", "quantity", "unit_price")
-    broken = routed.where(F.col("reason").isNotNull()).select("order_id", "reason")
-    rejects = broken.unionByName(short).unionByName(lost)
+    accepted = lines.join(taken.select("order_id", "store_id", "__placed"), "order_id")
+    sold = accepted.select("order_id", "sku_id", "quantity", "unit_price")
+    rejects = checked.where(F.col("reason").isNotNull()).select("order_id", "reason").unionByName(lost.select("order_id", "reason"))
     return Placement(orders, sold, apply_reservations(inventory, accepted, F.col("__placed")), rejects)
 
 
