@@ -29,7 +29,8 @@ from stockloom.session import scratch_dir, written
 PIECE_ENDS, WORD_ENDS = ".,;:!?\n\x0b\x0c\r", " \t"
 UNKNOWN = "und"
 MOST_WORDS, LEAST, TOP = 5, 100, 2_000
-BLOCK = 4_194_304  # bytes of text held as words at once in a task
+BLOCK = 2_097_152  # bytes of text held as words at once in a task
+TEXTS = 512  # texts put in lower case at once
 SHARD = 500_000  # phrases of one trie: what is broadcast at once does not grow with the corpus
 LEAST_BITS, MOST_BITS = 16, 30  # of the number of buckets; 2**30 buckets are 128 MB of bits
 LONG_WORD = 128  # bytes; words beyond it are hashed one by one
@@ -153,8 +154,10 @@ def grams(block: Block, seeds: np.ndarray, sieves: list[np.ndarray], bits: int,
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str], np.ndarray]]:
     """Texts, languages, and the language of each text."""
     for batch in batches:
-        langs = batch.column("lang").dictionary_encode()
-        yield batch.column("text"), langs.dictionary.to_pylist(), langs.indices.to_numpy()
+        for start in range(0, batch.num_rows, TEXTS):
+            part = batch.slice(start, TEXTS)
+            langs = part.column("lang").dictionary_encode()
+            yield part.column("text"), langs.dictionary.to_pylist(), langs.indices.to_numpy()
 
 
 def _seeds(names: list[str]) -> np.ndarray:
