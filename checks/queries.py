@@ -250,7 +250,8 @@ def _token_search(r: Roles) -> DataFrame:
         UNION ALL SELECT query_id, product_id, rank, 2 FROM x_scored WHERE query_id NOT IN (SELECT query_id FROM x_hits))
     JOIN r_products USING (product_id)""")
 def _product_search(r: Roles) -> DataFrame:
-    return catalog.search(r.products(), r.search_queries())
+    products = r.products()
+    return catalog.search(products, r.search_queries(), index=catalog.stored_index(products))
 
 
 @query("catalogue_order", f"""

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockloom.functions.text import product_tokens, query_tokens
+from stockloom.operators.gram_index import GramIndex, matches_everything
+from stockloom.operators.token_search import TIE_ORDER, best_products
 from stockloom.plans.topk import bounded, first_rows, top_k
-from stockloom.session import scratch_dir, written
+from stockloom.session import checkpoint_root, scratch_dir, written
 
 PRODUCT_COLUMNS = (
     "product_id", "style_id", "sku_id", "product_name", "category", "subcategory", "brand", "color", "size",
@@ -104,64 +106,34 @@ def _same(left: str, right: str, columns: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns])
 
 
-def _pieces(text: Column, size: int) -> Column:
-    """Every run of ``size`` characters of a text."""
-    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1))
-    none = F.array().cast("array<string>")
-    return F.coalesce(F.transform(starts, lambda i: F.substring(text, i, F.lit(size))), none)
+def _searched_texts(products: DataFrame) -> DataFrame:
+    """Each lower-case text that an active product answers to, once."""
+    texts = F.array_distinct(F.array(*[F.lower(c) for c in _SEARCHED]))
+    return active_only(products).select(F.explode(texts).alias("text")).distinct()
 
 
-def _query_grams(q: Column) -> Column:
-    """Runs of three characters that any match of ``q`` contains.
+def stored_index(products: DataFrame, root: str | None = None) -> GramIndex:
+    """The gram index of these products' texts, built at the first call and opened by later ones.
 
-    Taken from the longest stretch of ``q`` without wildcards; a stretch shorter than three
-    characters stands for itself.
+    It lies under ``root`` (default: the shared folder) by a digest of the texts, so other texts never find it.
     """
-    plain = F.regexp_replace(F.lower(q), r"\\.?", "%")
-    longest = F.try_element_at(F.array_sort(F.split(plain, "[%_]"), lambda a, b: F.length(b) - F.length(a)), F.lit(1))
-    return F.array_distinct(F.when(F.length(longest) >= 3, _pieces(longest, 3)).otherwise(F.array(longest)))
+    spark = products.sparkSession
+    own = F.xxhash64(*[F.lower(c) for c in _SEARCHED])
+    seen = active_only(products).agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(own), F.lit(0)), F.coalesce(F.sum(own.cast("decimal(38, 0)")), F.lit(0))).first()
+    name = "-".join(str(int(x)) for x in seen)
+    index = GramIndex(spark, f"{(root or checkpoint_root(spark)).rstrip('/')}/stockloom/grams/{name}")
+    if not index.built():
+        index.extend(_searched_texts(products))
+    return index
 
 
-def _text_grams(text: Column) -> Column:
-    return F.array_distinct(F.concat(F.array(F.lit("")), *[_pieces(text, n) for n in (1, 2, 3)]))
-
-
-def _matches_everything(q: Column) -> Column:
-    return q.isNull() | F.regexp_like(q, F.lit("^%+$"))
-
-
-def _matching_texts(texts: DataFrame, asks: DataFrame, base: str) -> DataFrame:
-    """Pairs of query and text that contains it, each once: ``q, text``.
-
-    Works like an inverted index: texts and queries meet by equality on the query's rarest
-    gram, and only those pairs are compared in full. A query with a gram no text has is
-    dropped at once. The index is written to ``base``: it is counted and then looked up.
-    """
-    asked = asks.select("q").distinct().where(~_matches_everything(F.col("q")))
-    grams = asked.select("q", F.explode(_query_grams(F.col("q"))).alias("gram"))
-    indexed = written(
-        texts.select("text", F.explode(_text_grams(F.col("text"))).alias("gram")).join(
-            grams.select("gram").distinct(), "gram", "left_semi"
-        ),
-        f"{base}/indexed",
-    )
-    counted = grams.join(indexed.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram", "left")
-    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rarest")
-    anchored = counted.groupBy("q").agg(rarest).where(F.col("rarest.n") > 0).select("q", F.col("rarest.gram").alias("gram"))
-    # A backslash before an ordinary character stands for that character.
-    pattern = F.concat(F.lit("%"), F.regexp_replace("q", r"\\([^%_\\])", "$1"), F.lit("%"))
-    like = F.call_function("ilike", F.col("text"), F.col("pattern"))
-    hit = F.when(F.col("wild"), like).otherwise(F.contains("text", F.lower("q")))
-    anchored = anchored.withColumns({"pattern": pattern, "wild": F.regexp_like("q", F.lit(r"[%_\\]"))})
-    return anchored.join(indexed, "gram").where(hit).select("q", "text")
-
-
-def substring_hits(products: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
+def substring_hits(products: DataFrame, queries: DataFrame, limit: int = 20, index: GramIndex | None = None) -> DataFrame:
     """First phase of search for a table of queries: ``query_id, product_id, rank``.
 
     Equal queries are answered once. Products are ranked per searched text and per filter
     combination first; a query then merges the leading ``limit`` products of each text it
-    matches, however many products share the text. Queries without text use the empty text
+    matches, however many products share the text. The texts come from ``index``, which must hold those of the
+    products and may hold more; without one an index is built for this call. Queries without text use the empty text
     that every product carries; its facets are few and large, so they are ranked, and with
     that cut in every task, before they meet the queries. What is used more than once is
     written out and read from there.
@@ -171,10 +143,12 @@ def substring_hits(products: DataFrame, queries: DataFrame, limit: int = 20) ->
     filters = ["category", "occasion"]
     shelf = active_only(products).select("product_id", "occasion", *_SHELF_ORDER, "style_id")
     lowered = F.array_distinct(F.array(*[F.lower(c) for c in _SEARCHED]))
-    texts = shelf.select(F.explode(lowered).alias("text")).distinct()
+    if index is None:
+        index = GramIndex(products.sparkSession, f"{base}/grams")
+        index.extend(_searched_texts(products))
     asks = written(queries.select("q", *filters).distinct(), f"{base}/asks")
-    everything = asks.where(_matches_everything(F.col("q"))).withColumn("text", F.lit(""))
-    by_text = asks.join(_matching_texts(texts, asks, base), "q")
+    everything = asks.where(matches_everything(F.col("q"))).withColumn("text", F.lit(""))
+    by_text = asks.join(index.matches(asks.select("q").where(~matches_everything(F.col("q")))), "q")
     wanted = written(everything.unionByName(by_text), f"{base}/wanted")
 
     none = F.lit(None).cast("string")
@@ -221,64 +195,25 @@ def token_hits(
     filters = ["category", "occasion"] if strict_filters else []
     named = queries.where(F.col("q").isNotNull()).select("query_id", F.lower("q").alias("text"), *filters)
     ask = ["text", *filters]
-    tokenized = named.select(*ask).distinct().withColumn("token", F.explode(query_tokens(F.col("text"))))
-    attributes = ["product_id", "product_name", "color", "size", "sku_id"]
-    # The catalogue is small next to the pairs it produces, so its few bytes must not decide
-    # the number of tasks.
+    asks = written(
+        named.select(*ask).distinct().withColumns({"ask": F.monotonically_increasing_id(), "tokens": query_tokens(F.col("text"))}),
+        scratch_dir(products.sparkSession, "asks"),
+    )
+    # The catalogue is small next to the work on it, so its few bytes must not decide the number of tasks.
     tasks = int(products.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     held = product_tokens(F.col("size"), *[F.col(c) for c in _TOKEN_TEXTS])
-    shelf = active_only(products).repartition(tasks, "product_id").select(*attributes, *filters, held.alias("held"))
-    listed = shelf.withColumn("token", F.explode("held"))
-
-    frequency = (
-        listed.select("token").join(tokenized.select("token").distinct(), "token", "left_semi")
-        .groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    )
-    rare_first = F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")))
-    asked = tokenized.join(frequency, "token", "left").groupBy(*ask).agg(rare_first.alias("t")).select(
-        "text", *[F.col(c).alias(f"w_{c}") for c in filters], F.col("t.token").alias("tokens"), F.size("t").alias("n")
-    )
-    # A query that needs two shared tokens shares one besides its most frequent, so that one
-    # is not looked up but tested on the pairs the others found.
-    spare = F.when(F.col("n") >= 3, F.element_at("tokens", -1))
-    looked_up = F.filter("tokens", lambda t: ~t.eqNullSafe(F.col("spare")))
-    # Written out, so that Catalyst knows the size of the query side when it picks the join.
-    probes = written(
-        asked.withColumn("spare", spare).withColumn("token", F.explode(looked_up)).drop("tokens"),
-        scratch_dir(products.sparkSession, "probes"),
-    )
-    joined = listed.join(probes, "token")
-    for c in filters:
-        joined = joined.where(F.col(f"w_{c}").isNull() | (F.col(f"w_{c}") == F.col(c)))
-    wanted = [f"w_{c}" for c in filters]
-    # Both sides hold a token once, so counting rows counts shared tokens. Products are placed
-    # by id: the pairs of a product are counted in the task that found them.
-    has_spare = F.coalesce(F.array_contains("held", F.col("spare")), F.lit(False)).cast("int")
-    counted = joined.select("text", *wanted, "n", *attributes, has_spare.alias("extra")).groupBy(
-        "text", *wanted, "n", *attributes, "extra"
-    ).agg(F.count(F.lit(1)).alias("found"))
-    kept = counted.withColumn("matched", F.col("found") + F.col("extra")).where(
-        (F.col("matched") >= 2) | (F.col("n") <= 2)
-    )
-    name = F.lower("product_name")
-    score = (
-        F.col("matched") * 10
-        + F.when(F.contains(name, F.col("text")), 20).otherwise(0)
-        + F.when(F.contains(F.col("text"), name), 10).otherwise(0)
-    )
-    order = [F.col("score").desc(), F.col("product_name"), F.col("color"), F.col("size"), F.col("sku_id")]
-    # The hash leads the sort: most comparisons end at one machine word.
-    scored = kept.withColumns({"score": score, "text_hash": F.xxhash64("text")})
-    ranked = top_k(scored, ["text_hash", "text", *wanted], order, limit).withColumnsRenamed(
-        {f"w_{c}": c for c in filters}
+    shelf = active_only(products).repartition(tasks, "product_id").select(
+        "product_id", *TIE_ORDER, *filters, held.alias("held")
     )
+    wanted = asks.withColumnsRenamed({c: f"w_{c}" for c in filters})
+    ranked = best_products(shelf, wanted, limit, filters).join(asks, "ask")
     return named.alias("k").join(ranked.alias("r"), _same("k", "r", ask)).select(
-        "k.query_id", "r.product_id", "r.matched", "r.score", "r.rank"
+        "k.query_id", "r.product_id", F.col("r.matched").cast("bigint").alias("matched"), F.col("r.score").cast("bigint").alias("score"), "r.rank"
     )
 
 
 def search(
-    products: DataFrame, queries: DataFrame, limit: int = 20, strict_filters: bool = False
+    products: DataFrame, queries: DataFrame, limit: int = 20, strict_filters: bool = False, index: GramIndex | None = None
 ) -> DataFrame:
     """Both phases for a table of queries ``query_id, q, category, occasion``.
 
@@ -288,7 +223,7 @@ def search(
     choose the join for the second phase.
     """
     base = scratch_dir(products.sparkSession, "search")
-    direct = written(substring_hits(products, queries, limit), f"{base}/direct")
+    direct = written(substring_hits(products, queries, limit, index), f"{base}/direct")
     answered = direct.select("query_id").distinct()
     unanswered = written(
         queries.where(F.col("q").isNotNull()).join(answered, "query_id", "left_anti"), f"{base}/unanswered"
