@@ -70,6 +70,8 @@ class Block:
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[[ord(c) for c in WORD_ENDS]] = 1
 _CLASS[[ord(c) for c in PIECE_ENDS]] = 2
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def _cut(data: np.ndarray, starts: np.ndarray, at: int, size: int) -> int:
@@ -88,11 +90,15 @@ def _cut(data: np.ndarray, starts: np.ndarray, at: int, size: int) -> int:
 
 def blocks(texts: pa.Array, langs: np.ndarray, size: int = BLOCK) -> Iterator[Block]:
     """The words of texts, in lower case of A-Z, with the language of each text."""
-    lower = pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string()))
-    bounds = np.frombuffer(lower.buffers()[1], np.int64)[lower.offset : lower.offset + len(lower) + 1]
-    if not len(lower) or bounds[0] == bounds[-1]:
+    if texts.null_count:
+        texts = pa.array([t or "" for t in texts.to_pylist()], pa.large_string())
+    texts = texts.cast(pa.large_string())
+    if not len(texts):
         return
-    data = np.frombuffer(lower.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if bounds[0] == bounds[-1]:
+        return
+    data = _LOWER[np.frombuffer(texts.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]]
     starts = bounds[:-1] - bounds[0]
     at = 0
     while at < len(data):
