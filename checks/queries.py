@@ -14,6 +14,7 @@ from stockloom import schemas
 from stockloom.functions import derive, text
 from stockloom.functions.money import cents, half_up
 from stockloom.operators import catalog, constraints, customer, maintain, orders, placement, planning, quality, stock
+from stockloom.plans.ranking import numbered
 from stockloom.session import scratch_dir
 from stockloom.sources import files
 from stockloom.sources.roles import Roles
@@ -204,6 +205,31 @@ def _param_checks(r: Roles) -> DataFrame:
     return placement.request_rejects(r.request_headers(), r.request_items(), r.stores())
 
 
+_SPOILT = """
+    SELECT order_id, CASE WHEN seq % 13 = 0 THEN 'bad_shipping_method' WHEN seq % 11 = 0 THEN 'no_items' WHEN seq % 7 = 0 THEN 'bad_quantity'
+               WHEN nd THEN 'no_destination' WHEN us THEN 'unknown_store' WHEN dup THEN 'duplicate_sku' END AS reason FROM (
+        SELECT h.order_id, h.seq, h.destination_store_id IS NULL AND h.ship_to_city IS NULL AS nd,
+               h.destination_store_id IS NOT NULL AND s.store_id IS NULL AS us,
+               EXISTS (SELECT 1 FROM (SELECT order_id, sku_id FROM r_req_items GROUP BY 1, 2 HAVING count(*) > 1) d
+                       WHERE d.order_id = h.order_id) AS dup
+        FROM r_req_headers h LEFT JOIN r_stores s ON s.store_id = h.destination_store_id)"""
+
+
+@query("param_reasons", f"SELECT reason, count(*) AS orders, min(order_id) AS first_order, max(order_id) AS last_order FROM ({_SPOILT}) GROUP BY reason")
+def _param_reasons(r: Roles) -> DataFrame:
+    """All six rules over requests of which some are spoilt: unknown methods, no items, quantities of 0 and above the limit."""
+    heads = r.request_headers().withColumn("shipping_method", F.when(F.col("seq") % 13 == 0, "by_drone").otherwise(F.col("shipping_method")))
+    seqs = heads.select("order_id", "seq")
+    off = F.when(F.col("seq") % 2 == 0, 0).otherwise(placement.MAX_QUANTITY + 1)
+    items = r.request_items().join(seqs, "order_id").where("seq % 11 <> 0").withColumn(
+        "quantity", F.when(F.col("seq") % 7 == 0, off).otherwise(F.col("quantity")).cast("int")
+    ).drop("seq")
+    checked = placement.with_request_reason(heads, items, r.stores())
+    return checked.groupBy("reason").agg(
+        F.count(F.lit(1)).alias("orders"), F.min("order_id").alias("first_order"), F.max("order_id").alias("last_order")
+    )
+
+
 _HITS = """
     SELECT query_id, product_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY category, product_name, color, size, sku_id) AS INTEGER) AS rank
     FROM (SELECT k.query_id, p.* FROM r_queries k JOIN r_products p ON p.status = 'active'
@@ -274,6 +300,15 @@ def _product_inventory(r: Roles) -> DataFrame:
     return stock.inventory_for_products(r.inventory(), r.stores(), r.products(), ordered=False)
 
 
+@query("inventory_order", """
+    SELECT row_number() OVER (ORDER BY product_id, available_qty DESC NULLS LAST, in_transit_qty DESC NULLS LAST, store_id) AS position,
+           product_id, store_id
+    FROM r_inventory i JOIN r_stores s USING (store_id) JOIN r_products p USING (sku_id)""")
+def _inventory_order(r: Roles) -> DataFrame:
+    """The sorted report as its rows lie: positions come from the partitions, not from another sort."""
+    return numbered(stock.inventory_for_products(r.inventory(), r.stores(), r.products())).select("position", "product_id", "store_id")
+
+
 @query("product_inventory_at_store", _STOCK_SQL + " WHERE i.store_id = 7")
 def _product_inventory_at_store(r: Roles) -> DataFrame:
     return stock.inventory_for_products(r.inventory(), r.stores(), r.products(), store_id=7)
@@ -360,6 +395,14 @@ def _weekly(r: Roles) -> DataFrame:
     return planning.weekly_performance(r.weekly_performance(), r.stores(), r.products(), ordered=False)
 
 
+@query("weekly_order", """
+    SELECT row_number() OVER (ORDER BY w.week_start_date DESC, store_id, w.style_id, c.category) AS position, store_id, w.style_id, c.category
+    FROM r_weekly w JOIN r_stores USING (store_id) JOIN (SELECT DISTINCT style_id, category FROM r_products) c USING (style_id)""")
+def _weekly_order(r: Roles) -> DataFrame:
+    rows = planning.weekly_performance(r.weekly_performance(), r.stores(), r.products())
+    return numbered(rows).select("position", "store_id", "style_id", "category")
+
+
 @query("weekly_performance_filtered", _WEEKLY + """
     WHERE c.category = 'ECONOMY' AND store_id = 2 AND week_start_date BETWEEN DATE '1996-01-01' AND DATE '1999-06-30'""")
 def _weekly_filtered(r: Roles) -> DataFrame:
@@ -559,6 +602,12 @@ def _order_lines(r: Roles) -> DataFrame:
     return orders.order_lines(r.order_lines(), ordered=False)
 
 
+@query("order_lines_order", """
+    SELECT row_number() OVER (ORDER BY order_id, sku_id) AS position, order_id, sku_id FROM r_order_lines""")
+def _order_lines_order(r: Roles) -> DataFrame:
+    return numbered(orders.order_lines(r.order_lines())).select("position", "order_id", "sku_id")
+
+
 @query("route_order", "SELECT order_id, store_id FROM x_routed")
 def _route(r: Roles) -> DataFrame:
     return placement.route(r.request_headers(), r.request_items(), r.inventory()).select("order_id", "store_id")

@@ -27,10 +27,11 @@ MAX_QUANTITY = 10
 
 @dataclass(frozen=True)
 class Placement:
-    """Outcome of a batch: accepted orders and lines, the new inventory, rejected orders."""
+    """Outcome of a batch: accepted orders and lines, units taken per position, the new inventory, rejected orders."""
 
     orders: DataFrame
     lines: DataFrame
+    taken: DataFrame
     inventory: DataFrame
     rejects: DataFrame
 
@@ -116,12 +117,18 @@ def price_items(items: DataFrame, products: DataFrame) -> DataFrame:
     return items.join(prices, "sku_id", "left")
 
 
+def reserved_units(accepted: DataFrame, as_of: Column) -> DataFrame:
+    """``store_id, sku_id, quantity, stamp``: units taken of each position and the latest ``as_of``.
+
+    Sums and latest times of parts are those of the whole, so the rows of several batches can be put together.
+    """
+    return accepted.groupBy("store_id", "sku_id").agg(F.sum("quantity").cast("int").alias("quantity"), F.max(as_of).alias("stamp"))
+
+
 def apply_reservations(inventory: DataFrame, accepted: DataFrame, as_of: Column) -> DataFrame:
     """Inventory after reserving ``store_id, sku_id, quantity`` rows, stamped with the latest ``as_of`` of a position."""
     stamp = as_of.cast(inventory.schema["last_updated"].dataType)
-    taken = accepted.groupBy("store_id", "sku_id").agg(
-        F.sum("quantity").cast("int").alias("taken"), F.max(stamp).alias("stamp")
-    )
+    taken = reserved_units(accepted, stamp).withColumnRenamed("quantity", "taken")
     joined = inventory.join(taken, ["store_id", "sku_id"], "left")
     reserved = F.col("reserved_qty") + F.col("taken")
     changed = F.col("taken").isNotNull()
@@ -211,7 +218,8 @@ def place_orders(
     accepted = lines.join(taken.select("order_id", "store_id", "__placed"), "order_id")
     sold = accepted.select("order_id", "sku_id", "quantity", "unit_price")
     rejects = checked.where(F.col("reason").isNotNull()).select("order_id", "reason").unionByName(lost.select("order_id", "reason"))
-    return Placement(orders, sold, apply_reservations(inventory, accepted, F.col("__placed")), rejects)
+    units = reserved_units(accepted, F.col("__placed"))
+    return Placement(orders, sold, units, apply_reservations(inventory, units, F.col("stamp")), rejects)
 
 
 def split_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockloom.session import checkpoint_root
+from stockloom.session import checkpoint_root, scratch_dir, written
 
 _CHUNK = "__chunk"
 
@@ -40,6 +40,25 @@ def running_totals(
     return joined.drop(*drop)
 
 
+def numbered(ordered: DataFrame, position: str = "position") -> DataFrame:
+    """The rows of a sorted table with their 1-based position, however many partitions hold them.
+
+    A global sort leaves the ranges of its keys in the order of the partitions, so a row's position is its place in its
+    partition plus the rows of the partitions before. Only one count per partition is gathered. The sorted
+    rows are written first: their partitions are part of the result.
+    """
+    spark = ordered.sparkSession
+    # The upper bits of the id are the partition, the lower ones the place in it.
+    mark = F.monotonically_increasing_id()
+    rows = written(ordered.withColumn(_CHUNK, mark), scratch_dir(spark, "numbered"))
+    part = F.call_function("shiftright", F.col(_CHUNK), F.lit(33)).cast("int")
+    counts = rows.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
+    place = F.col(_CHUNK).bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return rows.withColumn("__part", part).join(offsets, "__part").withColumn(position, place + F.col("__o")).drop(_CHUNK, "__part", "__o")
+
+
 def ordered_positions(df: DataFrame, keys: list[str], order: list[Column], position: str) -> DataFrame:
     """1-based position of each row within its group, for groups too large for one task.
 
