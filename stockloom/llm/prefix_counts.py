@@ -78,7 +78,7 @@ class PrefixCounter:
         self.left: dict = {}
         self.right: dict = {}
         self.find = regex.compile(PRETOKENS).findall
-        self.spaces = regex.compile(r"\s\s+(?=\S)").finditer
+        self.spaces = regex.compile(r"(?<!\s)\s\s++(?=\S)").finditer  # one try for a run
         self.fits: dict[int, bool] = {}
         self.steps = _Remembered(self._count)
 

@@ -20,23 +20,26 @@ from stockloom.plans.topk import top_k
 SAMPLE_ROWS = 1600  # labelled texts the model is fitted on, shared equally by the languages
 SAMPLE_CHARS = 10_000  # longer texts are chosen where a language lacks shorter ones; all texts are scored whole
 LANDMARKS = 256
-LANGUAGES = 200  # the most frequent labels that get a classifier
-SYMBOLS = 128  # most common characters told apart; the others count as one
+GRAM_BITS = 21  # n-grams of any characters are told apart by so many bits of a hash
+CELLS = 64  # cells of a language's digests, each cut to the quota before the language is
 RIDGE = 1e-3
 BATCH = 128
 UNKNOWN = "und"
 
 
-def _gram_ids(text: str, alphabet: np.ndarray) -> np.ndarray:
-    """Ids of all n-grams of a lower-cased text, repeats included."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    c = alphabet[np.minimum(points, len(alphabet) - 1)].astype(np.int64)
-    two = c[:-1] * SYMBOLS + c[1:]
-    three = two[:-1] * SYMBOLS + c[2:]
-    return np.concatenate([c, two + SYMBOLS, three + SYMBOLS + SYMBOLS**2])
+_GRAMS = 1 << GRAM_BITS
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-_GRAMS = SYMBOLS + SYMBOLS**2 + SYMBOLS**3
+def _gram_ids(text: str) -> np.ndarray:
+    """Ids of all n-grams of a lower-cased text, repeats included: hashes of one to three code points."""
+    one = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32).astype(np.uint64) + np.uint64(1)
+    two = one[:-1] * _STEP + one[1:]
+    three = two[:-1] * _STEP + one[2:]
+    x = np.concatenate([one, two, three])
+    x = (x ^ (x >> np.uint64(32))) * _MIX
+    x = (x ^ (x >> np.uint64(32))) * _MIX
+    return (x >> np.uint64(64 - GRAM_BITS)).astype(np.int64)
 
 
 @dataclass
@@ -44,7 +47,6 @@ class Model:
     """A fitted classifier; its size is bounded by the parameters, not by the corpus."""
 
     languages: list[str]
-    alphabet: np.ndarray  # code point -> symbol, 0 for all others
     column: np.ndarray  # n-gram -> column of the landmark matrix, -1 if no landmark has it
     landmarks: np.ndarray  # landmark x n-gram presence
     sizes: np.ndarray  # n-grams of each landmark
@@ -57,7 +59,7 @@ class Model:
         sizes = np.ones(len(texts))
         last = np.zeros(_GRAMS, np.int64)
         for i, text in enumerate(texts):
-            ids = _gram_ids(text, self.alphabet)
+            ids = _gram_ids(text)
             at = np.arange(len(ids))
             last[ids] = at
             own = ids[last[ids] == at]  # each n-gram once
@@ -80,28 +82,20 @@ def fit_rows(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: flo
     if not rows:
         return None
     languages = sorted({lang for _, lang in rows})
-    counts: dict[str, int] = {}
-    for text, _ in rows:
-        for c in set(text.lower()):
-            counts[c] = counts.get(c, 0) + 1
-    common = sorted(counts, key=lambda c: (-counts[c], c))[: SYMBOLS - 1]
-    alphabet = np.zeros(max(map(ord, common), default=0) + 2, np.int16)
-    for i, c in enumerate(common):
-        alphabet[ord(c)] = i + 1
     turn: dict[str, int] = {}
     order = []
     for i, (_, lang) in enumerate(rows):
         turn[lang] = turn.get(lang, 0) + 1
         order.append((turn[lang], i))
     chosen = [rows[i][0] for _, i in sorted(order)[:landmarks]]
-    grams = [np.unique(_gram_ids(t, alphabet)) for t in chosen]
+    grams = [np.unique(_gram_ids(t)) for t in chosen]
     vocabulary = np.unique(np.concatenate(grams))
     column = np.full(_GRAMS, -1, np.int32)
     column[vocabulary] = np.arange(len(vocabulary))
     present = np.zeros((len(chosen), len(vocabulary)), np.float32)
     for i, g in enumerate(grams):
         present[i, column[g]] = 1
-    model = Model(languages, alphabet, column, present, np.array([max(len(g), 1) for g in grams], float), None, None)
+    model = Model(languages, column, present, np.array([max(len(g), 1) for g in grams], float), None, None)
     values, vectors = np.linalg.eigh(model.kernel(chosen))
     use = values > 1e-8 * values.max()
     lift = vectors[:, use] / np.sqrt(values[use])
@@ -120,18 +114,20 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, landmarks: int = LA
     Every language gets the same number of different texts, those with the smallest digests,
     so copies of one text count once and the sample does not depend on how rows are stored. Texts over
     ``SAMPLE_CHARS`` come after all shorter ones of their language; they are used whole, two at least and
-    no more than fit the characters that as many texts of ``SAMPLE_CHARS`` would have.
+    no more than fit the characters that as many texts of ``SAMPLE_CHARS`` would have. Every label is
+    learnt; each has two texts at least where it has two, so the sample grows with the labels beyond ``sample_rows / 2``.
     """
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
     digests = rows.select("lang", F.char_length("text").alias("chars"), F.md5("text").alias("digest")).distinct()
-    names = (
-        digests.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    )
+    names = digests.select("lang").distinct().count()
     if not names:
         return None
-    quota = max(2, sample_rows // len(names))
-    known = F.col("lang").isin([r.lang for r in names])
-    wanted = top_k(digests.where(known), ["lang"], [F.col("chars") > SAMPLE_CHARS, F.col("digest")], quota).select("lang", "chars", "digest")
+    quota = max(2, sample_rows // names)
+    first = [F.col("chars") > SAMPLE_CHARS, F.col("digest")]
+    # Cut per cell of a language's digests first, so that no task ranks what many tasks found for one language.
+    cell = F.pmod(F.crc32("digest"), F.lit(CELLS))
+    cut = top_k(digests.withColumn("cell", cell), ["lang", "cell"], first, quota).drop("rank", "cell")
+    wanted = top_k(cut, ["lang"], first, quota).select("lang", "chars", "digest")
     chosen, held = [], {}
     for r in sorted(wanted.collect(), key=lambda r: (r.lang, r.chars > SAMPLE_CHARS, r.digest)):
         texts, chars = held.get(r.lang, (0, 0))

@@ -91,7 +91,7 @@ def test_counts_equal_the_library_at_every_prefix(counter, library):
 
 
 def test_long_runs_are_counted_whole(counter, library):
-    for text in ("a" * 20_000, " " * 3_000 + "x", "é$" * 3_000):
+    for text in ("a" * 20_000, " " * 3_000 + "x", "é$" * 3_000, "x" + " " * 200_000, "\n" * 200_000, "a" + " \t\n" * 60_000):
         assert np.frombuffer(counter.steps_of(text), np.int8).astype(int).sum() == library(text)
 
 

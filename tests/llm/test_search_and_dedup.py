@@ -181,6 +181,23 @@ def test_kernel_counts_shared_grams():
             assert abs(got[row, column] - len(grams(text) & own[i]) / math.sqrt(len(grams(text)) * len(own[i]))) < 1e-6
 
 
+def test_every_label_is_learnt():
+    draw = random.Random(7)
+    rows = [("".join(chr(0x4E00 + 40 * n + draw.randrange(40)) for _ in range(60)), f"l{n}") for n in range(230) for _ in range(3)]
+    model = string_kernel.fit_rows(rows)
+    assert len(model.languages) == 230 and model.weights.shape[1] == 230
+    assert sum(model.languages[int(x)] == l for x, (_, l) in zip(model.scores([t for t, _ in rows[:300]]).argmax(1), rows)) >= 290
+
+
+def test_scripts_are_told_apart_by_their_characters():
+    draw = random.Random(8)
+    starts = {"th": 0xE01, "ko": 0xAC00, "zh": 0x4E00, "el": 0x3B1, "ru": 0x430, "he": 0x5D0, "hi": 0x905, "en": 0x61}
+    text = lambda n: "".join(chr(starts[n] + draw.randrange(20)) if draw.random() < 0.8 else " " for _ in range(40))
+    model = string_kernel.fit_rows([(text(n), n) for _ in range(12) for n in starts])
+    names = [n for _ in range(10) for n in starts]
+    assert [model.languages[i] for i in model.scores([text(n) for n in names]).argmax(1)] == names
+
+
 PARTS = ["a@b.co", "x@", "@", "..", "1.2.3.4", "256.1.1.1", "1.2.3.4.5", "+1 (415) 555-2671", "+1415", "4111 1111 1111 1111", "4111-1111-1111-1112",
          " ", "-", ".", "0", "12", "éà", "😀", "(at)", "b@c_d@e.fg", "\n", "(", ")", "+", "user (at) host (dot) com", "415-555-2671"]
 
