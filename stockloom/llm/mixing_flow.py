@@ -163,6 +163,7 @@ def mix(
     share: float = 1.5,
     costs: Sequence[int] = PASS_COSTS,
     seed: int = SEED,
+    row: Column | None = None,
 ) -> DataFrame:
     """How many words the mix takes of each document.
 
@@ -171,6 +172,8 @@ def mix(
     last, weigh ``weights`` in rotation and share ``share`` times all words; no target exceeds as many passes as
     ``costs`` has entries times its source's words, the excess goes to the others by weight.
 
+    ``row`` is an identity that the result hands back as ``row``, for tables in which ids repeat or are null.
+
     Returns ``doc_id, sources, size, target_sizes, targets`` (arrays parallel to ``sources``) and ``taken``, a
     multiple of ``size`` up to the number of passes. Inside a pattern every document gets the
     full passes of the pattern's words; the rest goes to documents in seeded order, the last one if
@@ -181,7 +184,8 @@ def mix(
     given = F.array("source") if sources is None else sources
     names = F.array_sort(F.array_distinct(F.transform(given, lambda s: F.coalesce(F.concat(F.lit("s"), s), F.lit("~")))))
     narrow = docs.select(
-        "doc_id", names.alias("__names"), (word_count(F.col("text")) if size is None else size).alias("size")
+        "doc_id", names.alias("__names"), (word_count(F.col("text")) if size is None else size).alias("size"),
+        *([] if row is None else [row.alias("row")]),
     )
     sized = written(
         narrow.withColumns({
@@ -215,7 +219,8 @@ def mix(
     planned = spark.createDataFrame(
         plan, "__p string, __passes bigint, __rest bigint, target_sizes array<bigint>, targets array<double>"
     )
-    ordered = running_before(sized, ["__pattern"], "__key", ["doc_id", "size"], "__before", F.col("size"))
+    own = [] if row is None else ["row"]
+    ordered = running_before(sized, ["__pattern"], "__key", ["doc_id", "size", *own], "__before", F.col("size"))
     placed = written(ordered.join(planned, F.col("__pattern").eqNullSafe(F.col("__p"))), scratch_dir(spark, "mix-order"))
     after = F.col("__before") + F.col("size")
     boundary = (F.col("__before") < F.col("__rest")) & (after > F.col("__rest"))
@@ -229,4 +234,5 @@ def mix(
         "doc_id",
         F.transform("__names", lambda s: F.when(s != "~", F.substr(s, F.lit(2), F.char_length(s)))).alias("sources"),
         "size", "target_sizes", "targets", (F.col("size") * (F.col("__passes") + extra.cast("int"))).alias("taken"),
+        *own,
     )

@@ -41,3 +41,18 @@ def test_stages_take_empty_tables_and_nulls(spark, tmp_path):
             out.write.parquet(str(tmp_path / f"{name}{k}"))
             docs = spark.read.parquet(str(tmp_path / f"{name}{k}"))
         assert docs.count() >= 0 and "batch" in docs.columns
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    """Ids that repeat or are null, and columns with the names the stages use themselves."""
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, __row int, __id int, __of int, __times int, __copy int, row int"
+    text = {k: " ".join(f"{k}{i}" for i in range(30)) for k in "abcd"}
+    some = [(5, "a"), (4, "a"), (5, "b"), (None, "c"), (None, "c"), (None, "d"), (5, "b")]
+    docs = spark.createDataFrame([(i, text[t], "en", "s", 1, 1, 2, 3, 4, 5, 6) for i, t in some], schema)
+    stages = dict(corpus_pipeline.STAGES)
+    once = stages["near_duplicates"](spark, docs, FOLDER)
+    assert once.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text[0]) for r in once.collect()) == [("4", "a"), ("5", "b"), ("None", "c"), ("None", "d")]
+    mixed = stages["mixing"](spark, docs, FOLDER)
+    assert mixed.columns == docs.columns
+    assert 9 <= mixed.count() <= 12 and {tuple(r) for r in mixed.collect()} <= {tuple(r) for r in docs.collect()}
