@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockloom.llm import bayes_dedup, fertility, length_buckets, mixing_flow, pii_boost
-from stockloom.llm.common import word_count
 from stockloom.session import scratch_dir, written
 
 
@@ -29,16 +28,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where(F.col(f"{verdict}.kept")).drop(verdict)
 
 
+def _numbered(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """The documents with a number for each row, and its column: ids may be null or repeat. Written, so that the numbers stay."""
+    row = _added(docs, "__row")
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), scratch_dir(docs.sparkSession, label)), row
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate component, the one with the smallest id.
+    """Keeps one document of each near-duplicate component, the one with the smallest id; null ids come last.
 
-    Rows that repeat both id and text leave one row; rows without an id have no rank and stay.
+    Rows are told apart by their place, so a row only goes for its own text, whatever other rows share its id. Rows
+    without words are like no other and stay; an empty table stays empty; texts of any length are compared whole.
     """
-    gone_id = _added(docs, "__gone")
-    gone = bayes_dedup.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias(gone_id)).distinct()
-    named = docs.where("doc_id IS NOT NULL")
-    kept = named.join(gone, F.col("doc_id") == F.col(gone_id), "left_anti").dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    rows, row = _numbered(docs, "rows")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
+    found = bayes_dedup.near_duplicates(rows.select(rank.alias("doc_id"), "text"))
+    gone_row = _added(rows, "__gone")
+    gone = found.where("NOT kept").select(F.col("doc_id")["row"].alias(gone_row))
+    return rows.join(gone, F.col(row) == F.col(gone_row), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,19 +61,17 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Brings sources to their target weights: a document appears as often as the mix takes it, up to twice.
 
-    Documents that the mix does not take go; documents without words are not text to train on
-    and go too.
+    Documents that the mix does not take go; documents without words are not text to train on and go too. Every row
+    is taken for itself, also where ids are null or repeat.
     """
-    size = _added(docs, "__size")
-    passes = (
-        mixing_flow.mix(docs).where("taken > 0")
-        .groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__of"))
-        .agg(F.max(F.call_function("div", F.col("taken"), F.col("size"))).cast("int").alias("__times"))
+    rows, row = _numbered(docs, "mixed-rows")
+    of, times, copy = (_added(rows, name) for name in ("__of", "__times", "__copy"))
+    passes = mixing_flow.mix(rows, row=F.col(row)).where("taken > 0").select(
+        F.col("row").alias(of), F.call_function("div", F.col("taken"), F.col("size")).cast("int").alias(times)
     )
-    sized = docs.withColumn(size, word_count(F.col("text")))
-    joined = sized.join(passes, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col(size) == F.col("__of")))
-    copies = F.explode(F.sequence(F.lit(1), F.col("__times")))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], copies.alias("__copy")).drop("__copy")
+    joined = rows.join(passes, F.col(row) == F.col(of))
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    return joined.select(*kept, F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy)).select(*kept)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
