@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.plain import plain
@@ -17,6 +17,7 @@ from stockloom.operators import catalog, constraints, customer, maintain, orders
 from stockloom.plans.ranking import numbered
 from stockloom.session import scratch_dir
 from stockloom.sources import files
+from stockloom.sources.buckets import BucketTable
 from stockloom.sources.roles import Roles
 from stockloom.streaming import orders as order_stream
 
@@ -576,6 +577,23 @@ def _refresh(r: Roles) -> DataFrame:
     )
 
 
+@query("refresh_incremental", _PROFILE_SQL)
+def _refresh_incremental(r: Roles) -> DataFrame:
+    """Three loads instead of one, split by row: two of about half the rows and a small one of few customers."""
+    stored = customer.StoredProfiles(r.spark, scratch_dir(r.spark, "profiles"))
+    tables = {"transaction_id": r.transactions(), "saved_item_id": r.saved_items(), "return_id": r.returns()}
+
+    def turn(key: str) -> Column:
+        few = F.pmod(F.crc32(F.col("customer_id").cast("string")), F.lit(50)) == 0
+        return F.when(few & (F.pmod(F.xxhash64(key), F.lit(3)) == 0), 3).otherwise(F.pmod(F.xxhash64(key), F.lit(2)) + 1)
+
+    for batch in (1, 2, 3):
+        transactions, saved, returns = (t.where(turn(key) == batch) for key, t in tables.items())
+        stored.load(transactions, saved, r.sale_products(), returns, batch)
+    transactions, saved, returns = tables.values()
+    return stored.profiles(r.customers(), r.preferences(), (transactions, saved, r.sale_products(), returns))
+
+
 # Orders ------------------------------------------------------------------------------
 
 
@@ -730,11 +748,31 @@ def _place_orders_stream(r: Roles) -> DataFrame:
 # Maintenance -------------------------------------------------------------------------
 
 
-@query("upsert", """
+SQL_UPSERT = """
     SELECT store_id, sku_id, available_qty, CAST(0 AS INTEGER) AS changed FROM r_inventory WHERE reserved_qty <> on_hand_qty
     UNION ALL SELECT store_id, sku_id, 0, 1 FROM r_inventory WHERE reserved_qty = on_hand_qty
-    UNION ALL SELECT -1, sku_id, 5, 1 FROM r_products""")
+    UNION ALL SELECT -1, sku_id, 5, 1 FROM r_products"""
+
+
+@query("upsert", SQL_UPSERT)
 def _upsert(r: Roles) -> DataFrame:
+    return _upserted(r, maintain.upsert)
+
+
+@query("upsert_stored", SQL_UPSERT)
+def _upsert_stored(r: Roles) -> DataFrame:
+    """The same updates put into a stored table, bucket by bucket."""
+
+    def stored(base: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
+        table = BucketTable(r.spark, scratch_dir(r.spark, "positions"), keys, base.schema, 32)
+        table.replace(base)
+        maintain.upsert_stored(table, updates, 1)
+        return table.read()
+
+    return _upserted(r, stored)
+
+
+def _upserted(r: Roles, put) -> DataFrame:
     inventory = r.inventory()
     base = inventory.select("store_id", "sku_id", "available_qty", F.lit(0).alias("changed"))
     gone = inventory.where(F.col("reserved_qty") == F.col("on_hand_qty")).select(
@@ -743,7 +781,7 @@ def _upsert(r: Roles) -> DataFrame:
     fresh = r.products().select(
         F.lit(-1).alias("store_id"), "sku_id", F.lit(5).alias("available_qty"), F.lit(1).alias("changed")
     )
-    return maintain.upsert(base, gone.unionByName(fresh), ["store_id", "sku_id"])
+    return put(base, gone.unionByName(fresh), ["store_id", "sku_id"])
 
 
 @query("conditional_update", """

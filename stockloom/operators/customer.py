@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockloom.functions.money import cents, from_cents, half_up
 from stockloom.plans.ranking import ordered_positions
 from stockloom.plans.topk import top_k
+from stockloom.sources.buckets import BUCKETS, BucketTable
 
 # The columns of the profile.
 PROFILE_COLUMNS = (
@@ -46,8 +47,18 @@ def saved_items_summary(saved: DataFrame, products: DataFrame, page_size: int =
     bounded length; no item is left out. Items are placed by range, so a customer of any size
     spreads over many tasks.
     """
+    return pages_of(with_attributes(saved, products), page_size)
+
+
+def with_attributes(saved: DataFrame, products: DataFrame) -> DataFrame:
+    """Saved items with the attributes of their product; items of unknown products are left out."""
     attributes = products.select("product_id", "product_name", "category", "color", "size_code")
     items = saved.select("saved_item_id", "customer_id", "product_id", "saved_at").join(attributes, "product_id")
+    return items.select("saved_item_id", "customer_id", *_SAVED_FIELDS)
+
+
+def pages_of(items: DataFrame, page_size: int = DEFAULT_PAGE) -> DataFrame:
+    """Saved items with their attributes as numbered pages per customer."""
     order = [F.col("saved_at").desc(), F.col("saved_item_id").desc()]
     placed = ordered_positions(items, ["customer_id"], order, "position")
     page = (F.call_function("div", F.col("position") - 1, F.lit(page_size)) + 1).cast("int")
@@ -74,17 +85,29 @@ def return_history(returns: DataFrame) -> DataFrame:
 
     Tied reasons resolve to the first in text order. Money is summed in cents.
     """
-    totals = returns.groupBy("customer_id").agg(
-        F.count(F.lit(1)).alias("total_returns"),
-        F.sum(cents(F.col("refund_amount"))).alias("refund_cents"),
-        F.count("refund_amount").alias("refunds"),
-        F.mode("reason_code", True).alias("top_reason"),
+    return _history_of(return_counts(returns))
+
+
+def return_counts(returns: DataFrame) -> DataFrame:
+    """Returns, refunds and cents per customer and reason: sums that can be added to."""
+    return returns.groupBy("customer_id", "reason_code").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(cents(F.col("refund_amount"))).alias("refund_cents"), F.count("refund_amount").alias("refunds")
+    )
+
+
+def _history_of(counts: DataFrame) -> DataFrame:
+    """The return history from counts per reason."""
+    # The largest count wins, then the first reason in text order; a missing reason is none.
+    named = F.when(F.col("reason_code").isNotNull(), F.struct((-F.col("n")).alias("fewer"), "reason_code"))
+    totals = counts.groupBy("customer_id").agg(
+        F.sum("n").alias("total_returns"), F.sum("refund_cents").alias("refund_cents"), F.sum("refunds").alias("refunds"),
+        F.min(named).alias("top"),
     )
     amounts = totals.select(
         "customer_id", "total_returns",
         from_cents(half_up(F.col("refund_cents"), F.col("refunds"))).alias("avg_refund_amount"),
         from_cents(F.col("refund_cents"), 20).alias("total_refund_amount"),
-        "top_reason",
+        F.col("top.reason_code").alias("top_reason"),
     )
     summary = F.struct("total_returns", "avg_refund_amount", "total_refund_amount", "top_reason")
     return amounts.withColumn("return_history_summary", summary).drop("top_reason")
@@ -146,3 +169,45 @@ def refresh(
         df.write.mode("overwrite").parquet(f"{path}/{name}")
     stored = [spark.read.parquet(f"{path}/{name}") for name in parts]
     return customer_360(customers, preferences, *stored)
+
+
+class StoredProfiles:
+    """The customer summaries as stored state that new rows are merged into.
+
+    Three tables in customer buckets: the ``k`` latest purchases of a customer, the saved items with their product attributes,
+    and the returns counted per reason. Each holds all that its summary needs, so a load of new rows rewrites the
+    buckets of its customers and no others, and the result is that of a refresh over all rows.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, k: int = 5, buckets: int = BUCKETS):
+        self.spark, self.path, self.k, self.buckets = spark, path, k, buckets
+
+    def _table(self, name: str, like: DataFrame) -> BucketTable:
+        return BucketTable(self.spark, f"{self.path}/{name}", ["customer_id"], like.schema, self.buckets)
+
+    def _heads(self, transactions: DataFrame) -> DataFrame:
+        slim = transactions.select("customer_id", "transaction_id", "transaction_ts", "net_amount")
+        return top_k(slim, ["customer_id"], [F.col("transaction_ts").desc_nulls_last(), F.col("transaction_id").desc()], self.k).drop("rank")
+
+    def _counts(self, counts: DataFrame) -> DataFrame:
+        return counts.groupBy("customer_id", "reason_code").agg(*[F.sum(c).alias(c) for c in ("n", "refund_cents", "refunds")])
+
+    def load(self, transactions: DataFrame, saved: DataFrame, products: DataFrame, returns: DataFrame, batch: int) -> dict[str, list[int]]:
+        """Merges a batch of new rows; returns the buckets written per table.
+
+        Batches are numbered from 1, in order. One that was broken off is applied again and leaves out what it had done.
+        """
+        merges = {
+            "purchases": (self._heads(transactions), lambda old, new: self._heads(old.unionByName(new))),
+            "items": (with_attributes(saved, products), lambda old, new: old.unionByName(new)),
+            "reasons": (return_counts(returns), lambda old, new: self._counts(old.unionByName(new))),
+        }
+        return {name: self._table(name, new).apply(new, batch, merge) for name, (new, merge) in merges.items()}
+
+    def profiles(self, customers: DataFrame, preferences: DataFrame, like: tuple[DataFrame, DataFrame, DataFrame, DataFrame]) -> DataFrame:
+        """The profile view over the stored state. ``like`` has transactions, saved items, products and returns, of which only the schemas matter."""
+        transactions, saved, products, returns = like
+        heads = self._table("purchases", self._heads(transactions)).read()
+        items = self._table("items", with_attributes(saved, products)).read()
+        reasons = self._table("reasons", return_counts(returns)).read()
+        return customer_360(customers, preferences, recent_purchases(heads, self.k), pages_of(items), _history_of(reasons))

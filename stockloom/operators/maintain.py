@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stockloom.functions.derive import FIXED_STORE, REGION_SLOTS, region_slots
 from stockloom.functions.text import concat_skip_null, padded
+from stockloom.sources.buckets import BucketTable
 
 
 def _single(updates: DataFrame, keys: list[str]) -> DataFrame:
@@ -39,6 +40,11 @@ def upsert(
     return changed.unionByName(added)
 
 
+def upsert_stored(table: BucketTable, updates: DataFrame, batch: int, columns: list[str] | None = None) -> list[int]:
+    """:func:`upsert` into a stored table by its keys; only buckets of an updated key are read and written again."""
+    return table.apply(updates.select(*table.columns), batch, lambda base, fresh: upsert(base, fresh, table.keys, columns))
+
+
 def conditional_update(df: DataFrame, condition: Column, values: dict[str, Column]) -> DataFrame:
     """Sets columns where the condition is true; where it is false or NULL the row stays."""
     return df.withColumns({c: F.when(condition, v).otherwise(F.col(c)) for c, v in values.items()})
