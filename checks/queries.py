@@ -16,7 +16,7 @@ from stockloom.functions.money import cents, half_up
 from stockloom.operators import catalog, constraints, customer, maintain, orders, placement, planning, quality, stock
 from stockloom.plans.ranking import numbered
 from stockloom.session import scratch_dir
-from stockloom.sources import files
+from stockloom.sources import files, split_csv
 from stockloom.sources.buckets import BucketTable
 from stockloom.sources.roles import Roles
 from stockloom.streaming import orders as order_stream
@@ -63,6 +63,19 @@ def _read_table_csv(r: Roles) -> DataFrame:
     return files.read_csv(r.spark, path, source.schema)
 
 
+@query("read_csv_split", f"""
+    SELECT customer_id, loyalty_id, email, first_name, last_name, tier, preferred_store_id,
+           'He said' || chr(10) || '"fine, thanks", ' || stylist_notes AS stylist_notes, lifetime_value_band FROM r_customers""")
+def _read_csv_split(r: Roles) -> DataFrame:
+    """Notes with line breaks, read by as many tasks as the files have splits; a reject would be one row too many."""
+    note = F.concat(F.lit('He said\n"fine, thanks", '), F.col("stylist_notes"))
+    source = r.customers().withColumn("stylist_notes", note)
+    path = scratch_dir(r.spark, "csv")
+    files.write_csv(source, path)
+    good, rejects = split_csv.read_csv_split(r.spark, path, source.schema)
+    return good.unionByName(rejects.select(F.col("record").alias("email")), allowMissingColumns=True)
+
+
 @query("read_chunked", f"""
     SELECT transaction_id, customer_id, store_id, {_ts('transaction_ts')} AS transaction_ts, sales_channel, payment_method,
            net_c / 100.0::DOUBLE AS gross_amount, 0.0::DOUBLE AS discount_amount, net_c / 100.0::DOUBLE AS net_amount
