@@ -55,3 +55,23 @@ def test_clean_and_empty_tables(spark):
     only["products"] = tables["products"]
     rows = constraints.audit_references(only).collect()
     assert len(rows) == 3 and all(r.violations == 0 for r in rows)
+
+
+def test_a_load_finds_the_same_without_another_scan(spark, tmp_path):
+    stock = [(1, "k1", 5, 2, 3, 0), (1, "k1", 5, 2, 4, 0), (3, "k9", 1, 2, -1, None)]
+    orders = [("o1", 1, None, "shipped", "standard", 1), ("o1", 7, 8, "fulfilled", "boat", -1)]
+    tables = small(spark, stock, orders, [("p1", "p1", "cross_sell"), ("p1", "zz", None)])
+    scans = spark.sparkContext.accumulator(0)
+
+    def counted(rows):
+        for r in rows:
+            scans.add(len(r))
+            yield r
+
+    tables["inventory"] = tables["inventory"].mapInPandas(counted, tables["inventory"].schema)
+    got = {r.rule: r.violations for r in constraints.load_audited(tables, str(tmp_path)).collect()}
+    assert scans.value == 3
+    assert got.pop("inventory rows") == 3 and got.pop("orders rows") == 2 and got.pop("stores rows") == 3
+    rows = {r.rule: r.violations for r in constraints.audit_rows(tables).collect()}
+    assert {k: v for k, v in got.items() if not k.endswith(" rows")} == rows and sum(rows.values()) > 4
+    assert spark.read.parquet(f"{tmp_path}/orders").count() == 2
