@@ -15,6 +15,7 @@ such stock in common and each group is replayed in order:
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -189,30 +190,43 @@ def _turn(active: DataFrame, stock: DataFrame, here: str, replay_rows: int, wind
     nowhere = heads.join(options.select("order_id").distinct(), "order_id", "left_anti").select(
         "order_id", F.lit(None).cast("int").alias("store_id"), F.lit("cannot_fulfil").alias("reason")
     )
-    there = free.join(options.select("order_id", "store_id"), "order_id").join(stock, ["store_id", "sku_id"])
-    full = there.where(fits).groupBy("order_id", "store_id").agg(F.count(F.lit(1)).alias("filled"))
-    able = options.join(full, ["order_id", "store_id"], "left").withColumn("feasible", F.coalesce(F.col("filled") == F.col("size"), F.lit(False)))
-    everywhere = there.join(able.select("order_id", "store_id", "feasible"), ["order_id", "store_id"])
-    is_first = F.col("sku_id") == F.col("first_sku")
-    free_rows = written(everywhere.where(F.col("feasible") | is_first), f"{here}/free")
-    columns = ["order_id", "seq", "open", "sold", "store_id", "feasible", "sku_id", "quantity", "units", "first"]
-    sure_rows = sure.withColumns({"open": F.lit(False), "first": is_first})
-    volume = free_rows.count() + sure_rows.count()
-    if volume <= replay_rows:
-        rows = sure_rows.select(*columns).unionByName(free_rows.withColumns({"open": F.lit(True), "first": is_first}).select(*columns))
-        decided = short.unionByName(nowhere).unionByName(rows.repartition(1).mapInPandas(_replay, _OUTCOME))
-        return written(decided, f"{here}/decided"), []
+    # Stores that can fill an order. Few hold a second item too, so that one is looked up before all the others.
+    pair = ["order_id", "store_id"]
+    second = free.where("sku_id <> first_sku").groupBy("order_id").agg(F.min(F.struct("sku_id", "quantity")).alias("next")).select("order_id", "next.*")
+    hopeful = options.select(*pair).join(second, "order_id").join(stock, ["store_id", "sku_id"]).where(fits).select(*pair)
+    filled = free.join(hopeful, "order_id").join(stock, ["store_id", "sku_id"]).where(fits).groupBy(*pair, "size").agg(F.count(F.lit(1)).alias("n"))
+    able = written(options.where("size = 1").select(*pair).unionByName(filled.where("n = size").select(*pair)), f"{here}/able")
+    able_rows = written(free.join(able, "order_id").join(stock, ["store_id", "sku_id"]).withColumn("feasible", F.lit(True)), f"{here}/able-rows")
+    # Bounds of every level from the demand that may still reach it, twice: fewer candidates leave less demand.
     takes = F.col("feasible") & F.col("sold")
-    positions, kept = None, free_rows
+    kept = able_rows
     for _ in range(NARROWINGS):
-        taking = sure.where("sold").select("store_id", "sku_id", "quantity").unionByName(
-            kept.where(takes).select("store_id", "sku_id", "quantity")
-        )
+        taking = sure.where("sold").select("store_id", "sku_id", "quantity").unionByName(kept.where(takes).select("store_id", "sku_id", "quantity"))
         demand = taking.groupBy("store_id", "sku_id").agg(F.sum("quantity").alias("demand"))
-        positions = _bounds(stock, demand)
-        lead = _leaders(positions.join(asked.select("sku_id"), "sku_id", "left_semi"))
-        kept = free_rows.join(lead.withColumnRenamed("sku_id", "first_sku"), ["store_id", "first_sku"], "left_semi")
-    kept = written(kept, f"{here}/kept")
+        positions = _bounds(stock, demand).join(asked.select("sku_id"), "sku_id", "left_semi")
+        positions = written(positions, f"{here}/positions-{uuid.uuid4().hex}")
+        lead = _leaders(positions).withColumnRenamed("sku_id", "first_sku")
+        kept = able_rows.join(lead, ["store_id", "first_sku"], "left_semi")
+    # An order that no store can fill lacks stock, unless it might be its turn when no store holds the first item.
+    bar = positions.groupBy(F.col("sku_id").alias("first_sku")).agg(F.max("least").alias("bar"))
+    never = written(
+        options.select("order_id", "first_sku", "first_quantity").distinct().join(able.select("order_id").distinct(), "order_id", "left_anti").join(bar, "first_sku"),
+        f"{here}/never",
+    )
+    in_doubt = F.col("first_quantity") > F.col("bar")
+    lacking = never.where(~in_doubt).select("order_id", F.lit(None).cast("int").alias("store_id"), F.lit("insufficient").alias("reason"))
+    is_first = F.col("sku_id") == F.col("first_sku")
+    # Stores that lead but cannot fill the order still decide where it goes: of those only the first item counts.
+    routed = able.select("order_id").distinct().unionByName(never.where(in_doubt).select("order_id"))
+    blind = options.join(lead, ["store_id", "first_sku"], "left_semi").join(routed, "order_id", "left_semi").join(able, pair, "left_anti").select(*pair)
+    blind_rows = free.where(is_first).join(blind, "order_id").join(stock, ["store_id", "sku_id"]).withColumn("feasible", F.lit(False))
+    kept = written(kept.unionByName(blind_rows.select(*kept.columns)), f"{here}/kept")
+    settled = short.unionByName(nowhere).unionByName(lacking)
+    columns = ["order_id", "seq", "open", "sold", "store_id", "feasible", "sku_id", "quantity", "units", "first"]
+    sure_rows = sure.withColumns({"open": F.lit(False), "first": is_first})
+    if kept.count() + sure_rows.count() <= replay_rows:
+        rows = sure_rows.select(*columns).unionByName(kept.withColumns({"open": F.lit(True), "first": is_first}).select(*columns))
+        return written(settled.unionByName(rows.repartition(1).mapInPandas(_replay, _OUTCOME)), f"{here}/decided"), []
     options_left = kept.groupBy("order_id").agg(F.count_distinct("store_id").alias("stores"))
     open_rows = kept.join(options_left, "order_id").withColumns({"open": F.lit(True), "first": is_first})
     rows = sure_rows.withColumn("stores", F.lit(1).cast("bigint")).select(*columns, "stores").unionByName(open_rows.select(*columns, "stores"))
@@ -245,7 +259,7 @@ def _turn(active: DataFrame, stock: DataFrame, here: str, replay_rows: int, wind
     # Components are independent, so a task replays all of its own in one pass.
     ready = rows.join(small.select("order_id", "key"), "order_id").repartition(tasks, "key").drop("key", "stores")
     replayed = ready.mapInPandas(_replay, _OUTCOME)
-    decided = written(short.unionByName(nowhere).unionByName(replayed), f"{here}/decided")
+    decided = written(settled.unionByName(replayed), f"{here}/decided")
     if not too_large:
         return decided, []
     return decided, _cut(active, placed.join(large, "key").select("order_id", "key"), here)
