@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockloom.llm import (
@@ -163,13 +163,17 @@ def op2_multi_index(spark: SparkSession, folder: str) -> DataFrame:
     return multi_index.search(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def _is_kind(number: int) -> Callable[[Column], Column]:
+    # A second parameter, even one with a default, would be given the place in the array.
+    return lambda span: span["kind"] == number
+
+
 @query("op4_pii_boost")
 def op4_pii_boost(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in every whole document: base spans and those that the trees add."""
     found = pii_boost.detect(table(spark, folder, "documents"))
     counts = [
-        F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("bigint").alias(f"n_{kind}")
-        for i, kind in enumerate(pii_boost.KINDS)
+        F.size(F.filter("base", _is_kind(i))).cast("bigint").alias(f"n_{kind}") for i, kind in enumerate(pii_boost.KINDS)
     ]
     return found.select(
         "doc_id", *counts, F.sha2(pii_boost.listed(F.col("base")), 256).alias("base_sha256"),

@@ -7,7 +7,7 @@ import brute
 import numpy as np
 from pyspark.sql import functions as F
 
-from stockloom.llm import bayes_dedup, components, multi_index, pii_boost, string_kernel
+from stockloom.llm import bayes_dedup, components, multi_index, pii_boost, queries, string_kernel
 
 VECTORS = "vec_id bigint, embedding array<float>, label int, score double, rank string"
 
@@ -268,3 +268,15 @@ def test_languages_of_long_texts_are_learnt(spark):
         model = string_kernel.fit(part)
         got = part.select("lang", string_kernel.predict(part, model).alias("p")).collect()
         assert all(r.p.lang_pred == r.lang for r in got)
+
+
+def test_base_spans_are_counted_by_kind(spark, tmp_path):
+    texts = [
+        (1, "a@b.c and d@e.f, 10.0.0.1"), (2, "10.0.0.1 10.0.0.2 10.0.0.3"), (3, "+1 415 555 2671, a@b.c"), (4, "nothing"), (5, None),
+        (6, "4111 1111 1111 1111"),
+    ]
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.QUERIES["op4_pii_boost"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone) for r in found} == {
+        1: (2, 1, 0, 0), 2: (0, 3, 0, 0), 3: (1, 0, 0, 1), 4: (0, 0, 0, 0), 5: (0, 0, 0, 0), 6: (0, 0, 1, 0),
+    }
