@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import base64
 import math
+import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -61,26 +63,50 @@ _FIELDS = (
 )
 
 
+_NAMES = tuple(dict.fromkeys(name for _, _, name in SCRIPTS))  # the first of equals wins
+_ASCII_LETTER = re.compile("[A-Za-z]")
+
+
+@lru_cache(1)
+def _script_table() -> np.ndarray:
+    """The number of the script of every code point in ``_NAMES``, their count where it has none."""
+    table = np.full(0x110000, len(_NAMES), np.uint8)
+    for low, high, name in SCRIPTS:
+        table[low:high + 1] = _NAMES.index(name)
+    return table
+
+
 def script_of(text: str) -> str:
     """The script of most letters; ``other`` where there are none."""
+    if text.isascii():
+        return "latin" if _ASCII_LETTER.search(text) else "other"
     points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    counts: dict[str, int] = {}
-    for low, high, name in SCRIPTS:
-        n = int(((points >= low) & (points <= high)).sum())
-        counts[name] = counts.get(name, 0) + n
-    best = max(counts, key=counts.__getitem__)
-    return best if counts[best] else "other"
+    counts = np.bincount(_script_table()[points], minlength=len(_NAMES) + 1)[: len(_NAMES)]
+    best = int(counts.argmax())
+    return _NAMES[best] if counts[best] else "other"
+
+
+_MIX = np.int64(0x1E3779B97F4A7C15)
 
 
 def repeated_words(words: list[bytes], span: int = 5) -> int:
     """Words that lie in a window of ``span`` words found twice or more, the first one included."""
-    windows = list(zip(*[words[i:] for i in range(span)]))
-    if len(set(windows)) == len(windows):
+    if len(words) <= span:
+        return 0
+    # A window whose hash no other has is alone; only where hashes agree are the words compared.
+    hashes, n = np.fromiter(map(hash, words), np.int64, len(words)), len(words) - span + 1
+    mixed = np.zeros(n, np.int64)
+    for i in range(span):
+        mixed = mixed * _MIX + hashes[i:i + n]
+    order = np.argsort(mixed)
+    same = np.diff(mixed[order]) == 0
+    if not same.any():
         return 0
+    alike = np.sort(order[np.r_[same, False] | np.r_[False, same]])
     first: dict = {}
     inside = np.zeros(len(words) + 1, np.int64)
-    for i, w in enumerate(windows):
-        j = first.setdefault(w, i)
+    for i in alike.tolist():
+        j = first.setdefault(tuple(words[i:i + span]), i)
         if j != i:
             for at in (i, j):
                 inside[at] += 1
@@ -99,8 +125,8 @@ def base_measures(text: str) -> tuple[int, int, int, int, int]:
     )
 
 
-def entropy_bits(ids) -> float:
-    _, counts = np.unique(np.asarray(ids, np.int64), return_counts=True)
+def entropy_bits(counts: np.ndarray) -> float:
+    """Entropy of tokens by their counts, in bits."""
     share = counts / counts.sum()
     return float(-(share * np.log2(share)).sum())
 
@@ -142,8 +168,9 @@ class _Meter:
             return (*base, False, None, None, None, None, None, None)
         coarse = self.ranks.encode_ordinary(text)
         script = script_of(text)
-        fallback = float(self.is_byte[ids].mean())
-        piece, byte, bits = len(text) / len(ids), len(text) / len(coarse), entropy_bits(ids)
+        kinds, counts = np.unique(np.array(ids, np.int32), return_counts=True)
+        fallback = float(counts[self.is_byte[kinds]].sum() / len(ids))
+        piece, byte, bits = len(text) / len(ids), len(text) / len(coarse), entropy_bits(counts)
         outside = outside_band(bands.get(script, bands["other"]), len(ids), piece, byte, fallback, bits)
         return (*base, not failed and not outside, script, piece, byte, fallback, bits, ",".join(outside))
 

@@ -136,3 +136,16 @@ def test_bands_follow_the_script():
     band = fertility.BANDS["latin"]
     assert fertility.outside_band(band, 1000, 4.0, 4.0, 0.0, 7.0) == []
     assert fertility.outside_band(band, 1000, 4.0, 1.5, 0.5, 3.0) == ["byte_chars", "fallback", "entropy"]
+
+
+def test_windows_are_compared_in_words_where_hashes_agree(monkeypatch):
+    monkeypatch.setattr(fertility, "_MIX", np.int64(0))  # a window's hash is that of its last word
+    rng = random.Random(8)
+    for _ in range(200):
+        text = " ".join(rng.choice("abcd") for _ in range(rng.randint(0, 40)))
+        assert fertility.repeated_words(text.encode().split()) == brute.base_quality(text)[4]
+
+
+def test_script_of_long_ascii_is_not_looked_up(monkeypatch):
+    monkeypatch.setattr(fertility, "_script_table", lambda: pytest.fail("looked up"))
+    assert [fertility.script_of(t) for t in ("", "12 3", "abc " * 1000)] == ["other", "other", "latin"]
