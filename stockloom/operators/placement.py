@@ -64,6 +64,12 @@ def order_content(items: DataFrame) -> DataFrame:
     )
 
 
+def first_items(items: DataFrame) -> DataFrame:
+    """Per order its first item, in one aggregation: nothing is grouped by SKU."""
+    first = items.groupBy("order_id").agg(F.min(F.struct("line_no", "sku_id", "quantity")).alias("head"))
+    return first.select("order_id", F.col("head.sku_id").alias("first_sku"), F.col("head.quantity").alias("first_quantity"))
+
+
 def with_store(requests: DataFrame, inventory: DataFrame) -> DataFrame:
     """Adds ``store_id``: the store asked for, else the best one for the first item."""
     best = best_stores(inventory).withColumnRenamed("sku_id", "first_sku")
@@ -77,7 +83,7 @@ def with_store(requests: DataFrame, inventory: DataFrame) -> DataFrame:
 
 def route(headers: DataFrame, items: DataFrame, inventory: DataFrame) -> DataFrame:
     """Headers with ``store_id``, NULL where no store has enough of the first item."""
-    routed = with_store(headers.join(order_content(items), "order_id", "left"), inventory)
+    routed = with_store(headers.join(first_items(items), "order_id", "left"), inventory)
     return routed.select(*headers.columns, "store_id")
 
 

@@ -246,3 +246,13 @@ def test_batches_write_what_they_touch_and_replay(spark):
         assert all(r.available_qty == r.on_hand_qty - r.reserved_qty for r in got)
         left = after
     assert spark.read.parquet(f"{state}/inventory").select("version").distinct().count() == 2
+
+
+def test_first_items_agree_with_the_whole_content(spark):
+    """Ties on the line go to the smaller SKU and quantity; repeated SKUs and null lines change nothing."""
+    rows = [("a", 2, "k1", 1), ("a", 1, "k2", 5), ("a", 1, "k2", 3), ("b", 1, "k9", 4), ("b", 1, "k3", 7), ("b", 2, "k3", 1), ("c", None, "k4", 2), (None, 1, "k5", 1)]
+    items = spark.createDataFrame(rows, "order_id string, line_no bigint, sku_id string, quantity int")
+    found = placement.first_items(items)
+    assert {tuple(r) for r in found.collect()} == {("a", "k2", 3), ("b", "k3", 7), ("c", "k4", 2), (None, "k5", 1)}
+    whole = placement.order_content(items).select("order_id", "first_sku", "first_quantity")
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in whole.collect()}
