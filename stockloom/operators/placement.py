@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockloom.operators.settlement import REPLAY_ROWS, settle
+from stockloom.operators.settlement import REPLAY_ROWS, order_lines, settle_lines
 from stockloom.session import scratch_dir, written
 
 # Shipping methods and the largest quantity of one item.
@@ -49,8 +49,11 @@ def best_stores(inventory: DataFrame) -> DataFrame:
 
 
 def order_content(items: DataFrame) -> DataFrame:
-    """Per order its first item, the copies of its most repeated SKU and whether a quantity is off."""
-    per_sku = items.groupBy("order_id", "sku_id").agg(
+    """Per order its first item, the copies of its most repeated SKU and whether a quantity is off.
+
+    Lines are dealt by order once: both aggregations stay in their tasks.
+    """
+    per_sku = items.repartition("order_id").groupBy("order_id", "sku_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.max(F.when(F.col("quantity").between(1, MAX_QUANTITY), 0).otherwise(1)).alias("bad"),
         F.min(F.struct("line_no", "sku_id", "quantity")).alias("head"),
@@ -206,14 +209,14 @@ def place_orders(
     base = scratch_dir(headers.sparkSession, "placement")
     # Both tables are used several times below; written out, each input is read once.
     timed = headers.withColumn("__placed", as_of.cast("timestamp"))
-    checked = written(with_request_reason(timed, items, stores), f"{base}/checked")
+    checked = with_request_reason(timed, items, stores).drop("first_sku", "first_quantity")
+    checked = written(checked, f"{base}/checked")
     able = checked.where(F.col("reason").isNull()).drop("reason")
     prices = products.select("sku_id", F.col("msrp").alias("unit_price"), F.lit(True).alias("sold"))
     wanted = items.join(able.select("order_id"), "order_id", "left_semi").join(prices, "sku_id", "left")
-    lines = written(
-        wanted.select("order_id", "line_no", "sku_id", "quantity", "unit_price", F.coalesce("sold", F.lit(False)).alias("sold")), f"{base}/lines"
-    )
-    outcome = settle(able.select("order_id", "seq", "fulfillment_store_id"), lines, inventory, replay_rows)
+    wanted = wanted.select("order_id", "line_no", "sku_id", "quantity", "unit_price", F.coalesce("sold", F.lit(False)).alias("sold"))
+    lines = written(order_lines(able.select("order_id", "seq", "fulfillment_store_id"), wanted), f"{base}/lines")
+    outcome = settle_lines(lines, inventory, replay_rows)
     won, lost = outcome.where(F.col("reason").isNull()), outcome.where(F.col("reason").isNotNull())
     taken = able.join(won.select("order_id", "store_id"), "order_id")
     orders = with_eta(taken, F.col("__placed")).select(
@@ -221,7 +224,8 @@ def place_orders(
         F.col("store_id").alias("fulfillment_store_id"), "destination_store_id", "ship_to_city", "shipping_method",
         "estimated_delivery_days", "estimated_delivery_date",
     )
-    accepted = lines.join(taken.select("order_id", "store_id", "__placed"), "order_id")
+    own = lines.select("order_id", "sku_id", "quantity", "unit_price")
+    accepted = own.join(taken.select("order_id", "store_id", "__placed"), "order_id")
     sold = accepted.select("order_id", "sku_id", "quantity", "unit_price")
     rejects = checked.where(F.col("reason").isNotNull()).select("order_id", "reason").unionByName(lost.select("order_id", "reason"))
     units = reserved_units(accepted, F.col("__placed"))

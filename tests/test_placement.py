@@ -256,3 +256,26 @@ def test_first_items_agree_with_the_whole_content(spark):
     assert {tuple(r) for r in found.collect()} == {("a", "k2", 3), ("b", "k3", 7), ("c", "k4", 2), (None, "k5", 1)}
     whole = placement.order_content(items).select("order_id", "first_sku", "first_quantity")
     assert {tuple(r) for r in found.collect()} == {tuple(r) for r in whole.collect()}
+
+
+def test_stock_and_items_are_read_once(spark):
+    """However many turns and bounds there are, the given tables are read once; before, settling read each several times."""
+    rng = random.Random(7)
+    stock = {(s, k): rng.choice([0, 5, 30]) for s in range(3) for k in "abcd"}
+    orders = make(rng, 60, [0, 1, 2], list("abcd"), 4)
+    heads, lines, inv = tables(spark, [o for o in orders if len({s for s, _ in o[5]}) == len(o[5])], stock)
+    reads = {n: spark.sparkContext.accumulator(0) for n in ("items", "stock")}
+
+    def counted(df, name):
+        def count(batches):
+            for b in batches:
+                reads[name].add(len(b))
+                yield b
+
+        return df.mapInPandas(count, df.schema)
+
+    named = heads.select("order_id", "seq", "fulfillment_store_id")
+    items = counted(lines.withColumn("sold", F.lit(True)), "items")
+    out = settlement.settle(named, items, counted(inv, "stock"), replay_rows=40, window_rows=60)
+    assert out.count() == heads.count()
+    assert reads["items"].value == lines.count() and reads["stock"].value == len(stock)
