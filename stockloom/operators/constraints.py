@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from stockloom.operators.quality import DOMAINS, no_self_edge, row_rules, stock_identity, union_rows
+from stockloom.operators.quality import DOMAINS, count_repeated, no_self_edge, row_rules, stock_identity, union_rows
 
 # Primary and unique keys per table.
 KEYS = {
@@ -120,8 +120,7 @@ def audit_keys(tables: dict[str, DataFrame]) -> DataFrame:
     parts = []
     for table, keys in KEYS.items():
         for key in keys if table in tables else ():
-            counted = tables[table].dropna("any", subset=list(key)).groupBy(*key).agg(F.count(F.lit(1)).alias("copies"))
-            repeated = counted.agg(F.count(F.when(F.col("copies") > 1, 1)).alias("violations"))
+            repeated = count_repeated(tables[table].dropna("any", subset=list(key)), list(key), "violations")
             parts.append(repeated.select(F.lit(f"{table}({', '.join(key)})").alias("rule"), "violations"))
     return union_rows(parts)
 

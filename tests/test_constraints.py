@@ -1,6 +1,9 @@
 """Injected defects of every declared kind are found, and only those."""
 
-from stockloom.operators import constraints
+import contextlib
+import io
+
+from stockloom.operators import constraints, quality
 
 
 def found(df):
@@ -75,3 +78,16 @@ def test_a_load_finds_the_same_without_another_scan(spark, tmp_path):
     rows = {r.rule: r.violations for r in constraints.audit_rows(tables).collect()}
     assert {k: v for k, v in got.items() if not k.endswith(" rows")} == rows and sum(rows.values()) > 4
     assert spark.read.parquet(f"{tmp_path}/orders").count() == 2
+
+
+def test_repeated_keys_are_sorted_not_held(spark):
+    """No task keeps a table of all keys, nulls are a key of duplicates only, and a key counts once however often it comes."""
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (1, "a"), (1, None), (1, None), (2, None), (None, None), (None, None)], "store_id int, sku_id string")
+    audits = {"audit": constraints.audit_keys({"inventory": rows}), "duplicates": quality.duplicates({"x": (rows, ["store_id", "sku_id"])})}
+    counts = {}
+    for name, df in audits.items():
+        with contextlib.redirect_stdout(io.StringIO()) as plan:
+            df.explain()
+        assert "keys=[store_id" not in plan.getvalue()
+        counts[name] = df.first()[1]
+    assert counts == {"audit": 1, "duplicates": 3}
