@@ -2,6 +2,8 @@
 
 import contextlib
 import io
+import os
+import time
 
 from stockloom.operators import constraints, quality
 
@@ -91,3 +93,23 @@ def test_repeated_keys_are_sorted_not_held(spark):
         assert "keys=[store_id" not in plan.getvalue()
         counts[name] = df.first()[1]
     assert counts == {"audit": 1, "duplicates": 3}
+
+
+def test_tables_are_loaded_side_by_side(spark, tmp_path):
+    """Each of two tables waits until the other is being written too."""
+    def waiting(own, other):
+        def wait(batches):
+            open(f"{tmp_path}/{own}", "w").close()
+            for _ in range(200):
+                if os.path.exists(f"{tmp_path}/{other}"):
+                    break
+                time.sleep(0.1)
+            for b in batches:
+                yield b.assign(store_id=b["store_id"] if os.path.exists(f"{tmp_path}/{other}") else -1)
+
+        return spark.createDataFrame([(1,)], "store_id int").coalesce(1).mapInPandas(wait, "store_id int")
+
+    tables = {"stores": waiting("a", "b"), "core_stores": waiting("b", "a")}
+    rows = constraints.load_audited(tables, f"{tmp_path}/out").collect()
+    assert {r.rule: r.violations for r in rows} == {"stores rows": 1, "core_stores rows": 1}
+    assert [spark.read.parquet(f"{tmp_path}/out/{t}").first()[0] for t in tables] == [1, 1]
