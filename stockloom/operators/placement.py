@@ -224,7 +224,7 @@ def place_orders(
         F.col("store_id").alias("fulfillment_store_id"), "destination_store_id", "ship_to_city", "shipping_method",
         "estimated_delivery_days", "estimated_delivery_date",
     )
-    own = lines.select("order_id", "sku_id", "quantity", "unit_price")
+    own = lines.where("copy = 1").select("order_id", "sku_id", "quantity", "unit_price")
     accepted = own.join(taken.select("order_id", "store_id", "__placed"), "order_id")
     sold = accepted.select("order_id", "sku_id", "quantity", "unit_price")
     rejects = checked.where(F.col("reason").isNotNull()).select("order_id", "reason").unionByName(lost.select("order_id", "reason"))
