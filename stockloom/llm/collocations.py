@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockloom.llm.url_templates import LOWER, UPPER
@@ -166,6 +167,18 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list
             yield part.column("text"), langs.dictionary.to_pylist(), langs.indices.to_numpy()
 
 
+@contextmanager
+def _short_batches(spark: SparkSession) -> Iterator[None]:
+    """Hands texts to Python ``TEXTS`` at a time: else each task holds a batch of thousands of whole texts on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), TEXTS) if int(before) > 0 else TEXTS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _seeds(names: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(n, seed=1) for n in names], np.uint64)
 
@@ -451,7 +464,8 @@ def mine(docs: DataFrame, least: int = LEAST, most: int = MOST_WORDS, top: int =
     length are read whole, in blocks that end with a piece: only a single piece must fit a task's memory.
     """
     narrow = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"))
-    counted, totals = phrase_counts(narrow, least, most, shard)
+    with _short_batches(docs.sparkSession):
+        counted, totals = phrase_counts(narrow, least, most, shard)
     frequent = counted.where("k > 1").withColumn("words", F.split("phrase", " "))
     cuts = frequent.withColumn("cut", F.explode(F.sequence(F.lit(1), F.col("k") - 1))).select(
         "lang", "phrase", "k", F.col("f").alias("a"), "cut", _part(F.lit(1), F.col("cut")).alias("left"),

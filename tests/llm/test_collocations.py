@@ -125,3 +125,16 @@ def test_large_scores_are_exact(spark):
     a, n, l, r = 10**10 + 7, 10**12 + 39, 10**11 + 3, 3 * 10**10 + 1
     got = spark.range(1).select(F.lit(a).alias("a"), F.lit(n).alias("n"), F.lit(l).alias("l"), F.lit(r).alias("r")).select(collocations.score())
     assert got.first()[0] == 1000 * a * n // (l * r)
+
+
+def test_texts_are_handed_over_in_short_batches(spark, monkeypatch):
+    name, seen, count = "spark.sql.execution.arrow.maxRecordsPerBatch", [], collocations.phrase_counts
+
+    def watched(*args):
+        seen.append(int(spark.conf.get(name)))
+        return count(*args)
+
+    monkeypatch.setattr(collocations, "phrase_counts", watched)
+    before = spark.conf.get(name)
+    collocations.mine(_table(spark, [("a b a b", "x")] * 3), 3).count()
+    assert seen == [collocations.TEXTS] and spark.conf.get(name) == before
