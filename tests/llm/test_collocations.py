@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -138,3 +139,42 @@ def test_texts_are_handed_over_in_short_batches(spark, monkeypatch):
     before = spark.conf.get(name)
     collocations.mine(_table(spark, [("a b a b", "x")] * 3), 3).count()
     assert seen == [collocations.TEXTS] and spark.conf.get(name) == before
+
+
+def test_the_time_of_a_trie_does_not_grow_with_the_square_of_its_phrases():
+    draw = random.Random(9)
+    phrases = set()
+    while len(phrases) < 100_000:
+        phrases.add(" ".join(f"w{int(12_000 * draw.random() ** 3)}" for _ in range(draw.choice([1, 2, 2, 3, 4]))))
+    phrases = sorted(phrases)
+    began = time.process_time()
+    trie = collocations.build_trie(["x"] * len(phrases), phrases)
+    assert time.process_time() - began < 12
+    assert sorted(trie["accept"][trie["accept"] >= 0].tolist()) == list(range(len(phrases))) and len(trie["owner"]) < 8 * len(phrases)
+
+
+def test_many_tries_are_counted_in_few_passes(spark, monkeypatch):
+    rows, seen, write = _corpus(7, 120), [], collocations.written
+
+    def watched(df, path):
+        seen.append(path.rsplit("/", 1)[1].split("-")[0])
+        return write(df, path)
+
+    monkeypatch.setattr(collocations, "written", watched)
+    want = _brute(rows, 6)
+    assert len(want) > 60
+    assert _mined(_table(spark, rows).repartition(3), least=6, shard=10) == want
+    assert 1 < seen.count("counts") < 6
+
+
+def test_buckets_of_any_count_are_summed_exactly():
+    draw = np.random.default_rng(8)
+    for k, bits in ((1, 16), (2, 16), (2, 30), (5, 26)):
+        bucket = np.r_[draw.integers(0, 1 << collocations._bits(k, bits), 3000), np.repeat([0, (1 << collocations._bits(k, bits)) - 1], [4095, 9001])].astype(np.uint32)
+        got = Counter()
+        for part in np.array_split(draw.permutation(bucket), 3):
+            for rows in collocations._pages({k: [part]}, bits):
+                for page, own in rows.to_pandas().groupby("page"):
+                    found = collocations._total(own, bits, 1)
+                    got.update(dict(zip(found["bucket"].tolist(), found["n"].tolist())))
+        assert got == Counter(bucket.tolist())
