@@ -317,13 +317,13 @@ class _Counter:
 
     def __init__(self, rows: list[dict], shards: int, most: int):
         self.tries, self.shards, self.most = [], shards, most
-        own = [r["words"].decode().split("\n") for r in rows]
-        self.words = pa.array(sorted(set().union(*own)), pa.large_string())
+        own = [pc.split_pattern(pa.array([r["words"].decode()], pa.large_string()), "\n").flatten() for r in rows]
+        self.words = pc.unique(pa.concat_arrays(own))
         self.keys = np.append(Block(np.arange(len(self.words)), self.words, None, None).keys(), np.uint64(0))
         self.slot = np.full(shards, -1, np.int8)
         for i, (r, words) in enumerate(zip(rows, own)):
             trie = r | {c: np.frombuffer(r[c], np.int32) for c in ("base", "owner", "child", "accept")}
-            code = pc.fill_null(pc.index_in(self.words, value_set=pa.array(words, pa.large_string())), -1).to_numpy(zero_copy_only=False)
+            code = pc.fill_null(pc.index_in(self.words, value_set=words), -1).to_numpy(zero_copy_only=False)
             self.slot[r["shard"]] = i
             self.tries.append((trie, np.append(code + 1, 0).astype(np.int64), np.zeros(len(trie["accept"]), np.int64)))
 
